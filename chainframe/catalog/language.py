@@ -55,10 +55,10 @@ def neighbors_radius_5(spark, sf):
     return pairs.neighbor_counts(vector_chains(spark, sf), 5.0).select(*KEY, "i", "n_neigh")
 
 
-@register("densified_positions", f"""{EV}, g AS (SELECT *, i * 2 - 1 AS at FROM ev),
-  full_ AS (SELECT species, uniprot, unnest(range(1, max(at) + 1)) AS i FROM g GROUP BY {K})
+@register("densified_positions", f"""{EV}, g AS (SELECT *, i * 2 - 1 AS pos FROM ev),
+  full_ AS (SELECT species, uniprot, unnest(range(1, max(pos) + 1)) AS i FROM g GROUP BY {K})
   SELECT f.species, f.uniprot, f.i, coalesce(g.aa, 'X') AS aa, coalesce(g.ss, 'C') AS ss, coalesce({D('g.plddt')}, 0) AS plddt
-  FROM full_ f LEFT JOIN g ON g.species = f.species AND g.uniprot = f.uniprot AND g.at = f.i""")
+  FROM full_ f LEFT JOIN g ON g.species = f.species AND g.uniprot = f.uniprot AND g.pos = f.i""")
 def densified_positions(spark, sf):
     """Missing positions are filled; here every second position is missing."""
     from ..sources.features import densify
