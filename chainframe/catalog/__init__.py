@@ -1,7 +1,7 @@
 """Every registered query with its SQL counterpart."""
 
-from . import evaluation, language, workload
+from . import dataset, evaluation, language, workload
 
-MODULES = [language, workload, evaluation]
+MODULES = [language, workload, evaluation, dataset]
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: s for m in MODULES for name, s in m.ORACLES.items()}
