@@ -112,7 +112,7 @@ def question_texts(spark, sf):
 def rerendered_texts(spark, sf):
     """Texts written anew; rows whose stored wording was the other one change."""
     q = generate.with_texts(questions_for("A4", ChainSet(event_chains(spark, sf)).chains(), 2))
-    stale = q.withColumn("question", generate.TEMPLATES["A4"].question_text(F.lit(0)))
+    stale = q.withColumn("question", generate.question_text(F.lit(0)))
     return generate.rerender(stale).select("qid", "changed")
 
 
@@ -120,10 +120,7 @@ def rerendered_texts(spark, sf):
 def generate_questions(spark, sf):
     """The three tracks over vector chains: main, compositional, abstaining."""
     chains = ChainSet(vector_chains(spark, sf)).chains()
-    rows = None
-    for track in generate.TRACKS:
-        got = generate.candidates(chains, track, with_matrix=True)
-        rows = got if rows is None else rows.unionByName(got)
+    rows = generate.candidates(chains, generate.TRACKS, with_matrix=True)
     picked = cut_lineage(generate.choose(cut_lineage(rows)))
     return generate.with_texts(picked).withColumn("params", generate.params_key(F.col("params")))
 
@@ -209,7 +206,7 @@ def hard_negative_resampled(spark, sf):
     """HN1 of count questions: new parameters until the answer differs."""
     chains = ChainSet(event_chains(spark, sf))
     found = hard_negatives.first_differing(
-        hard_negatives.resampled(_positives("A4", spark, sf, chains)), chains, ["A4"]
+        hard_negatives.resampled(_positives("A4", spark, sf, chains), ["A4"]), chains, ["A4"]
     )
     return found.select("qid", "order", F.element_at("new_params", "threshold").alias("threshold"), F.col("new_answer").alias("answer"))
 
@@ -430,14 +427,14 @@ def chain_statistics(spark, sf):
     return got.withColumns({c: fixed(F.col(c)) for c in got.columns if c.startswith("frac") or c.endswith(("_mean", "_std"))})
 
 
-@register("length_percentiles", EV + "SELECT species, count(*) AS n, " + ", ".join(
+@register("length_percentiles", EV + "SELECT species, " + ", ".join(
     f"{S.fixed(f'quantile_cont(CAST(length AS DOUBLE), {q})', 4)} AS p{int(q * 100)}" for q in (0.10, 0.25, 0.50, 0.75, 0.90)) + " FROM ev WHERE i = 1 GROUP BY species")
 def length_percentiles(spark, sf):
     got = statistics.length_percentiles(event_chains(spark, sf))
     return got.withColumns({c: fixed(F.col(c), 4) for c in got.columns if c.startswith("p")})
 
 
-@register("score_median", EV + f"SELECT species, count(*) AS n, {S.fixed('quantile_cont(CAST(plddt AS DOUBLE), 0.5)', 4)} AS p50 FROM ev GROUP BY species")
+@register("score_median", EV + f"SELECT species, {S.fixed('quantile_cont(CAST(plddt AS DOUBLE), 0.5)', 4)} AS p50 FROM ev GROUP BY species")
 def score_median(spark, sf):
     return statistics.score_median(event_chains(spark, sf)).withColumn("p50", fixed(F.col("p50"), 4))
 

@@ -37,3 +37,15 @@ def _round_batch(value: pd.Series, digits: pd.Series) -> pd.Series:
     # float.__round__ rounds correctly; numpy scales and rounds instead.
     n = int(digits.iloc[0]) if len(digits) else 0
     return value.map(lambda v: v if v != v else round(float(v), n))
+
+
+def fixed_text(value: Column, digits: int) -> Column:
+    """A number with a fixed count of decimals, rounded on the binary value.
+    ``format_string`` rounds half up on the decimal text (0.3125 -> 0.313)."""
+    return _fixed_batch(value.cast("double"), F.lit(digits))
+
+
+@F.pandas_udf(T.StringType())
+def _fixed_batch(value: pd.Series, digits: pd.Series) -> pd.Series:
+    n = int(digits.iloc[0]) if len(digits) else 0
+    return value.map(lambda v: None if v != v else f"{v:.{n}f}")

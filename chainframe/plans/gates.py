@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
-from .generate import by_template
+from .generate import per_template
 from .programs import run_programs
 from .splits import head_per_group
 
@@ -128,13 +128,11 @@ def most_missing(checked: DataFrame, n: int = 20) -> DataFrame:
 
 
 def leaks_program(question: Column) -> Column:
-    """Does a wording contain the operator names of its own program?"""
-    low = F.lower(question)
-    def calls(t):
-
-        names = sorted(set(re.findall(r"([a-z_]+)\(", t.program)))
-        return F.lit(False) if not names else low.rlike("|".join(rf"\b{n}\(" for n in names))
-    return by_template(calls)
+    """Does a wording contain an operator call of its own program?"""
+    calls = per_template(
+        lambda t: "|".join(rf"\b{n}\(" for n in sorted(set(re.findall(r"([a-z_]+)\(", t.program)))) or r"$.^"
+    )
+    return F.rlike(F.lower(question), calls)
 
 
 def wording_statistics(pool: DataFrame) -> DataFrame:

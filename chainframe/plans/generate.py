@@ -12,9 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranking import hash_int
-from ..schema import KEY
+from ..schema import KEY, literal_map
 from .templates import (
-    FAMILIES, SET_TYPES, SWAPPED_TERMINI, TEMPLATES, ChainSet, answer_template, param, raw_draws, render,
+    FAMILIES, SET_TYPES, SWAPPED_TERMINI, TEMPLATES, ChainSet, answer_template, fill, param, raw_draws,
 )
 
 # --- fixed values -------------------------------------------------------------
@@ -35,48 +35,59 @@ def weighted_choice(weights: dict[str, float], draw: Column) -> Column:
     return out.otherwise(labels[-1]) if out is not None else F.lit(labels[-1])
 
 
-def family_draw(track: str, draw: Column) -> Column:
-    if track == "G":
-        return F.lit("G")
-    if track == "H":
-        return weighted_choice({"Ha": 0.5, "Hb": 0.5}, draw)
-    return weighted_choice(FAMILY_WEIGHTS, draw)
-
-
-def candidates(chains: DataFrame, track: str, with_matrix: bool, seed=0, count=None) -> DataFrame:
-    """Every (slot, attempt) of a track with family, template and parameters.
+def candidates(chains: DataFrame, tracks: dict[str, int], with_matrix: bool, seed=0) -> DataFrame:
+    """Every (track, slot, attempt) with family, template and parameters.
 
     Twice as many slots as questions wanted leave room for slots whose
     attempts are all rejected.
     """
-    n = count or TRACKS[track]
-    tries = chains.select(
-        *KEY, "length", F.explode(F.sequence(F.lit(0), F.lit(2 * n - 1))).alias("slot")
-    ).withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))))
-    where = [F.lit(str(seed)), F.lit(track), F.col("slot").cast("string")]
-    drawn = tries.withColumn("family", family_draw(track, hash_int(*[F.col(c) for c in KEY], *where, F.lit("family"))))
-    pick = hash_int(*[F.col(c) for c in KEY], *where, F.lit("template"))
-    template = None
-    for family, listed in FAMILIES.items():
-        names = F.array(*[F.lit(t.name) for t in listed])
-        chosen = F.element_at(names, (F.pmod(pick, F.lit(len(listed))) + 1).cast("int"))
-        template = (F.when if template is None else template.when)(F.col("family") == family, chosen)
-    drawn = drawn.withColumn("template", template).withColumns(
-        raw_draws(MAX_DRAWS, F.col("template"), *where, F.col("attempt").cast("string"))
+    def slots_of(name, n):
+        numbers = F.sequence(F.lit(0), F.lit(2 * n - 1))
+        return F.transform(numbers, lambda s: F.struct(F.lit(name).alias("track"), s.alias("slot")))
+
+    slots = F.explode(F.flatten(F.array(*[slots_of(name, n) for name, n in tracks.items()])))
+    tries = chains.select(*KEY, "length", slots.alias("_s")).select(
+        *KEY, "length", "_s.track", "_s.slot",
+        F.explode(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1))).alias("attempt"),
     )
-    params, valid = None, None
-    for t in TEMPLATES.values():
-        _, ok, _ = t.sampled()
-        if t.needs_matrix and not with_matrix:
-            ok = F.lit(False)
-        here = F.col("template") == t.name
-        params = (F.when if params is None else params.when)(here, t.params_column())
-        valid = (F.when if valid is None else valid.when)(here, ok)
-    return drawn.withColumn("params", params).where(valid).withColumn("track", F.lit(track)).select(
+    where = [F.lit(str(seed)), F.col("track"), F.col("slot").cast("string")]
+    keys = [F.col(c) for c in KEY]
+    draw = F.col("_f")
+    drawn = tries.withColumns({
+        "_f": hash_int(*keys, *where, F.lit("family")), "_t": hash_int(*keys, *where, F.lit("template")),
+    }).withColumn("family", F.when(F.col("track") == "G", "G").when(
+        F.col("track") == "H", weighted_choice({"Ha": 0.5, "Hb": 0.5}, draw)
+    ).otherwise(weighted_choice(FAMILY_WEIGHTS, draw)))
+    listed = F.element_at(literal_lists({f: [t.name for t in ts] for f, ts in FAMILIES.items()}), F.col("family"))
+    drawn = drawn.withColumn(
+        "template", F.element_at(listed, (F.pmod("_t", F.size(listed)) + 1).cast("int"))
+    ).withColumns(raw_draws(MAX_DRAWS, F.col("template"), *where, F.col("attempt").cast("string")))
+    usable = [t for t in TEMPLATES.values() if with_matrix or not t.needs_matrix]
+    return with_drawn_params(drawn, usable).select(
         *KEY, "length", "track", "slot", "attempt", "family", "template", "params"
     )
 
 
+def literal_lists(lists: dict[str, list[str]]) -> Column:
+    return F.create_map(*[
+        v for k, items in lists.items() for v in (F.lit(k), F.array(*[F.lit(i) for i in items]))
+    ])
+
+
+def with_drawn_params(drawn: DataFrame, templates) -> DataFrame:
+    """Parameters from the raw draws of each row; rows whose chain does not
+    suit the template, or whose template is not listed, are dropped."""
+    def one(t):
+        values, valid, _ = t.sampled()
+        return F.when(valid, t.params_column())
+
+    parts = [
+        drawn.where(F.col("template") == t.name).withColumn("params", one(t)).where("params is not null")
+        for t in templates
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def params_key(params: Column) -> Column:
     """Canonical text of a parameter map: names in order."""
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
@@ -103,33 +114,42 @@ def choose(rows: DataFrame, per_track: dict[str, int] = TRACKS) -> DataFrame:
     )
 
 
-def by_template(build) -> Column:
-    out = None
-    for t in TEMPLATES.values():
-        out = (F.when if out is None else out.when)(F.col("template") == t.name, build(t))
-    return out
+def per_template(value) -> Column:
+    """A template attribute looked up by the row's template."""
+    return F.try_element_at(literal_map({t.name: value(t) for t in TEMPLATES.values()}), F.col("template"))
+
+
+def wordings() -> Column:
+    listed = literal_lists({t.name: t.wording for t in TEMPLATES.values()})
+    return F.try_element_at(listed, F.col("template"))
+
+
+def question_text(paraphrase: Column) -> Column:
+    """The wording chosen by ``paraphrase`` modulo their number, filled in."""
+    listed = wordings()
+    return fill(F.element_at(listed, (F.pmod(paraphrase, F.size(listed)) + 1).cast("int")))
 
 
 def program_text() -> Column:
     swapped = (F.col("template") == "A2") & (param("n_first") == 0)
-    return F.when(swapped, render(SWAPPED_TERMINI)).otherwise(by_template(lambda t: t.program_text()))
+    return fill(F.when(swapped, F.lit(SWAPPED_TERMINI)).otherwise(per_template(lambda t: t.program)))
 
 
 def with_texts(q: DataFrame, seed=0) -> DataFrame:
     """program, answer_type, paraphrase_id and the question text."""
-    turn = by_template(lambda t: F.pmod(hash_int(F.lit(str(seed)), F.col("qid")), F.lit(len(t.wording))))
+    turn = F.pmod(hash_int(F.lit(str(seed)), F.col("qid")), F.size(wordings()))
     return q.withColumns({
         "program": program_text(),
-        "answer_type": by_template(lambda t: F.lit(t.answer_type)),
+        "answer_type": per_template(lambda t: t.answer_type),
         "paraphrase_id": turn.cast("int"),
-    }).withColumn("question", by_template(lambda t: t.question_text(F.col("paraphrase_id"))))
+    }).withColumn("question", question_text(F.col("paraphrase_id")))
 
 
 def rerender(q: DataFrame) -> DataFrame:
     """Write all question texts anew from the current wordings.  ``changed``
     tells which rows differ, ``err`` which name an unknown template."""
-    fresh = by_template(lambda t: t.question_text(F.col("paraphrase_id")))
     known = F.col("template").isin(list(TEMPLATES))
+    fresh = F.when(known, question_text(F.col("paraphrase_id")))
     return q.withColumn("_new", fresh).withColumns({
         "changed": known & ~F.col("_new").eqNullSafe(F.col("question")),
         "err": F.when(~known, F.lit("unknown template")),

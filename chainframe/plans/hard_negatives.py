@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import answers_differ
 from ..operators.ranking import hash_int, hash_rank
 from ..schema import KEY
-from .generate import answer_all, by_template, params_key, weighted_choice, with_texts
+from .generate import answer_all, params_key, weighted_choice, with_drawn_params, with_texts
 from .templates import TEMPLATES, ChainSet, raw_draws
 
 # --- fixed values -------------------------------------------------------------
@@ -54,16 +54,15 @@ def class_choice(seed=0) -> Column:
     return out.otherwise("HN1")
 
 
-def resampled(positives: DataFrame, attempts: int = MAX_ATTEMPTS, seed=0) -> DataFrame:
+def resampled(positives: DataFrame, templates: list[str], attempts: int = MAX_ATTEMPTS, seed=0) -> DataFrame:
     """HN1 variants: fresh parameter draws, numbered in ``order``."""
-    tries = positives.withColumn("order", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))).withColumns(
+    tries = positives.withColumn("_old", params_key(F.col("params"))).drop("params").withColumn(
+        "order", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1)))
+    ).withColumns(
         raw_draws(5, F.col("template"), F.lit(f"hn1/{seed}"), F.col("qid"), F.col("order").cast("string"))
     )
-    fresh = by_template(lambda t: t.params_column())
-    valid = by_template(lambda t: t.sampled()[1])
-    return tries.where(valid).withColumn("_old", params_key(F.col("params"))).withColumn("params", fresh).where(
-        params_key(F.col("params")) != F.col("_old")
-    ).drop("_old", *[f"_d{k}" for k in range(5)])
+    fresh = with_drawn_params(tries, [TEMPLATES[t] for t in templates])
+    return fresh.where(params_key(F.col("params")) != F.col("_old")).drop("_old", *[f"_d{k}" for k in range(5)])
 
 
 def threshold_flips(positives: DataFrame, seed=0) -> DataFrame:
@@ -113,7 +112,7 @@ def mine(positives: DataFrame, chains: ChainSet, templates: list[str], seed=0) -
     drawn = positives.withColumn("_class", class_choice(seed))
     flipped = first_differing(threshold_flips(drawn.where("_class = 'HN2'"), seed), chains, templates)
     left = drawn.join(flipped.select("qid"), "qid", "left_anti")
-    fresh = first_differing(resampled(left, seed=seed), chains, templates)
+    fresh = first_differing(resampled(left, templates, seed=seed), chains, templates)
     found = flipped.withColumn("hn_class", F.lit("HN2")).unionByName(
         fresh.withColumn("hn_class", F.lit("HN1")), allowMissingColumns=True
     )

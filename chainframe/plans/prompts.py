@@ -4,6 +4,7 @@ observations."""
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scalars import fixed_text
 from ..operators import windows as W
 from ..operators.pairs import distance
 from ..operators.ranking import hash_below, hash_int, hash_piece, number_rows
@@ -50,9 +51,10 @@ def chain_summaries(residues: DataFrame, width: int = BAND) -> DataFrame:
     )
     joined = whole.join(run_counts(residues, ["H", "E"]), KEY).join(bands(residues, width), KEY)
     text = F.format_string(
-        "Protein: %s (%s)\n  Length: %d residues\n  Mean pLDDT: %.1f\n  Helix runs: %d, strand runs: %d\n"
-        f"  pLDDT band ({width} bins, range %.0f-%.0f): %s\n  SS band:   %s\n" + LEGEND,
-        "uniprot", "species", "length", "mean_plddt", "n_H", "n_E", "band_min", "band_max", "plddt_band", "ss_band",
+        "Protein: %s (%s)\n  Length: %d residues\n  Mean pLDDT: %s\n  Helix runs: %d, strand runs: %d\n"
+        f"  pLDDT band ({width} bins, range %s-%s): %s\n  SS band:   %s\n" + LEGEND,
+        "uniprot", "species", "length", fixed_text(F.col("mean_plddt"), 1), "n_H", "n_E",
+        fixed_text(F.col("band_min"), 0), fixed_text(F.col("band_max"), 0), "plddt_band", "ss_band",
     )
     return joined.select(*KEY, text.alias("summary"))
 
@@ -105,7 +107,7 @@ def few_shot_block(picks: DataFrame, train: DataFrame) -> DataFrame:
     """The chosen examples of each target as one text (``n`` of them)."""
     answer = F.when(
         F.col("answer_type").startswith("Float") & F.col("answer").try_cast("double").isNotNull(),
-        F.format_string("%.3f", F.col("answer").try_cast("double")),
+        fixed_text(F.col("answer").try_cast("double"), 3),
     ).otherwise(F.col("answer"))
     shown = picks.join(
         train.select(F.col("qid").alias("exemplar"), "question", "program", answer.alias("answer")), "exemplar"
@@ -143,8 +145,8 @@ def inspect_residues(requests: DataFrame, residues: DataFrame) -> DataFrame:
     """requests: rid, KEY, i."""
     seen = requests.join(residues, [*KEY, "i"], "left")
     text = F.format_string(
-        "residue %d: pLDDT=%.2f, SS=%s, rel_sasa=%.3f, aa=%s", "i",
-        F.col("plddt").cast("double"), "ss", F.col("rel_sasa").cast("double"), "aa",
+        "residue %d: pLDDT=%s, SS=%s, rel_sasa=%s, aa=%s", "i",
+        fixed_text(F.col("plddt"), 2), "ss", fixed_text(F.col("rel_sasa"), 3), "aa",
     )
     return seen.select("rid", F.when(F.col("ss").isNull(), "tool error: residue index out of range").otherwise(text).alias("observation"))
 
@@ -158,17 +160,18 @@ def measure_distances(requests: DataFrame, residues: DataFrame) -> DataFrame:
         [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*KEY, "j")], "left",
     )
     d = distance("a", "b")
-    text = F.format_string("CA-CA distance between residues %d and %d = %.2f A", "a.i", "a.j", d)
+    text = F.format_string("CA-CA distance between residues %d and %d = %s A", "a.i", "a.j", fixed_text(d, 2))
     return both.select("a.rid", F.when(d.isNull(), "tool error: residue index out of range").otherwise(text).alias("observation"))
 
 
 def region_observations(values: DataFrame) -> DataFrame:
     """From region values (see ``region_tool_metrics``) to text."""
     text = F.format_string(
-        "region [%d,%d]: mean_plddt=%.2f, min_plddt=%.2f, max_plddt=%.2f, std_plddt=%.2f, mean_rel_sasa=%.3f, "
-        "n_helix_residues=%d, n_strand_residues=%d, n_coil_residues=%d, length=%d, radius_of_gyration=%.2f",
-        "start", "end", "mean", "low", "high", "std", "exposed", "n_h", "n_e", "n_c",
-        F.col("end") - F.col("start") + 1, "rg",
+        "region [%d,%d]: mean_plddt=%s, min_plddt=%s, max_plddt=%s, std_plddt=%s, mean_rel_sasa=%s, "
+        "n_helix_residues=%d, n_strand_residues=%d, n_coil_residues=%d, length=%d, radius_of_gyration=%s",
+        "start", "end", *[fixed_text(F.col(c), 2) for c in ("mean", "low", "high", "std")],
+        fixed_text(F.col("exposed"), 3), "n_h", "n_e", "n_c",
+        F.col("end") - F.col("start") + 1, fixed_text(F.col("rg"), 2),
     )
     return values.select("qid", F.when(F.col("err").isNotNull(), F.concat(F.lit("tool error: "), "err")).otherwise(text).alias("observation"))
 
@@ -184,7 +187,7 @@ def region_tool_metrics() -> dict:
 
 
 def block_observation(values: DataFrame) -> DataFrame:
-    text = F.format_string("mean PAE([%d,%d] vs [%d,%d]) = %.2f", "a_start", "a_end", "b_start", "b_end", "mean_pae")
+    text = F.format_string("mean PAE([%d,%d] vs [%d,%d]) = %s", "a_start", "a_end", "b_start", "b_end", fixed_text(F.col("mean_pae"), 2))
     return values.select("qid", F.when(F.col("err").isNotNull(), F.concat(F.lit("tool error: "), "err")).otherwise(text).alias("observation"))
 
 

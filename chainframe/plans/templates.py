@@ -9,7 +9,6 @@ column out of ``b`` / ``n`` / ``f`` / ``s`` / (``r_start``, ``r_end``), and
 ``i`` and, for pairs, ``j``).
 """
 
-import re
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -38,7 +37,7 @@ class ChainSet:
 
 
 def param(name: str, kind: str = "long") -> Column:
-    return F.element_at("params", name).cast(kind)
+    return F.try_element_at(F.col("params"), F.lit(name)).cast(kind)
 
 
 def answers(df: DataFrame, err: Column | None = None, **values: Column) -> DataFrame:
@@ -514,25 +513,6 @@ class Template:
         entries = [v for n in sorted(values) for v in (F.lit(n), values[n].cast("double"))]
         return F.create_map(*entries).cast("map<string,double>")
 
-    def program_text(self) -> Column:
-        return render(self.program)
-
-    def question_text(self, paraphrase: Column) -> Column:
-        turn = (F.pmod(paraphrase, F.lit(len(self.wording))) + 1).cast("int")
-        return F.element_at(F.array(*[render(w) for w in self.wording]), turn)
-
-    def pattern(self) -> tuple[str, list[str]]:
-        """Regex of the program text (any spacing) and its parameter names."""
-        names, out = [], []
-        for part in re.split(r"(\{\w+\})", self.program):
-            if part.startswith("{"):
-                names.append(part[1:-1])
-                out.append(r"\s*(-?\d+(?:\.\d+)?)\s*")
-            else:
-                tokens = re.findall(r"\w+|[^\w\s]+", part)
-                out.append(r"\s*".join(re.escape(t) for t in tokens))
-        return r"^\s*" + r"\s*".join(out) + r"\s*$", names
-
 
 def raw_draws(n: int, *seed: Column) -> dict[str, Column]:
     """``n`` independent 32-bit draws per row, from the chain key and ``seed``."""
@@ -544,21 +524,23 @@ def number_text(value: Column) -> Column:
     return F.when(whole, value.cast("long").cast("string")).otherwise(value.cast("string"))
 
 
-def _placeholder(name: str) -> Column:
-    if name == "i_lo":
-        return number_text(param("i", "double") - 5)
-    if name == "i_hi":
-        return number_text(param("i", "double") + 5)
-    if name in ("near", "far"):
-        first = "N" if name == "near" else "C"
-        second = "C" if name == "near" else "N"
-        return F.when(param("n_first") == 1, first).otherwise(second)
-    return number_text(param(name, "double"))
-
-
-def render(text: str) -> Column:
-    parts = [p for p in re.split(r"(\{\w+\})", text) if p]
-    return F.concat(*[_placeholder(p[1:-1]) if p.startswith("{") else F.lit(p) for p in parts])
+def fill(text: Column) -> Column:
+    """Put the parameters of a row into the ``{name}`` places of a text."""
+    whole = F.transform(
+        F.map_entries("params"),
+        lambda e: F.struct(e["key"].alias("k"), number_text(e["value"]).alias("v")),
+    )
+    first = param("n_first", "double") == 1
+    derived = F.array(
+        F.struct(F.lit("i_lo").alias("k"), number_text(param("i", "double") - 5).alias("v")),
+        F.struct(F.lit("i_hi").alias("k"), number_text(param("i", "double") + 5).alias("v")),
+        F.struct(F.lit("near").alias("k"), F.when(first, "N").otherwise("C").alias("v")),
+        F.struct(F.lit("far").alias("k"), F.when(first, "C").otherwise("N").alias("v")),
+    )
+    return F.aggregate(
+        F.concat(whole, derived), text,
+        lambda out, e: F.replace(out, F.concat(F.lit("{"), e["k"], F.lit("}")), F.coalesce(e["v"], F.lit(""))),
+    )
 
 
 REGION = "range({start}, {end})"

@@ -1,0 +1 @@
+"""Predictions that arrive over time."""
