@@ -10,7 +10,7 @@ from ..plans import gates, generate, hard_negatives, programs, prompts, splits,
 from ..plans.templates import ChainSet, answer_template, questions_for, raw_draws
 from ..schema import KEY
 from ..session import cut_lineage
-from ..sources.bindings import SPECIES, event_chains, table, vector_chains, vector_matrix
+from ..sources.bindings import SPECIES, event_chains, event_lengths, table, vector_lengths, vector_matrix
 from . import sql as S
 from .evaluation import _KTAB, sql
 from .workload import fixed
@@ -48,6 +48,10 @@ HROWS = f"""SELECT qid || '/' || hn AS qid, species, uniprot, family, template,
   (SELECT *, CASE WHEN k % 4 = 0 THEN 'HN2' ELSE 'HN1' END AS hn FROM ({QROWS}))"""
 
 
+def _event_set(spark, sf):
+    return ChainSet(event_chains(spark, sf), lengths=event_lengths(spark, sf))
+
+
 def question_rows(spark, sf):
     return sql(spark, sf, QROWS, "events")
 
@@ -84,7 +88,7 @@ def weighted_family_draw(spark, sf):
 def distinct_questions_per_chain(spark, sf):
     """Duplicate parameters dropped, first acceptable attempt per slot, at
     most three questions."""
-    chains = ChainSet(event_chains(spark, sf)).chains()
+    chains = event_lengths(spark, sf)
     tries = chains.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(7)))).withColumn(
         "attempt", F.explode(F.sequence(F.lit(0), F.lit(2)))
     ).withColumns(raw_draws(1, F.lit("A4"), F.col("slot").cast("string"), F.col("attempt").cast("string")))
@@ -103,7 +107,7 @@ def distinct_questions_per_chain(spark, sf):
       ELSE 'Is the distance between residues ' || i || ' and ' || j || ' below ' || CAST(t AS BIGINT) || ' angstrom?' END AS question FROM q""")
 def question_texts(spark, sf):
     """Program and question text rendered from parameters."""
-    q = questions_for("B2", ChainSet(event_chains(spark, sf)).chains(), 2)
+    q = questions_for("B2", event_lengths(spark, sf), 2)
     return generate.with_texts(q).select("qid", "program", "answer_type", "question")
 
 
@@ -111,7 +115,7 @@ def question_texts(spark, sf):
   SELECT qid, {H("'0'", 'qid')} % 2 <> 0 AS changed FROM q""")
 def rerendered_texts(spark, sf):
     """Texts written anew; rows whose stored wording was the other one change."""
-    q = generate.with_texts(questions_for("A4", ChainSet(event_chains(spark, sf)).chains(), 2))
+    q = generate.with_texts(questions_for("A4", event_lengths(spark, sf), 2))
     stale = q.withColumn("question", generate.question_text(F.lit(0)))
     return generate.rerender(stale).select("qid", "changed")
 
@@ -119,7 +123,7 @@ def rerendered_texts(spark, sf):
 @register("generate_questions")
 def generate_questions(spark, sf):
     """The three tracks over vector chains: main, compositional, abstaining."""
-    chains = ChainSet(vector_chains(spark, sf)).chains()
+    chains = vector_lengths(spark, sf)
     rows = generate.candidates(chains, generate.TRACKS, with_matrix=True)
     picked = cut_lineage(generate.choose(cut_lineage(rows)))
     return generate.with_texts(picked).withColumn("params", generate.params_key(F.col("params")))
@@ -136,17 +140,16 @@ _RUN = ["A4", "B1", "E6"]
 def run_program_texts(spark, sf):
     """Five program texts per chain: two that run, one that leaves the chain,
     one of unknown shape and an empty one."""
-    ev = event_chains(spark, sf)
     texts = F.array(
         F.concat(F.lit("count r in  all_residues where plddt( r ) > "), F.col("length").cast("string")),
         F.lit("n_helices( )"),
         F.concat(F.lit("distance(residue(1), residue("), (F.col("length") + 1).cast("string"), F.lit("))")),
         F.lit("foo(1)"), F.lit(""),
     )
-    asked = ChainSet(ev).chains().select(*KEY, F.posexplode(texts).alias("f", "program")).select(
+    asked = event_lengths(spark, sf).select(*KEY, F.posexplode(texts).alias("f", "program")).select(
         F.concat_ws("/", *KEY, F.col("f").cast("string")).alias("qid"), *KEY, "program"
     )
-    return programs.run_programs(asked, ChainSet(ev), _RUN)
+    return programs.run_programs(asked, _event_set(spark, sf), _RUN)
 
 
 # ------------------------------------------------------------ hard negatives --
@@ -180,7 +183,7 @@ def _positives(template, spark, sf, chains):
     q = questions_for(template, chains.chains(), 2).withColumns(
         {"family": F.lit(template[0]), "answer_type": F.lit(generate.TEMPLATES[template].answer_type)}
     )
-    got = answer_template(template, q, chains)
+    got = answer_template(template, q, chains, drawn=True)
     return cut_lineage(q.join(got.select("qid", generate.answer_text(got).alias("answer")), "qid"))
 
 
@@ -190,7 +193,7 @@ def _positives(template, spark, sf, chains):
   SELECT qid, CAST(c AS DOUBLE) AS threshold, CAST(d < c AS VARCHAR) AS answer FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY o) AS rn FROM v WHERE (d < c) <> (d < t)) WHERE rn = 1""")
 def hard_negative_threshold_flip(spark, sf):
     """HN2 of distance questions: another threshold that flips the answer."""
-    chains = ChainSet(event_chains(spark, sf))
+    chains = _event_set(spark, sf)
     positives = _positives("B2", spark, sf, chains)
     found = hard_negatives.first_differing(hard_negatives.threshold_flips(positives), chains, ["B2"])
     return found.select("qid", F.element_at("new_params", "threshold").alias("threshold"), F.col("new_answer").alias("answer"))
@@ -204,7 +207,7 @@ def hard_negative_threshold_flip(spark, sf):
     WHERE t1 <> t0 AND (abs(c0 - c1) >= 3 OR abs(c0 - c1) / CAST(greatest(c0, c1, 1) AS DOUBLE) > 0.12)) WHERE rn = 1""")
 def hard_negative_resampled(spark, sf):
     """HN1 of count questions: new parameters until the answer differs."""
-    chains = ChainSet(event_chains(spark, sf))
+    chains = _event_set(spark, sf)
     found = hard_negatives.first_differing(
         hard_negatives.resampled(_positives("A4", spark, sf, chains), ["A4"]), chains, ["A4"]
     )
@@ -214,7 +217,7 @@ def hard_negative_resampled(spark, sf):
 @register("mine_hard_negatives")
 def mine_hard_negatives(spark, sf):
     """Both classes with fallback, for distance questions."""
-    chains = ChainSet(event_chains(spark, sf))
+    chains = _event_set(spark, sf)
     found = hard_negatives.mine(_positives("B2", spark, sf, chains), chains, ["B2"])
     return found.select("qid", "hn_source_qid", "hn_class", "program", "answer", "is_hard_negative")
 
@@ -488,7 +491,7 @@ def exemplar_choice(spark, sf):
 @register("prompt_texts")
 def prompt_texts(spark, sf):
     ev = event_chains(spark, sf)
-    q = generate.with_texts(questions_for("A4", ChainSet(ev).chains(), 2)).withColumns(
+    q = generate.with_texts(questions_for("A4", event_lengths(spark, sf), 2)).withColumns(
         {"family": F.lit("A"), "answer": F.lit("1")}
     )
     q = cut_lineage(q)
@@ -499,7 +502,7 @@ def prompt_texts(spark, sf):
 @register("tool_inspect_residue", EV + """SELECT species || '/' || uniprot AS rid, printf('residue %d: pLDDT=%.2f, SS=%s, rel_sasa=%.3f, aa=%s', i, CAST(plddt AS DOUBLE), ss, CAST(rel_sasa AS DOUBLE), aa) AS observation FROM ev WHERE i = 7""")
 def tool_inspect_residue(spark, sf):
     ev = event_chains(spark, sf)
-    asked = ChainSet(ev).chains().select(F.concat_ws("/", *KEY).alias("rid"), *KEY, F.lit(7).cast("long").alias("i"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("rid"), *KEY, F.lit(7).cast("long").alias("i"))
     return prompts.inspect_residues(asked, ev)
 
 
@@ -507,14 +510,14 @@ def tool_inspect_residue(spark, sf):
   FROM ev a LEFT JOIN ev b ON a.species = b.species AND a.uniprot = b.uniprot AND b.i = 60 WHERE a.i = 7""")
 def tool_distance(spark, sf):
     ev = event_chains(spark, sf)
-    asked = ChainSet(ev).chains().select(F.concat_ws("/", *KEY).alias("rid"), *KEY, F.lit(7).cast("long").alias("i"), F.lit(60).cast("long").alias("j"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("rid"), *KEY, F.lit(7).cast("long").alias("i"), F.lit(60).cast("long").alias("j"))
     return prompts.measure_distances(asked, ev)
 
 
 @register("tool_region_stats")
 def tool_region_stats(spark, sf):
     ev = event_chains(spark, sf)
-    asked = ChainSet(ev).chains().select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(30).alias("end"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(30).alias("end"))
     return prompts.region_observations(regions.region_values(asked, ev, prompts.region_tool_metrics()))
 
 

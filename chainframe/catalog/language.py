@@ -8,7 +8,7 @@ from ..functions import scalars
 from ..operators import matrix, pairs, quantify, regions, runs, sets, windows
 from ..operators.ranking import number_rows
 from ..schema import KEY
-from ..sources.bindings import event_chains, table, vector_chains, vector_matrix
+from ..sources.bindings import event_chains, event_lengths, table, vector_chains, vector_matrix
 from . import sql as S
 from .workload import fixed
 
@@ -96,7 +96,7 @@ def domain_sliding_window_step(spark, sf):
   AND b.uniprot = a.uniprot AND b.i >= a.i + 7) AS later FROM ev a""".replace("SELECT species, uniprot, (", "SELECT species, uniprot, CAST(sum(n) AS BIGINT) AS n_pairs FROM (SELECT a.species, a.uniprot, (").replace("AS later FROM ev a", "AS n FROM ev a) GROUP BY species, uniprot"))
 def domain_all_pairs_size(spark, sf):
     """size(all_pairs(min_sep=7)) is a formula of the length."""
-    return _chains(event_chains(spark, sf)).select(
+    return event_lengths(spark, sf).select(
         *KEY, pairs.pair_domain_size(F.col("length"), 7).alias("n_pairs")
     )
 
@@ -120,19 +120,19 @@ def domain_region_is_endpoints(spark, sf):
 @register("quantifier_exists", EV + f"SELECT {K}, bool_or({D('plddt')} > 99 AND ss = 'C') AS answer FROM ev GROUP BY {K}")
 def quantifier_exists(spark, sf):
     ev = event_chains(spark, sf)
-    return quantify.exists(ev, (F.col("plddt").cast("double") > 99) & (F.col("ss") == "C"), _chains(ev))
+    return quantify.exists(ev, (F.col("plddt").cast("double") > 99) & (F.col("ss") == "C"), event_lengths(spark, sf))
 
 
 @register("quantifier_forall", EV + f"SELECT {K}, bool_and({D('plddt')} > 2 OR ss = 'H') AS answer FROM ev GROUP BY {K}")
 def quantifier_forall(spark, sf):
     ev = event_chains(spark, sf)
-    return quantify.forall(ev, (F.col("plddt").cast("double") > 2) | (F.col("ss") == "H"), _chains(ev))
+    return quantify.forall(ev, (F.col("plddt").cast("double") > 2) | (F.col("ss") == "H"), event_lengths(spark, sf))
 
 
 @register("quantifier_count", EV + f"SELECT {K}, count(*) FILTER ({D('plddt')} BETWEEN 20 AND 60) AS answer FROM ev GROUP BY {K}")
 def quantifier_count(spark, sf):
     ev = event_chains(spark, sf)
-    return quantify.count(ev, F.col("plddt").cast("double").between(20, 60), _chains(ev))
+    return quantify.count(ev, F.col("plddt").cast("double").between(20, 60), event_lengths(spark, sf))
 
 
 @register("quantifier_filter", EV + f"SELECT {K}, i FROM ev WHERE ss = 'E' AND {D('rel_sasa')} < 0.2")
@@ -165,7 +165,7 @@ def quantifier_empty_domain(spark, sf):
     count is 0 and argmin is an error."""
     ev = event_chains(spark, sf)
     none = windows.sliding_windows(ev, [5000], {"v": windows.mean("plddt")})
-    chains, test = _chains(ev), F.col("v") > 50
+    chains, test = event_lengths(spark, sf), F.col("v") > 50
     return (
         quantify.exists(none, test, chains, name="any_")
         .join(quantify.forall(none, test, chains, name="all_"), KEY)
@@ -191,7 +191,7 @@ def quantifier_nested(spark, sf):
     )).alias("e")).select(*KEY, "e.i", "e.other")
     inner = quantify.forall(ends, F.col("other").cast("double") > 10, by=[*KEY, "i"], name="ok")
     outer = ev.join(inner, [*KEY, "i"], "left")
-    return quantify.count(outer, (F.col("ss") == "H") & F.coalesce("ok", F.lit(True)), _chains(ev))
+    return quantify.count(outer, (F.col("ss") == "H") & F.coalesce("ok", F.lit(True)), event_lengths(spark, sf))
 
 
 # -------------------------------------------------------------------- pairs --
@@ -219,7 +219,7 @@ def pair_missing_index(spark, sf):
     ev = event_chains(spark, sf)
     hit = ev.where("i = 70").select(*KEY, F.col("plddt").cast("double").alias("v"))
     problem = regions.position_problem(F.lit(70), F.col("length"))
-    return _chains(ev).join(hit, KEY, "left").select(*KEY, problem.alias("err"), "v")
+    return event_lengths(spark, sf).join(hit, KEY, "left").select(*KEY, problem.alias("err"), "v")
 
 
 @register("pair_split_predicate", EV + f"""SELECT {K}, CAST(coalesce(sum(n), 0) AS BIGINT) AS answer FROM (
@@ -244,7 +244,7 @@ def contact_edges(spark, sf):
 def long_range_contacts(spark, sf):
     """long_range_contacts(range(5, 45)) with sep 12 and radius 8."""
     ev = event_chains(spark, sf)
-    asked = _chains(ev).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(45).alias("end"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(45).alias("end"))
     found = regions.contact_counts(asked, pairs.close_pairs(ev, 8.0, min_sep=13), min_gap=12)
     return asked.join(found, "qid", "left").select(*KEY, F.coalesce("contacts", F.lit(0)).alias("answer"))
 
@@ -312,7 +312,7 @@ def region_lengths(spark, sf):
     """length(range(10, 40)), and protein_length(), which is also what
     length() of any other argument gives."""
     size = F.lit(40) - F.lit(10) + 1
-    return _chains(event_chains(spark, sf)).select(*KEY, size.alias("region_length"), F.col("length").alias("chain_length"))
+    return event_lengths(spark, sf).select(*KEY, size.alias("region_length"), F.col("length").alias("chain_length"))
 
 
 @register("sliding_window_values", EV + f"""SELECT a.species, a.uniprot, a.i AS start, {_m('b.plddt')} AS mean_plddt,
@@ -407,7 +407,7 @@ def set_size_and_membership(spark, sf):
         F.bool_or(F.col("i") == 25).alias("has_25"),
         F.bool_or(sets.in_region(F.col("i"), F.lit(20), F.lit(30))).alias("in_region"),
     )
-    out = sets.size(b, _chains(ev)).withColumnRenamed("answer", "n").join(hits, KEY, "left")
+    out = sets.size(b, event_lengths(spark, sf)).withColumnRenamed("answer", "n").join(hits, KEY, "left")
     return out.fillna(False, ["has_25", "in_region"])
 
 

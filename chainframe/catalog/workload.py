@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators.pairs import neighbor_counts
 from ..plans.templates import SET_TYPES, TEMPLATES, ChainSet, answer_template, questions_for
-from ..sources.bindings import event_chains, vector_chains, vector_matrix
+from ..sources.bindings import event_chains, event_lengths, vector_chains, vector_lengths, vector_matrix
 from . import sql as S
 
 SLOTS = 2
@@ -20,11 +20,13 @@ def fixed(col, digits: int = 6):
 
 def chain_set(spark, sf_dir, template: str) -> ChainSet:
     if TEMPLATES[template].needs_matrix:
-        return ChainSet(vector_chains(spark, sf_dir), vector_matrix(spark, sf_dir))
+        return ChainSet(
+            vector_chains(spark, sf_dir), vector_matrix(spark, sf_dir), vector_lengths(spark, sf_dir)
+        )
     residues = event_chains(spark, sf_dir)
     if template in STORED_NEIGHBOURS:
         residues = neighbor_counts(residues)
-    return ChainSet(residues)
+    return ChainSet(residues, lengths=event_lengths(spark, sf_dir))
 
 
 def _query(template: str, gold: bool):
@@ -32,11 +34,8 @@ def _query(template: str, gold: bool):
 
     def run(spark, sf_dir):
         c = chain_set(spark, sf_dir, template)
-        chains = ChainSet(vector_chains(spark, sf_dir)) if c.pae_rows is not None else ChainSet(
-            event_chains(spark, sf_dir)
-        )
-        q = questions_for(template, chains.chains(), SLOTS)
-        got = answer_template(template, q, c, gold)
+        q = questions_for(template, c.chains(), SLOTS)
+        got = answer_template(template, q, c, gold, drawn=True)
         if kind in SET_TYPES:
             return got
         if kind.startswith("Region"):

@@ -9,6 +9,7 @@ column out of ``b`` / ``n`` / ``f`` / ``s`` / (``r_start``, ``r_end``), and
 ``i`` and, for pairs, ``j``).
 """
 
+import itertools
 from dataclasses import dataclass, field
 from typing import Callable
 
@@ -26,15 +27,25 @@ VALUE_COLUMNS = {
 
 
 class ChainSet:
-    """The tables that plans read: residues and, if there is one, the matrix."""
+    """The tables that plans read: residues, the chain lengths, and the matrix
+    if there is one.  ``literals`` lists the values a literal can take where
+    that is known beforehand."""
 
-    def __init__(self, residues: DataFrame, pae_rows: DataFrame | None = None):
+    def __init__(self, residues: DataFrame, pae_rows: DataFrame | None = None,
+                 lengths: DataFrame | None = None, literals: dict[str, list] | None = None):
         self.residues = residues
         self.pae_rows = pae_rows
+        self.lengths = lengths
+        self.literals = literals or {}
 
     def chains(self) -> DataFrame:
+        if self.lengths is not None:
+            return self.lengths
         return self.residues.where("i = 1").select(*KEY, "length")
 
+    def with_literals(self, literals: dict[str, list]) -> "ChainSet":
+        return ChainSet(self.residues, self.pae_rows, self.lengths, literals)
+
 
 def param(name: str, kind: str = "long") -> Column:
     return F.try_element_at(F.col("params"), F.lit(name)).cast(kind)
@@ -59,12 +70,14 @@ def index_error(*indices: Column) -> Column:
     return F.coalesce(*[regions.position_problem(i, F.col("length")) for i in indices])
 
 
-def levels_of(q: DataFrame, *names: str) -> list[tuple]:
-    """The distinct literal combinations a set of questions uses.  Literals
-    come from short lists, so this is a handful of values, and the pass over
-    the data is shared by all of them."""
+def levels_of(q: DataFrame, c: ChainSet, *names: str) -> list[tuple]:
+    """The literal combinations a set of questions uses: those the template
+    draws from, or else the distinct ones.  Either way a handful of values,
+    and one pass over the data serves them all."""
+    if all(n in c.literals for n in names):
+        return sorted(itertools.product(*[[float(v) for v in c.literals[n]] for n in names]))
     rows = q.select(*[param(n, "double").alias(n) for n in names]).distinct().collect()
-    return sorted(tuple(r) for r in rows)
+    return sorted(tuple(r) for r in rows if None not in tuple(r))
 
 
 def per_level(rows: DataFrame, by: list[str], names: list[str], levels, measure) -> DataFrame:
@@ -136,13 +149,13 @@ def _termini(q, c):
     return answers(got, regions.region_problem(F.lit(1), w, F.col("length")), b=lower)
 
 
-def _widths(q):
-    return [int(v[0]) for v in levels_of(q, "window")] or [1]
+def _widths(q, c):
+    return [int(v[0]) for v in levels_of(q, c, "window")] or [1]
 
 
 def _extreme_window(metric, largest):
     def plan(q, c):
-        scored = windows.sliding_windows(c.residues, _widths(q), {"v": metric})
+        scored = windows.sliding_windows(c.residues, _widths(q, c), {"v": metric})
         pick = quantify.argmax if largest else quantify.argmin
         best = pick(scored, F.col("v"), ["start", "end"], by=[*KEY, "w"])
         got = q.withColumn("w", param("window")).join(best, [*KEY, "w"], "left")
@@ -152,7 +165,7 @@ def _extreme_window(metric, largest):
 
 
 def _any_window_above(q, c):
-    scored = windows.sliding_windows(c.residues, _widths(q), {"v": windows.mean("plddt")})
+    scored = windows.sliding_windows(c.residues, _widths(q, c), {"v": windows.mean("plddt")})
     top = scored.groupBy(*KEY, "w").agg(F.max("v").alias("top"))
     got = q.withColumn("w", param("window")).join(top, [*KEY, "w"], "left")
     return answers(got, b=F.coalesce(F.col("top") > param("threshold", "double"), F.lit(False)))
@@ -168,8 +181,8 @@ def dense_windows(c: ChainSet, widths: list[int]) -> DataFrame:
 
 def _dense_confident_window(level_name):
     def plan(q, c):
-        levels = levels_of(q, level_name) if level_name else [(80.0,)]
-        both = dense_windows(c, _widths(q))
+        levels = levels_of(q, c, level_name) if level_name else [(80.0,)]
+        both = dense_windows(c, _widths(q, c))
         name = level_name or "plddt_thr"
         tops = per_level(
             both, [*KEY, "w"], [name], levels,
@@ -190,7 +203,7 @@ def _count_where(test, name):
             got = q.join(found, KEY, "left")
         else:
             counts = per_level(
-                c.residues, KEY, [name], levels_of(q, name), lambda t: F.count_if(test(t))
+                c.residues, KEY, [name], levels_of(q, c, name), lambda t: F.count_if(test(t))
             )
             got = with_level(q, counts, [name])
         return answers(got, n=F.coalesce(F.col("value"), F.lit(0)))
@@ -231,7 +244,7 @@ def _within(q, c):
 def contact_level_counts(q: DataFrame, c: ChainSet, inclusive: bool = False) -> DataFrame:
     """Per chain and (sep, threshold): pairs with d < threshold, j - i >= sep;
     ``inclusive`` counts d <= threshold, j - i > sep."""
-    levels = levels_of(q, "sep", "threshold") or [(1.0, 1.0)]
+    levels = levels_of(q, c, "sep", "threshold") or [(1.0, 1.0)]
     close = pairs.close_pairs(
         c.residues, max(t for _, t in levels), min_sep=int(min(s for s, _ in levels))
     )
@@ -251,7 +264,7 @@ def _contact_count(q, c):
 
 
 def _contact_set(q, c):
-    levels = levels_of(q, "sep", "threshold") or [(1.0, 1.0)]
+    levels = levels_of(q, c, "sep", "threshold") or [(1.0, 1.0)]
     close = pairs.close_pairs(
         c.residues, max(t for _, t in levels), min_sep=int(min(s for s, _ in levels))
     ).withColumn("_block", block_of(F.col("i")))
@@ -324,7 +337,7 @@ def helix_strand_gap(residues: DataFrame, radius: float) -> DataFrame:
 
 
 def _interface(q, c):
-    reach = max([t for (t,) in levels_of(q, "threshold")] or [1.0])
+    reach = max([t for (t,) in levels_of(q, c, "threshold")] or [1.0])
     got = q.join(helix_strand_gap(c.residues, reach), KEY, "left")
     return answers(got, b=F.coalesce(F.col("gap") < param("threshold", "double"), F.lit(False)))
 
@@ -371,7 +384,7 @@ def _buried_or(clamped):
 
 def _with_low_share(q, c):
     counts = per_level(
-        c.residues, KEY, ["plddt_thr"], levels_of(q, "plddt_thr"),
+        c.residues, KEY, ["plddt_thr"], levels_of(q, c, "plddt_thr"),
         lambda t: F.count_if(F.col("plddt").cast("double") < t),
     ).withColumnRenamed("value", "_low")
     got = with_level(q, counts, ["plddt_thr"])
@@ -390,7 +403,7 @@ def _contacts_or(inclusive):
 
 
 def _interface_or(q, c):
-    reach = max([t for (t,) in levels_of(q, "threshold")] or [1.0])
+    reach = max([t for (t,) in levels_of(q, c, "threshold")] or [1.0])
     got = _with_low_share(q, c).join(helix_strand_gap(c.residues, reach), KEY, "left")
     close = F.coalesce(F.col("gap") < param("threshold", "double"), F.lit(False))
     return _or_unreliable(got, F.col("_poor"), b=close)
@@ -401,7 +414,12 @@ def _interface_or(q, c):
 # length, and returns the parameters and the condition under which the
 # template applies to the chain.
 
+_LISTED: list[dict] = []
+
+
 def _choice(draw, tag, values):
+    for seen in _LISTED:
+        seen[tag] = list(values)
     listed = F.array(*[F.lit(float(v)) for v in values])
     return F.element_at(listed, (draw(tag, len(values)) + 1).cast("int"))
 
@@ -508,6 +526,14 @@ class Template:
         values, valid = self.sample(draw, F.col("length"))
         return values, valid, len(tags)
 
+    def literals(self) -> dict[str, list]:
+        """The lists that the sampler draws literals from."""
+        seen: dict[str, list] = {}
+        _LISTED.append(seen)
+        self.sampled()
+        _LISTED.pop()
+        return seen
+
     def params_column(self) -> Column:
         values, _, _ = self.sampled()
         entries = [v for n in sorted(values) for v in (F.lit(n), values[n].cast("double"))]
@@ -745,9 +771,12 @@ def questions_for(template: str, chains: DataFrame, slots: int = 1, seed=0) -> D
     )
 
 
-def answer_template(template: str, q: DataFrame, chains: ChainSet, gold: bool = True) -> DataFrame:
+def answer_template(template: str, q: DataFrame, chains: ChainSet, gold: bool = True, drawn: bool = False) -> DataFrame:
     """Answers of one template; ``gold=False`` follows the program text where
-    that differs from the reference answer."""
+    that differs from the reference answer.  ``drawn`` says that the questions
+    were drawn by the template, so their literals are on its lists."""
     t = TEMPLATES[template]
+    if drawn:
+        chains = chains.with_literals(t.literals())
     plan = t.gold_plan if gold and t.gold_plan is not None else t.plan
     return plan(q, chains)

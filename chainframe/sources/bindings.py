@@ -54,6 +54,26 @@ def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumn("rel_sasa", relative_sasa(F.col("sasa"), F.col("aa")))
 
 
+def event_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chain lengths alone need no positions."""
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.count(F.lit(1)).alias("length")
+    ).select(
+        species_of(F.col("user_id")).alias("species"),
+        F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("uniprot"), "length",
+    )
+
+
+def vector_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").groupBy(
+        "label", F.floor(F.col("vec_id") / SPAN).alias("span")
+    ).agg(F.count(F.lit(1)).alias("length")).select(
+        species_of(F.col("label")).alias("species"),
+        F.concat_ws("_", F.lit("V"), F.col("label").cast("string"), F.col("span").cast("string")).alias("uniprot"),
+        "length",
+    )
+
+
 def _vectors(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     keyed = vectors.select(
