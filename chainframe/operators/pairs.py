@@ -12,7 +12,8 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BLOCK, KEY, block_of
+from ..schema import KEY, block_of
+from .windows import block_size
 
 CELL = ["_cx", "_cy", "_cz"]
 ALL_CELLS = list(itertools.product((-1, 0, 1), repeat=3))
@@ -164,8 +165,8 @@ def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int])
     starts gives the count.  The interval is cut at block borders so that the
     sum restarts in every block.
     """
-    if max(widths) >= BLOCK:
-        raise ValueError(f"a window may span at most {BLOCK} positions")
+    size = block_size(max(widths))
+    block = lambda i: F.floor((i - 1) / F.lit(size))
 
     w = F.explode(F.array(*[F.lit(v).cast("long") for v in widths])).alias("w")
     inside = contacts.select(*KEY, "i", "j", w).where("j - i < w").select(
@@ -173,13 +174,13 @@ def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int])
         F.greatest(F.col("j") - F.col("w") + 1, F.lit(1)).alias("lo"),
         F.col("i").alias("hi"),
     )
-    first, last = block_of(F.col("lo")), block_of(F.col("hi"))
+    first, last = block(F.col("lo")), block(F.col("hi"))
     pieces = inside.select(
         *KEY, "w", "lo", "hi", F.explode(F.sequence(first, last)).alias("_block")
     ).select(
         *KEY, "w", "_block",
-        F.greatest("lo", F.col("_block") * BLOCK + 1).alias("lo"),
-        F.least("hi", (F.col("_block") + 1) * BLOCK).alias("hi"),
+        F.greatest("lo", F.col("_block") * size + 1).alias("lo"),
+        F.least("hi", (F.col("_block") + 1) * size).alias("hi"),
     )
     steps = pieces.select(
         *KEY, "w", "_block",
@@ -190,12 +191,12 @@ def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int])
             )
         ).alias("_e"),
     ).select(*KEY, "w", "_block", "_e.start", "_e.delta").where(
-        "start <= (_block + 1) * %d" % BLOCK
+        f"start <= (_block + 1) * {size}"
     )
     starts = (
         residues.select(*KEY, "length", F.col("i").alias("start"), w)
         .where("start + w - 1 <= length")
-        .select(*KEY, "w", block_of(F.col("start")).alias("_block"), "start",
+        .select(*KEY, "w", block(F.col("start")).alias("_block"), "start",
                 F.lit(0).alias("delta"), F.lit(True).alias("is_start"))
     )
     changes = (

@@ -5,25 +5,35 @@ in the previous block can reach is copied there (the *halo*), so a window
 never crosses a partition and no partition grows with the chain.
 """
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import BLOCK, KEY, block_of
+from ..schema import BLOCK, KEY
+
+# Widths evaluated in one pass; more are done in several passes.
+MAX_FRAMES = 32
+
+
+def block_size(reach: int) -> int:
+    """Positions per block: the usual size, or more for windows so wide that
+    they would span several blocks."""
+    return max(BLOCK, 2 * reach)
 
 
 def with_halo(df: DataFrame, ahead: int = 0, behind: int = 0) -> DataFrame:
     """Add ``_block``; rows within ``ahead`` of a block start are also given
     to the block before, rows within ``behind`` of a block end to the one
     after.  ``_home`` tells the owner."""
-    if max(ahead, behind) >= BLOCK:
-        raise ValueError(f"a window may span at most {BLOCK} positions")
-    own = block_of(F.col("i"))
-    offset = F.col("i") - 1 - own * BLOCK
+    size = block_size(max(ahead, behind))
+    own = F.floor((F.col("i") - 1) / F.lit(size))
+    offset = F.col("i") - 1 - own * size
     places = [own]
     if ahead:
         places.append(F.when((offset < ahead) & (own > 0), own - 1))
     if behind:
-        places.append(F.when(offset >= BLOCK - behind, own + 1))
+        places.append(F.when(offset >= size - behind, own + 1))
     if len(places) == 1:
         return df.withColumn("_home", own).withColumn("_block", own)
     spread = F.array_compact(F.array(*places))
@@ -95,6 +105,12 @@ def sliding_windows(
     All widths share one sort: each is another frame of the same window
     specification.  Output: KEY, w, start, end and the metrics.
     """
+    if len(widths) > MAX_FRAMES:
+        parts = [
+            sliding_windows(residues, widths[k : k + MAX_FRAMES], metrics, step, extra)
+            for k in range(0, len(widths), MAX_FRAMES)
+        ]
+        return reduce(DataFrame.unionByName, parts)
     wide = with_halo(residues, ahead=max(widths) - 1)
     frames = []
     for w in widths:

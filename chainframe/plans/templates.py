@@ -11,6 +11,7 @@ column out of ``b`` / ``n`` / ``f`` / ``s`` / (``r_start``, ``r_end``), and
 
 import itertools
 from dataclasses import dataclass, field
+from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -80,11 +81,21 @@ def levels_of(q: DataFrame, c: ChainSet, *names: str) -> list[tuple]:
     return sorted(tuple(r) for r in rows if None not in tuple(r))
 
 
+# Literals evaluated in one pass; more are done in several passes.
+MAX_LEVELS = 64
+
+
 def per_level(rows: DataFrame, by: list[str], names: list[str], levels, measure) -> DataFrame:
     """One aggregate per literal combination in a single pass: ``by``, the
     literals as columns, ``value``."""
     if not levels:
         levels = [tuple(0.0 for _ in names)]
+    if len(levels) > MAX_LEVELS:
+        parts = [
+            per_level(rows, by, names, levels[k : k + MAX_LEVELS], measure)
+            for k in range(0, len(levels), MAX_LEVELS)
+        ]
+        return reduce(DataFrame.unionByName, parts)
     cells = [
         F.struct(
             *[F.lit(float(v)).alias(n) for n, v in zip(names, level)],
@@ -150,7 +161,7 @@ def _termini(q, c):
 
 
 def _widths(q, c):
-    return [int(v[0]) for v in levels_of(q, c, "window")] or [1]
+    return [int(w) for (w,) in levels_of(q, c, "window") if w >= 1] or [1]
 
 
 def _extreme_window(metric, largest):
