@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scoring import answers_differ
 from ..operators.ranking import hash_int, hash_rank
 from ..schema import KEY
+from ..session import cut_lineage
 from .generate import answer_all, params_key, weighted_choice, with_drawn_params, with_texts
 from .templates import TEMPLATES, ChainSet, raw_draws
 
@@ -94,6 +95,8 @@ def first_differing(variants: DataFrame, chains: ChainSet, templates: list[str])
     keyed = variants.withColumnsRenamed({"qid": "source_qid", "answer": "old_answer"}).withColumn(
         "qid", F.concat_ws("#", "source_qid", F.col("order").cast("string"))
     )
+    # Every template's plan reads the variants, so they are computed once.
+    keyed = cut_lineage(keyed)
     answered = answer_all(keyed, chains, templates).where("err is null and answer is not null")
     joined = keyed.join(answered.drop("err"), "qid")
     differ = answers_differ(F.col("answer"), F.col("old_answer"), F.col("answer_type"))
