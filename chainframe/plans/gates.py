@@ -94,7 +94,10 @@ def missing_numbers(question: Column, params: Column) -> Column:
     question text does not mention."""
     stated = F.transform(F.regexp_extract_all(question, F.lit(r"(\d+)"), F.lit(1)), lambda v: v.try_cast("long"))
     needed = F.filter(
-        F.transform(F.map_values(params), lambda v: v.cast("long")), lambda v: F.abs(v) >= 1
+        F.transform(
+            # which terminus comes first is a word, not a number
+            F.map_values(F.map_filter(params, lambda k, v: k != "n_first")), lambda v: v.cast("long")
+        ), lambda v: F.abs(v) >= 1
     )
     return F.array_sort(F.array_except(needed, stated))
 

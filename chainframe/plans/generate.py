@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..operators.ranking import hash_int
 from ..schema import KEY, literal_map
 from .templates import (
-    FAMILIES, SET_TYPES, SWAPPED_TERMINI, TEMPLATES, ChainSet, answer_template, fill, param, raw_draws,
+    FAMILIES, SET_TYPES, SWAPPED_TERMINI, TEMPLATES, ChainSet, answer_template, drawn_params, fill, param, raw_draws,
 )
 
 # --- fixed values -------------------------------------------------------------
@@ -77,15 +77,7 @@ def literal_lists(lists: dict[str, list[str]]) -> Column:
 def with_drawn_params(drawn: DataFrame, templates) -> DataFrame:
     """Parameters from the raw draws of each row; rows whose chain does not
     suit the template, or whose template is not listed, are dropped."""
-    def one(t):
-        values, valid, _ = t.sampled()
-        return F.when(valid, t.params_column())
-
-    parts = [
-        drawn.where(F.col("template") == t.name).withColumn("params", one(t)).where("params is not null")
-        for t in templates
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return drawn.withColumn("params", drawn_params(list(templates))).where("params is not null")
 
 
 def params_key(params: Column) -> Column:

@@ -426,11 +426,15 @@ def _interface_or(q, c):
 # template applies to the chain.
 
 _LISTED: list[dict] = []
+_SHARED: list[dict[str, Column]] = []
 
 
 def _choice(draw, tag, values):
     for seen in _LISTED:
         seen[tag] = list(values)
+    if _SHARED:
+        own = F.try_element_at(_SHARED[-1][tag], F.col("template"))
+        return F.element_at(own, (draw(tag, F.size(own)) + 1).cast("int"))
     listed = F.array(*[F.lit(float(v)) for v in values])
     return F.element_at(listed, (draw(tag, len(values)) + 1).cast("int"))
 
@@ -764,6 +768,36 @@ SET_TYPES = ("PairSet", "ResidueSet")
 SWAPPED_TERMINI = "mean_plddt(last({window})) < mean_plddt(first({window}))"
 
 
+def drawn_params(templates: list[Template]) -> Column:
+    """Parameters of a row's template from its raw draws, NULL where the chain
+    does not suit the template or the template is not listed.
+
+    One expression for all templates: the literal lists are looked up by
+    template, and templates whose draws then read alike share a branch.
+    """
+    lists: dict[str, dict[str, list]] = {}
+    for t in templates:
+        for tag, values in t.literals().items():
+            lists.setdefault(tag, {})[t.name] = values
+    _SHARED.append({
+        tag: F.create_map(*[
+            v for name, values in by_name.items()
+            for v in (F.lit(name), F.array(*[F.lit(float(x)) for x in values]))
+        ])
+        for tag, by_name in lists.items()
+    })
+    branches: dict[str, tuple[Column, list[str]]] = {}
+    for t in templates:
+        values, valid, _ = t.sampled()
+        reads = str(valid) + "".join(f"{n}={values[n]}" for n in sorted(values))
+        branches.setdefault(reads, (F.when(valid, t.params_column()), []))[1].append(t.name)
+    _SHARED.pop()
+    out = None
+    for column, names in branches.values():
+        out = (F.when if out is None else out.when)(F.col("template").isin(names), column)
+    return out
+
+
 def questions_for(template: str, chains: DataFrame, slots: int = 1, seed=0) -> DataFrame:
     """``slots`` parameter draws of one template for every chain it fits."""
     t = TEMPLATES[template]

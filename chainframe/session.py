@@ -23,19 +23,15 @@ def local_session(cores: int | str = 8, app: str = "chainframe") -> SparkSession
     return spark
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The reliable folder the cluster names; a temporary one only if none is."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="chainframe-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: a table that several plans read is computed once
-    and survives the loss of the executors that produced it."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(shared_folder(df.sparkSession))
+    and survives the loss of the executors that produced it.
+
+    The folder is the one the cluster names in ``spark.checkpoint.dir``; only
+    where that is unset, as in tests, a temporary one is made.
+    """
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        folder = session.conf.get("spark.checkpoint.dir", None)
+        session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chainframe-"))
     return df.checkpoint(eager=True)
