@@ -125,7 +125,7 @@ def generate_questions(spark, sf):
     """The three tracks over vector chains: main, compositional, abstaining."""
     chains = vector_lengths(spark, sf)
     rows = generate.candidates(chains, generate.TRACKS, with_matrix=True)
-    picked = cut_lineage(generate.choose(cut_lineage(rows)))
+    picked = cut_lineage(generate.choose(rows))
     return generate.with_texts(picked).withColumn("params", generate.params_key(F.col("params")))
 
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators.ranking import hash_int
 from ..schema import KEY, literal_map
+from ..session import cut_lineage
 from .templates import (
     FAMILIES, SET_TYPES, SWAPPED_TERMINI, TEMPLATES, ChainSet, answer_template, drawn_params, fill, param, raw_draws,
 )
@@ -77,7 +78,10 @@ def literal_lists(lists: dict[str, list[str]]) -> Column:
 def with_drawn_params(drawn: DataFrame, templates) -> DataFrame:
     """Parameters from the raw draws of each row; rows whose chain does not
     suit the template, or whose template is not listed, are dropped."""
-    return drawn.withColumn("params", drawn_params(list(templates))).where("params is not null")
+    # Computed once and stored: the filter would otherwise be pushed below the
+    # projection and evaluate the whole expression a second time.
+    stored = cut_lineage(drawn.withColumn("params", drawn_params(list(templates))))
+    return stored.where("params is not null")
 
 
 def params_key(params: Column) -> Column:
