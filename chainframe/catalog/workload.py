@@ -6,11 +6,15 @@ from pyspark.sql import functions as F
 
 from ..operators.pairs import neighbor_counts
 from ..plans.templates import SET_TYPES, TEMPLATES, ChainSet, answer_template, questions_for
+from ..session import cut_lineage
 from ..sources.bindings import event_chains, event_lengths, vector_chains, vector_lengths, vector_matrix
 from . import sql as S
 
 SLOTS = 2
 STORED_NEIGHBOURS = ("D4", "D5")
+# Their plans read the residues four times (scores, both sides of the contact
+# join, window starts); numbering the events once is cheaper.
+READ_OFTEN = ("F2", "G2")
 
 
 def fixed(col, digits: int = 6):
@@ -24,6 +28,8 @@ def chain_set(spark, sf_dir, template: str) -> ChainSet:
             vector_chains(spark, sf_dir), vector_matrix(spark, sf_dir), vector_lengths(spark, sf_dir)
         )
     residues = event_chains(spark, sf_dir)
+    if template in READ_OFTEN:
+        residues = cut_lineage(residues)
     if template in STORED_NEIGHBOURS:
         residues = neighbor_counts(residues)
     return ChainSet(residues, lengths=event_lengths(spark, sf_dir))
