@@ -6,11 +6,17 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination, is_contaminated
+from .language import languages
 from .tokens import read_tokens, write_tokens
+from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -45,13 +51,19 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
 def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return read_tokens(spark, write_tokens(docs, TOKENIZER), with_ids=False)
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op5_decontamination": op5_decontamination,
+    "op6_language": op6_language,
     "op7_token_ids": op7_token_ids,
 }
 ORACLES = {"op5_decontamination": OP5_SQL}
