@@ -323,7 +323,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids
             yield flush()
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    ordered = rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return ordered.mapInArrow(run, BLOCKS)
 
 
