@@ -6,7 +6,10 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import contamination, is_contaminated
+from .fingerprints import edit_likeness
 from .language import languages
+from .secrets import secrets
+from .sharding import shards
 from .tokens import read_tokens, write_tokens
 from .toxicity import toxicity
 
@@ -17,6 +20,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
@@ -60,10 +67,21 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(docs, TOKENIZER), with_ids=False)
 
 
+def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards(table(spark, sf_dir, "documents"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edit_likeness(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_token_ids": op7_token_ids,
+    "op9_hilbert_shards": op9_hilbert_shards,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {"op5_decontamination": OP5_SQL}
