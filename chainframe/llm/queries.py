@@ -8,6 +8,8 @@ from .common import table
 from .decontaminate import contamination, is_contaminated
 from .fingerprints import edit_likeness
 from .language import languages
+from .mixing import mix
+from .near_dedup import near_duplicates
 from .secrets import secrets
 from .sharding import shards
 from .tokens import read_tokens, write_tokens
@@ -20,6 +22,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets(table(spark, sf_dir, "documents"))
 
@@ -67,6 +73,22 @@ def op7_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, write_tokens(docs, TOKENIZER), with_ids=False)
 
 
+def levels() -> dict:
+    """The tree of the mix: a domain is a group of sources."""
+    return {
+        "domain": F.concat(F.lit("d"), (F.crc32(F.col("source").cast("string").cast("binary")) % 4).cast("string")),
+        "lang": F.col("lang"), "source": F.col("source"),
+    }
+
+
+#: English gets half of each domain; other nodes weigh 1.
+WEIGHTS = {(f"d{k}", "en"): 3.0 for k in range(4)}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents"), levels(), WEIGHTS, share=0.8, max_epochs=4, seed=8)
+
+
 def op9_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards(table(spark, sf_dir, "documents"))
 
@@ -77,10 +99,12 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
     "op6_language": op6_language,
     "op7_token_ids": op7_token_ids,
+    "op8_mixing": op8_mixing,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fingerprints": op10_fingerprints,
 }

@@ -1,11 +1,77 @@
-"""Placeholder until the stages exist."""
+"""A corpus pipeline: toxic documents go, near duplicates go, contaminated documents go, sources are mixed to weights,
+and what is left becomes token ids.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``docs`` is what its predecessor kept.  All stages but
+the last return the columns of ``docs``.  Nulls and empty texts: a null text is not toxic (its score is that of a text
+without known words), has no near duplicate, is not contaminated, has no tokens of its own but the end id, and stays; a
+null doc_id stays through the filters.
+"""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from chainframe.llm.common import held_out, shared_folder, table
+from chainframe.llm.decontaminate import contamination, is_contaminated
+from chainframe.llm.mixing import mix
+from chainframe.llm.near_dedup import deduplicate
+from chainframe.llm.queries import TOKENIZER, WEIGHTS, levels
+from chainframe.llm.tokens import read_tokens, write_tokens
+from chainframe.llm.toxicity import THRESHOLD, fit, score
+
+#: Share of the tokens that the mix keeps, at most one epoch of each leaf.
+SHARE, SEED = 0.8, 8
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored below the threshold.  The model learns from the labelled documents of the stage's input that are
+    not held out."""
+    model = fit(docs, table(spark, sf_dir, "labels"), ~held_out())
+    return score(docs, model, "_toxicity").where(F.col("_toxicity") < THRESHOLD).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return deduplicate(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the contamination rule leaves."""
+    return contamination(docs, table(spark, sf_dir, "benchmark")).where(~is_contaminated()).select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, as often as it takes them."""
+    taken = mix(docs, levels(), WEIGHTS, SHARE, max_epochs=1, seed=SEED).where(F.col("copies") > 0)
+    copies = taken.select(F.col("doc_id").alias("_doc_id")).distinct()
+    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+
+
+def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and the ids, read back from the written blocks."""
+    return read_tokens(spark, write_tokens(docs, TOKENIZER))
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", not_toxic),
+    ("near_duplicates", one_of_each),
+    ("decontamination", uncontaminated),
+    ("mixing", mixed),
+    ("token_ids", token_ids),
+]
+
+#: The classifier, the signatures and the tokenizer have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
+    docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        docs = spark.read.parquet(f"{folder}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
