@@ -8,8 +8,9 @@ similarity.  Points come in order of time, so a process stops as soon as it is l
 component.
 
 Bands of components are hashed into buckets.  Candidates are verified by exact multiset Jaccard.  No bucket is expanded
-into pairs at first: its members are compared with its leader, the smallest node of the bucket; after the connected
-components of the verified links are known, only buckets that still hold several components are compared across them.
+into pairs: its members are compared with its leader, the member that meets most others; after the connected components
+of the verified links are known, members of different components are compared where what they share with the leader
+leaves the possibility of a link (see ``between``).
 
 Nodes are distinct word sequences (64 bits of an MD5), so exact copies take part once.
 """
@@ -29,6 +30,8 @@ from .common import LOWER, mix, prefix_hashes, span_hashes, steps, text_bytes, w
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature components and bands.  A pair at similarity 0.8 shares a band but for 5e-8.
 COMPONENTS, BANDS = 128, 32
+#: Steps of overlap with the leader in which partners are looked for.
+GRADES = 10
 #: Fixed odd multipliers of the hash streams.
 STREAM = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
 
@@ -139,13 +142,18 @@ def bags(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     return docs.select("text").mapInArrow(run, "node long, bag array<long>")
 
 
-def verified(pairs: DataFrame, bag: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose bags overlap enough."""
+def compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:
+    """Each pair (a, b) with the sizes of both bags, their overlap, what only ``a`` has (beyond), and what only ``b`` has (missing)."""
     left = bag.select(F.col("node").alias("a"), F.col("bag").alias("_x"))
     right = bag.select(F.col("node").alias("b"), F.col("bag").alias("_y"))
-    both = F.size(F.array_intersect("_x", "_y"))
-    return pairs.join(left, "a").join(right, "b").where(
-        both >= F.lit(similarity) * (F.size("_x") + F.size("_y") - both)).select("a", "b")
+    return pairs.join(left, "a").join(right, "b").select(
+        "a", "b", F.size("_x").alias("na"), F.size("_y").alias("nb"), F.size(F.array_intersect("_x", "_y")).alias("both"),
+        F.array_except("_x", "_y").alias("beyond"), F.array_except("_y", "_x").alias("missing"),
+    )
+
+
+def linked(similarity: float):
+    return F.col("both") >= F.lit(similarity) * (F.col("na") + F.col("nb") - F.col("both"))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -172,6 +180,54 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("hi").alias("node"), F.col("lo").alias("component")).union(now.select("lo", "lo").distinct())
 
 
+def between(stars: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (a, b) of members of one leader, in different components, that can be similar at all.
+
+    Of two linked members x and y in different components at least one, say y, has no link with the leader c.  Their
+    overlap is |x & c| + |y & c| - |c| plus the number of shingles in which both differ from c in the same way.  With
+    q = s / (1 + s), the link says overlap >= q (|x| + |y|), the missing link says |y & c| < q (|y| + |c|), so x and y
+    share more than q |x| + (1 - q) |c| - |x & c| >= 0 of their differences from c: one of the rarest differences of x, all
+    but so many.  If, besides, no shingle beyond c is in both, all they share is c's, so overlap <= |x & c| and |y & c|,
+    and each has at most the size overlap / q - own size of the other.  Copies edited apart from each other meet no such
+    condition, so a large group of them is not expanded into pairs.
+    """
+    q = similarity / (1 + similarity)
+    placed = stars.join(found.select(F.col("node").alias("a"), F.col("component").alias("_c")), "a", "left")
+    placed = placed.withColumn("c", F.coalesce("_c", "a")).withColumn("free", ~linked(similarity))
+    lead = found.select(F.col("node").alias("b"), F.col("component").alias("_l"))
+    mixed = placed.join(lead, "b", "left").where(F.col("c") != F.coalesce("_l", "b")).select("b").distinct()
+    least = F.lit(q) * F.col("na") + F.lit(1 - q) * F.col("nb") - F.col("both")
+    group = written(placed.join(mixed, "b", "left_semi").select(
+        "b", "a", "na", "nb", "both", "c", "free", least.alias("least"), (F.col("both") / q - F.col("na") + 1e-9).alias("most"),
+        F.size("beyond").alias("nu"), F.concat("beyond", "missing").alias("apart")))
+    spread = group.select("b", "a", "nu", F.posexplode("apart").alias("at", "g"))
+    often = spread.groupBy("b", "g").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    # In order: shingles beyond c, then missing ones, rare ones first.  Those that no other member has match nothing.
+    own = spread.join(often, ["b", "g"]).withColumn("u", F.col("at") < F.col("nu")).groupBy("b", "a").agg(
+        F.array_sort(F.collect_list(F.struct((~F.col("u")).alias("late"), "m", "g"))).alias("known"),
+        F.count_if("u").alias("ku"))
+    some = group.join(own, ["b", "a"]).withColumn("grade", F.floor(F.lit(GRADES) * F.col("both") / F.col("nb")).cast("int"))
+
+    def side(k: str, df: DataFrame, tokens) -> DataFrame:
+        plain = [F.col(c).alias(c + k) for c in ("a", "na", "c", "most")]
+        return df.select("b", "grade", *plain, F.explode(tokens).alias("t")).select("*", "t.g", (~F.col("t.late")).alias("u")).drop("t")
+
+    # The partners by their overlap with c: the smaller it is, the more differences must agree, so the fewer are tried.
+    grades = some.where("free").select("b", "grade").distinct()
+    graded = some.drop("grade").join(grades, "b")
+    share = F.lit(similarity) * F.col("na") + F.col("nb") - F.col("both") - (F.col("grade") + 1) / GRADES * F.col("nb")
+    skip = F.floor(F.greatest("least", share) - 1e-9).cast("int")
+    lone_u, lone_m = F.col("nu") - F.col("ku"), F.size("apart") - F.col("nu") - F.size("known") + F.col("ku")
+    first = F.size("apart") - skip - lone_u
+    take = F.when(first <= F.col("ku"), first).otherwise(F.greatest(F.col("ku"), first - lone_m)).cast("int")
+    x = side("1", graded.withColumn("take", take).where("take > 0"), F.slice("known", 1, F.col("take")))
+    y = side("2", some.where("free"), F.col("known")).drop("u")
+    near_size = F.least("na1", "na2") >= F.lit(similarity) * F.greatest("na1", "na2")
+    possible = F.col("u") | ((F.col("na2") <= F.col("most1")) & (F.col("na1") <= F.col("most2")))
+    pairs = x.join(y, ["b", "grade", "g"]).where((F.col("a1") != F.col("a2")) & (F.col("c1") != F.col("c2")) & near_size & possible)
+    return written(pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SHINGLE) -> DataFrame:
     """Per row: doc_id, class_id, kept.
 
@@ -184,13 +240,13 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
     nodes = signed.where("bands IS NOT NULL").groupBy("node").agg(
         F.min("doc_id").alias("doc"), F.first("bands").alias("bands"), F.first("n").alias("n"))
     nodes = written(nodes)
-    member = nodes.select("node", "n", F.explode("bands").alias("bucket"))
-    leaders = member.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("l"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    shared = written(member.join(leaders.select("bucket", "l"), "bucket").select("bucket", "node", "n", "l"))
-    # Overlap / union is at most the ratio of the sizes.
-    near_size = F.least(F.col("n"), F.col("l.n")) >= F.lit(similarity) * F.greatest(F.col("n"), F.col("l.n"))
-    pairs = written(shared.where((F.col("node") != F.col("l.node")) & near_size).select(
-        F.col("node").alias("a"), F.col("l.node").alias("b")).distinct())
+    member = nodes.select("node", F.explode("bands").alias("bucket"))
+    full = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    shared = written(member.join(full, "bucket"))
+    # The leader of a bucket is the member that meets most others over all buckets: the middle of a group of copies.
+    met = shared.groupBy("node").agg(F.sum("m").alias("met"))
+    leader = shared.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", "node"))["node"].alias("b"))
+    pairs = written(shared.join(leader, "bucket").where("node <> b").select(F.col("node").alias("a"), "b").distinct())
     # One text of every node that shares a bucket; it is found by its doc_id, which is spread evenly.
     wanted = nodes.join(shared.select("node").distinct(), "node", "left_semi").select("doc", "node")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.col("text").cast("string").alias("text"))
@@ -198,20 +254,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, k: int = SH
     nameless = texts.where("doc IS NULL")
     bag = bags(some.unionByName(nameless), k)
     bag = written(bag.join(wanted.select("node"), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
-    links = written(verified(pairs, bag, similarity))
-    found = components(links)
-    # Buckets that hold several components: their members are compared across components.
-    placed = shared.select("bucket", "node", "n").join(found, "node", "left").select(
-        "bucket", "node", "n", F.coalesce("component", "node").alias("c"))
-    mixed = placed.groupBy("bucket").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high")
-    rest = written(placed.join(mixed.select("bucket"), "bucket", "left_semi"))
-    x, y = (rest.select("bucket", F.col("node").alias(a), F.col("n").alias(f"n{a}"), F.col("c").alias(f"c{a}")) for a in "ab")
-    across = x.join(y, "bucket").where((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))).where(
-        F.least("na", "nb") >= F.lit(similarity) * F.greatest("na", "nb")).select("a", "b").distinct()
-    seen = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = written(verified(across.join(seen, ["a", "b"], "left_anti"), bag, similarity))
-    if not more.isEmpty():
-        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more))
+    stars = written(compared(pairs, bag))
+    links = stars.where(linked(similarity)).select("a", "b")
+    found = written(components(links))
+    extra = written(compared(between(stars, found, similarity), bag).where(linked(similarity)).select("a", "b"))
+    if not extra.isEmpty():
+        found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(extra))
     classes = nodes.select("node", "doc").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     named = classes.groupBy("component").agg(F.min("doc").alias("class_id"))
     by_node = classes.join(named, "component").select("node", "class_id")
