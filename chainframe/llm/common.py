@@ -47,12 +47,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of an Arrow string column and the offsets of its rows (one more than rows).  Null is empty."""
+    """Bytes of an Arrow string (as UTF-8) or binary column and the offsets of its rows (one more than rows).  Null is empty."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
     if column.null_count:
-        column = column.fill_null("")
-    large = column.cast(pa.large_string())
+        column = column.fill_null(b"" if binary else "")
+    large = column.cast(pa.large_binary() if binary else pa.large_string())
     n = len(large)
     buffers = large.buffers()
     if n == 0:

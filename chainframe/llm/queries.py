@@ -12,6 +12,7 @@ from .mixing import mix
 from .near_dedup import near_duplicates
 from .secrets import secrets
 from .sharding import shards
+from .substrings import cut_repeats
 from .tokens import read_tokens, write_tokens
 from .toxicity import toxicity
 
@@ -22,6 +23,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cut_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -99,6 +104,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_secrets": op4_secrets,
     "op5_decontamination": op5_decontamination,
