@@ -6,9 +6,10 @@ need be compared, and only against those with the same gram.
 
 * Occurrences whose whole context (every window around the anchor) is equal are counted by hash.
 * The other contexts of an anchor are sorted as suffixes: a merge sort whose comparisons find the common extension of
-  two suffixes by binary search over prefix polynomial hashes, all groups of a batch merged in step.  From neighbours'
-  extensions to the right, and extensions to the left found the same way, follow the repeated windows; the bytes of each
-  match are compared before it counts.
+  two suffixes by binary search over prefix polynomial hashes, all groups of a batch merged in step.  That order, kept
+  inside classes of equal bytes before the anchor, is the order of the suffixes that start so many bytes earlier, so
+  neighbours in it tell for every window whether it is repeated; the bytes of the widest matches are compared before
+  they count.
 * An anchor with more than ``SORTED`` contexts is not gathered in one task; its windows are counted by 64-bit hash
   together with the anchor's, with partial aggregation.
 """
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 from .common import mix, powers, prefix_hashes, span_hashes, steps, text_bytes, written
 
 LENGTH, GRAM = 200, 64
-#: Contexts of an anchor that one task sorts, at most.
-SORTED = 64
+#: Contexts of an anchor that one task sorts, at most (of up to 336 bytes each).
+SORTED = 20_000
 #: Contexts that are sorted in one step.
 STEP_CONTEXTS = 20_000
 
@@ -72,6 +73,9 @@ class Suffixes:
         self.data, self.start, self.size = data, start, end - start
         self.prefix, self.inverse = prefix_hashes(data), powers(len(data) + 1)[1]
 
+    def hashes(self, start: np.ndarray, size: int) -> np.ndarray:
+        return (self.prefix[start + size] - self.prefix[start]) * self.inverse[start]
+
     def common(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes i and j, by binary search over their hashes."""
         a, b = self.start[i], self.start[j]
@@ -126,39 +130,41 @@ def repeated(contexts: list[bytes], at: np.ndarray, first: np.ndarray, length: i
     begin = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(contexts), np.uint8)
     right = Suffixes(data, begin + at, begin + sizes)
-    mirror = len(data) - begin - at
-    left = Suffixes(np.ascontiguousarray(data[::-1]), mirror, mirror + at)
     order = sort_suffixes(right, first)
-    group = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    group = np.repeat(np.arange(len(first) - 1), np.diff(first))[order].astype(np.uint64)
     covered = np.zeros((2, len(contexts)), np.int64)
-    reach = right.common(order[:-1], order[1:])
-    both = group[:-1] == group[1:]
-    here, low = np.flatnonzero(both), reach[both]
-    step = 1
-    while len(here):
-        i, j = order[here], order[here + step]
-        back = left.common(i, j)
-        hit = np.flatnonzero(back + low >= length)
-        for k in hit.tolist():
-            x, y, b, r = int(i[k]), int(j[k]), int(back[k]), int(low[k])
-            p, q = int(at[x]), int(at[y])
-            if contexts[x][p - b : p + r] != contexts[y][q - b : q + r]:  # a collision: extend byte by byte
-                b = r = 0
-                while r < min(len(contexts[x]) - p, len(contexts[y]) - q) and contexts[x][p + r] == contexts[y][q + r]:
-                    r += 1
-                while b < min(p, q) and contexts[x][p - b - 1] == contexts[y][q - b - 1]:
-                    b += 1
-                if b + r < length:
-                    continue
-            for z in (x, y):
-                covered[0, z], covered[1, z] = max(covered[0, z], b), max(covered[1, z], r)
-        # Pairs one step further apart in the order: what they share is the least of what lies between.
-        step += 1
-        keep = here + step < len(order)
-        here, low = here[keep], low[keep]
-        keep = group[here] == group[here + step]
-        here, low = here[keep], low[keep]
-        low = np.minimum(low, reach[here + step - 1])
+    partner = np.zeros((2, len(contexts)), np.int64)
+    for v in range(int(at.max(initial=0)), -1, -1):
+        # The suffixes that start v bytes before the anchors: those with equal bytes before it, by what follows.
+        far = np.flatnonzero((at[order] >= v) & (right.size[order] >= length - v))
+        own = order[far]
+        before = mix(right.hashes(right.start[own] - v, v) ^ mix(group[far] + np.uint64(1)))
+        sort = np.argsort(before, kind="stable")
+        own, before = own[sort], before[sort]
+        after = right.hashes(right.start[own], length - v)
+        same = np.flatnonzero((before[1:] == before[:-1]) & (after[1:] == after[:-1]))
+        for i, j in ((own[same], own[same + 1]), (own[same + 1], own[same])):
+            fresh = covered[1, i] == 0
+            partner[0, i[fresh]], covered[0, i[fresh]] = j[fresh], v
+            partner[1, i], covered[1, i] = j, length - v
+    return confirmed(contexts, at, first, covered, partner, length)
+
+
+def confirmed(contexts, at, first, covered, partner, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same coverage after the bytes of the widest matches on both sides are compared; where hashes collided, the
+    windows of the group are compared as bytes."""
+    group = np.searchsorted(first, np.arange(len(contexts)), "right") - 1
+    for x in np.flatnonzero(covered[1]).tolist():
+        p = int(at[x])
+        for side in (0, 1):
+            y, start = int(partner[side, x]), int(covered[0, x]) if side == 0 else length - int(covered[1, x])
+            q = int(at[y])
+            if contexts[x][p - start : p - start + length] != contexts[y][q - start : q - start + length]:
+                others = range(int(first[group[x]]), int(first[group[x] + 1]))
+                found = [v for v in range(p + 1) if len(contexts[x]) - p >= length - v and any(
+                    z != x and at[z] >= v and contexts[x][p - v : p - v + length] == contexts[z][int(at[z]) - v : int(at[z]) - v + length] for z in others)]
+                covered[0, x], covered[1, x] = (max(found), length - min(found)) if found else (0, 0)
+                break
     return covered[0], covered[1]
 
 
@@ -209,7 +215,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, sorte
                 })
 
     once = where.join(sources, ["doc_id", "key"]).select("key", "text", "places")
-    contexts = written(once.mapInArrow(cut, "h long, key long, at int, lone boolean, kinds long, left int, context binary").dropDuplicates(["h", "key", "at"]))
+    contexts = written(once.mapInArrow(cut, "h long, key long, at int, lone boolean, kinds long, left int, context binary"))
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
