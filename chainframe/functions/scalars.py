@@ -16,8 +16,21 @@ def division_error(b: Column) -> Column:
 
 
 def integer_power(a: Column, b: Column) -> Column:
-    """int ** int stays an integer for non-negative exponents."""
-    return F.pow(a.cast("double"), b.cast("double")).cast("long")
+    """int ** int stays an integer for non-negative exponents: exact decimal products, NULL where the result exceeds 64
+    bits or the exponent is negative."""
+    base = a.cast("decimal(19,0)")
+    # Beyond 63 factors only 0, 1 and -1 stay in range, and those depend on the parity alone.
+    small = F.abs(base) <= 1
+    times = F.when(b <= 63, b).when(small, 2 + b % 2).cast("int")
+    product = F.aggregate(
+        F.sequence(F.lit(1), times), F.lit(1).cast("decimal(38,0)"),
+        lambda done, _: F.try_multiply(done, base).cast("decimal(38,0)"),
+    )
+    return F.when(b == 0, F.lit(1).cast("long")).when(b > 0, product.try_cast("long"))
+
+
+def power_error(a: Column, b: Column) -> Column:
+    return F.when((b >= 0) & integer_power(a, b).isNull(), F.lit("integer overflow"))
 
 
 def py_round(value: Column, digits: int = 0) -> Column:

@@ -21,9 +21,13 @@ def bool_match(gold: Column, pred: Column) -> Column:
     return F.coalesce(X.parse_bool(gold) == X.parse_bool(pred), F.lit(False))
 
 
+def whole(number: Column) -> Column:
+    """A double without its fraction.  It stays a double: a number beyond 64 bits is a wrong answer, not a failed job."""
+    return number - number % 1
+
+
 def int_match(gold: Column, pred: Column) -> Column:
-    g = X.parse_numeric(gold).cast("long")
-    p = F.rint(X.parse_numeric(pred)).cast("long")
+    g, p = whole(X.parse_numeric(gold)), F.rint(X.parse_numeric(pred))
     diff = F.abs(g - p)
     near = (F.abs(g) > 0) & (F.try_divide(diff, F.abs(g)) <= INT_REL)
     return F.coalesce((diff <= INT_ABS) | near, F.lit(False))
@@ -41,12 +45,13 @@ def region_match(gold: Column, pred: Column) -> Column:
 
 
 def members(text: Column, pairs: bool) -> Column:
-    """A JSON list as an array of distinct members; NULL if it is not one."""
+    """A JSON list as an array of distinct members; NULL if it is not one.  A member beyond 64 bits is NULL, which
+    equals no position."""
     kind = "array<array<double>>" if pairs else "array<double>"
     parsed = F.from_json(text, kind)
     if pairs:
-        return F.array_distinct(F.transform(parsed, lambda p: p.cast("array<bigint>")))
-    return F.array_distinct(F.transform(parsed, lambda v: v.cast("bigint")))
+        return F.array_distinct(F.transform(parsed, lambda p: p.try_cast("array<bigint>")))
+    return F.array_distinct(F.transform(parsed, lambda v: v.try_cast("bigint")))
 
 
 def set_match(gold: Column, pred: Column, pairs: bool) -> Column:
@@ -100,7 +105,7 @@ def answers_differ(a: Column, b: Column, answer_type: Column) -> Column:
     x, y = a.try_cast("double"), b.try_cast("double")
     diff = F.abs(x - y)
     f_rel = diff / F.greatest(F.abs(x), F.abs(y), F.lit(1e-9))
-    i, j = x.cast("long"), y.cast("long")
+    i, j = whole(x), whole(y)
     i_diff = F.abs(i - j)
     i_rel = i_diff / F.greatest(F.abs(i), F.abs(j), F.lit(1))
     as_set = lambda c, pairs: F.array_sort(members(c, pairs))

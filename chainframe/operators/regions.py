@@ -20,15 +20,17 @@ def region_problem(start: Column, end: Column, length: Column) -> Column:
 
 def position_problem(i: Column, length: Column) -> Column:
     return F.when(
-        length.isNull() | (i < 1) | (i > length), F.lit("residue index out of range")
+        length.isNull() | i.isNull() | (i < 1) | (i > length), F.lit("residue index out of range")
     )
 
 
-def _tiles() -> Column:
-    """The tiles a valid region touches, one row each.  explode_outer keeps the
+def _tiles(known: DataFrame) -> Column:
+    """The tiles a valid region touches, one row each; none of a region beyond a known chain length.  explode_outer keeps the
     validity test here: as a filter it would be pushed down and repeat how the
     region was derived."""
     valid = (F.col("start") >= 1) & (F.col("start") <= F.col("end"))
+    if "length" in known.columns:
+        valid = valid & (F.col("end") <= F.col("length"))
     return F.explode_outer(
         F.when(valid, F.sequence(tile_of(F.col("start")), tile_of(F.col("end"))))
     )
@@ -36,7 +38,7 @@ def _tiles() -> Column:
 
 def region_rows(regions: DataFrame, residues: DataFrame, rid: str = "qid") -> DataFrame:
     """Every (region, position) incidence, joined with the position's features."""
-    wanted = regions.select(rid, *KEY, "start", "end", _tiles().alias("_tile"))
+    wanted = regions.select(rid, *KEY, "start", "end", _tiles(regions).alias("_tile"))
     placed = residues.withColumn("_tile", tile_of(F.col("i")))
     return wanted.join(placed, [*KEY, "_tile"]).where("i between start and end").drop("_tile")
 
@@ -97,7 +99,7 @@ def contact_counts(regions: DataFrame, contacts: DataFrame, rid="qid", min_gap=0
     Contacts are keyed by the tile of their first end, regions by the tiles
     they cover.
     """
-    wanted = regions.select(rid, *KEY, "start", "end", _tiles().alias("_tile"))
+    wanted = regions.select(rid, *KEY, "start", "end", _tiles(regions).alias("_tile"))
     placed = contacts.where(F.col("j") - F.col("i") > min_gap).select(
         *KEY, "i", "j", tile_of(F.col("i")).alias("_tile")
     )

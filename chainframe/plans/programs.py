@@ -16,7 +16,6 @@ from ..schema import KEY, literal_map
 from .generate import answer_all
 from .templates import SWAPPED_TERMINI, TEMPLATES, ChainSet
 
-ERROR_LENGTH = 240
 
 
 NUMBER = r"(?<![A-Za-z_0-9.])-?\d+(?:\.\d+)?"
@@ -122,7 +121,7 @@ def run_programs(programs: DataFrame, chains: ChainSet, templates: list[str] | N
     rest = matched.where(
         F.col("template").isNull() | F.col("length").isNull() | ~F.col("template").isin(usable)
     ).select("qid", F.lit(None).cast("string").alias("answer"),
-             F.substring(problem, 1, ERROR_LENGTH).alias("err"))
+             problem.alias("err"))
     if not usable:
         return rest
     return answer_all(runnable, chains, usable, gold=False).unionByName(rest)

@@ -129,14 +129,17 @@ RULES = {
 
 
 def prompts(questions: DataFrame, summaries: DataFrame, examples: DataFrame, regime: str, budget: int | None = None) -> DataFrame:
-    """qid, prompt; prompts longer than ``budget`` characters are dropped."""
+    """qid, prompt, err; a prompt longer than ``budget`` characters is NULL and ``err`` says so."""
     joined = questions.join(summaries, KEY).join(examples.withColumnRenamed("target", "qid"), "qid", "left")
     text = F.concat_ws(
         "\n\n", F.lit(RULES[regime]), "summary", "examples", F.concat(F.lit("Question: "), "question"),
         F.concat(F.lit("Answer type: "), "answer_type"),
     )
     out = joined.select("qid", text.alias("prompt"))
-    return out if budget is None else out.where(F.length("prompt") <= budget)
+    over = F.lit(False) if budget is None else F.length("prompt") > budget
+    return out.select(
+        "qid", F.when(~over, F.col("prompt")).alias("prompt"), F.when(over, F.lit("prompt exceeds the budget")).alias("err")
+    )
 
 
 # ---------------------------------------------------------------- tools ----
@@ -192,5 +195,5 @@ def block_observation(values: DataFrame) -> DataFrame:
 
 
 def program_observation(answers: DataFrame) -> DataFrame:
-    text = F.concat(F.lit("result = "), F.substring(F.coalesce("answer", F.lit("None")), 1, 240))
+    text = F.concat(F.lit("result = "), F.coalesce("answer", F.lit("None")))
     return answers.select("qid", F.when(F.col("err").isNotNull(), F.concat(F.lit("tool_dsl error: "), "err")).otherwise(text).alias("observation"))

@@ -49,7 +49,7 @@ class ChainSet:
 
 
 def param(name: str, kind: str = "long") -> Column:
-    return F.try_element_at(F.col("params"), F.lit(name)).cast(kind)
+    return F.try_element_at(F.col("params"), F.lit(name)).try_cast(kind)
 
 
 def answers(df: DataFrame, err: Column | None = None, **values: Column) -> DataFrame:

@@ -28,10 +28,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     and survives the loss of the executors that produced it.
 
     The folder is the one the cluster names in ``spark.checkpoint.dir``; only
-    where that is unset, as in tests, a temporary one is made.
+    a local session, as in tests, may go without and gets a temporary one.
     """
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
         folder = session.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not session.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         session.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="chainframe-"))
     return df.checkpoint(eager=True)

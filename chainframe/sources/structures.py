@@ -138,7 +138,7 @@ def _open_archives(species: str):
                         out["pae"] = list(pae.astype("i2")) if pae.size else [None] * n
                         out["err"] = None
                 except Exception as problem:  # a broken file is a row, not a failed job
-                    known = {"species": species, "uniprot": name, "err": f"{type(problem).__name__}: {problem}"[:240]}
+                    known = {"species": species, "uniprot": name, "err": f"{type(problem).__name__}: {problem}"}
                     out = pd.DataFrame({c: pd.Series([known.get(c)], dtype=object) for c in _ARCHIVE.fieldNames()})
                 yield out[_ARCHIVE.fieldNames()]
     return rows
