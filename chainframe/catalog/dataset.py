@@ -10,7 +10,7 @@ from ..plans import gates, generate, hard_negatives, programs, prompts, splits,
 from ..plans.templates import ChainSet, answer_template, questions_for, raw_draws
 from ..schema import KEY
 from ..session import cut_lineage
-from ..sources.bindings import SPECIES, event_chains, event_lengths, table, vector_lengths, vector_matrix
+from ..sources.bindings import SPECIES, event_chains, event_lengths, event_scores, table, vector_lengths, vector_matrix
 from . import sql as S
 from .evaluation import _KTAB, sql
 from .workload import fixed
@@ -250,7 +250,8 @@ def split_family_counts(spark, sf):
     return splits.split_counts(_split_rows(spark, sf))
 
 
-@register("split_manifest")
+@register("split_manifest", f"""WITH {_SPLIT}, c AS (SELECT split, family, count(*) AS n FROM s GROUP BY ALL)
+  SELECT split, '{{"n":' || CAST(sum(n) AS BIGINT) || ',"families":{{' || string_agg('"' || family || '":' || n, ',' ORDER BY family) || '}}}}' AS entry FROM c GROUP BY split""")
 def split_manifest(spark, sf):
     return splits.manifest(_split_rows(spark, sf))
 
@@ -433,13 +434,13 @@ def chain_statistics(spark, sf):
 @register("length_percentiles", EV + "SELECT species, " + ", ".join(
     f"{S.fixed(f'quantile_cont(CAST(length AS DOUBLE), {q})', 4)} AS p{int(q * 100)}" for q in (0.10, 0.25, 0.50, 0.75, 0.90)) + " FROM ev WHERE i = 1 GROUP BY species")
 def length_percentiles(spark, sf):
-    got = statistics.length_percentiles(event_chains(spark, sf))
+    got = statistics.length_percentiles(event_lengths(spark, sf))
     return got.withColumns({c: fixed(F.col(c), 4) for c in got.columns if c.startswith("p")})
 
 
 @register("score_median", EV + f"SELECT species, {S.fixed('quantile_cont(CAST(plddt AS DOUBLE), 0.5)', 4)} AS p50 FROM ev GROUP BY species")
 def score_median(spark, sf):
-    return statistics.score_median(event_chains(spark, sf)).withColumn("p50", fixed(F.col("p50"), 4))
+    return statistics.score_median(event_scores(spark, sf)).withColumn("p50", fixed(F.col("p50"), 4))
 
 
 @register("matrix_statistics", f"""WITH {S.VC_BASE}, {S.PAE}, c AS (SELECT species, uniprot, avg(v) AS m, avg(CASE WHEN v < 5 THEN 1.0 ELSE 0.0 END) AS lo, avg(CASE WHEN v > 15 THEN 1.0 ELSE 0.0 END) AS hi FROM pae WHERE j > i GROUP BY ALL)

@@ -61,7 +61,32 @@ def parse_structure_lines(spark, sf):
     )
 
 
-@register("residues_from_structure", VC + "SELECT species, uniprot, i, aa, 'C' AS ss, CAST(0 AS DOUBLE) AS sasa, length FROM vc")
+@register("first_model_only", VC + "SELECT species, uniprot, i, aa, true AS ca_ok FROM vc")
+def first_model_only(spark, sf):
+    """Whole files with a second model, a later chain of an earlier name and
+    repeated records: the first model, the first chain and the last record."""
+    vc = vector_chains(spark, sf)
+    moved = lambda d: vc.withColumn("x", F.col("x") + F.lit(d).cast("float"))
+    named = F.regexp_replace("value", "^(.{21})A", "$1Z").alias("value")
+    parts = [  # order in the file, lines
+        (0, atom_lines(moved(5.0)).select(*KEY, named)), (1, atom_lines(vc).select(*KEY, named)), (2, atom_lines(moved(7.0))),
+        (3, vc.select(*KEY).distinct().withColumn("value", F.lit("ENDMDL"))), (4, atom_lines(moved(-9.0)).select(*KEY, named)),
+    ]
+    rows = None
+    for k, lines in parts:
+        part = lines.withColumn("_k", F.lit(k))
+        rows = part if rows is None else rows.unionByName(part)
+    listed = F.array_sort(F.collect_list(F.struct("_k", "value")))
+    files = rows.groupBy(*KEY).agg(F.array_join(F.transform(listed, lambda r: r["value"]), "\n").alias("value"))
+    bb = structures.backbone(structures.parse_atoms(structures.first_model(files)))
+    truth = vc.select(*KEY, "i", *[F.col(c).cast("double").alias(f"_{c}") for c in "xyz"])
+    same = F.lit(True)
+    for c in "xyz":
+        same = same & (F.abs(F.col("CA")[c].cast("double") - F.col(f"_{c}")) < 6e-4)
+    return bb.join(truth, [*KEY, "i"]).select(*KEY, "i", "aa", same.alias("ca_ok"))
+
+
+@register("residues_from_structure",VC + "SELECT species, uniprot, i, aa, 'C' AS ss, CAST(0 AS DOUBLE) AS sasa, length FROM vc")
 def residues_from_structure(spark, sf):
     got = structures.residues_from_structure(atom_lines(vector_chains(spark, sf)))
     return got.select(*KEY, "i", "aa", "ss", F.col("sasa").cast("double").alias("sasa"), "length")

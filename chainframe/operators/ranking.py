@@ -79,28 +79,41 @@ def pick_rank(
     df: DataFrame, key: list[str], value: str, rank: Column, piece: Column | None = None
 ) -> DataFrame:
     """The value at ``rank`` (1-based, may use the column ``n``, the group
-    size) of the sorted values of each key.
+    size) of the sorted values of each key."""
+    return pick_ranks(df, key, value, {"_at": rank}, piece).select(*key, F.col("_at").alias(value), "n")
 
-    Values are first counted, then only the piece that contains the wanted
-    rank is looked at row by row.
+
+def pick_ranks(
+    df: DataFrame, key: list[str], value: str, ranks: dict[str, Column], piece: Column | None = None
+) -> DataFrame:
+    """key, n and a column per name: the values at several ranks at once.
+
+    Values are first counted, then only the pieces that contain a wanted rank
+    are looked at row by row.
     """
     cell = piece if piece is not None else F.floor(F.col(value))
     counted = df.groupBy(*key, F.col(value)).agg(F.count(F.lit(1)).alias("_c"))
     pieces = counted.groupBy(*key, cell.alias("_piece")).agg(F.sum("_c").alias("_c"))
     whole = Window.partitionBy(*key)
     upto = whole.orderBy("_piece").rowsBetween(Window.unboundedPreceding, 0)
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])
+
+    def reached(listed):
+        return F.filter(listed, lambda w: (w["rank"] <= F.col("_upto")) & (w["rank"] > F.col("_upto") - F.col("_c")))
+
     target = (
         pieces.withColumn("_upto", F.sum("_c").over(upto))
         .withColumn("n", F.sum("_c").over(whole))
-        .withColumn("_rank", rank)
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-        .select(*key, "_piece", "n", (F.col("_rank") - F.col("_upto") + F.col("_c")).alias("_rank"))
+        .withColumn("_wanted", reached(wanted)).where(F.size("_wanted") > 0)
+        .select(*key, "_piece", "n", (F.col("_upto") - F.col("_c")).alias("_before"), "_wanted")
     )
-    inside = Window.partitionBy(*key).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
+    inside = Window.partitionBy(*key, "_piece").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    found = (
         counted.withColumn("_piece", cell)
         .join(target, [*key, "_piece"])
-        .withColumn("_upto", F.sum("_c").over(inside))
-        .where((F.col("_rank") <= F.col("_upto")) & (F.col("_rank") > F.col("_upto") - F.col("_c")))
-        .select(*key, value, "n")
+        .withColumn("_upto", F.col("_before") + F.sum("_c").over(inside))
+        .select(*key, "n", F.col(value).alias("_v"), F.explode(reached(F.col("_wanted"))).alias("_w"))
+    )
+    return found.groupBy(*key).agg(
+        F.max("n").alias("n"), *[F.max(F.when(F.col("_w.name") == k, F.col("_v"))).alias(k) for k in ranks]
     )

@@ -4,7 +4,7 @@ import re
 
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, Normalizer, RegexTokenizer, SQLTransformer
+from pyspark.ml.feature import IDF, HashingTF, NGram, Normalizer, RegexTokenizer, SQLTransformer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,12 +22,38 @@ HN1_MINIMUM = 0.50
 LEXICAL_LIMIT = 0.55
 # At least one of a family's words must appear in a question's text.
 FAMILY_WORDS = {
-    "A": ["plddt", "confiden", "reliab", "uncertain", "predicted accuracy"],
-    "B": ["distance", "apart", "separat", "close", "angstrom", "within", "contact", "span"],
-    "C": ["pae", "aligned error", "alignment error", "uncertainty"],
-    "D": ["sasa", "solvent", "accessib", "buried", "expose", "surface", "neighbor", "neighbour", "packed"],
-    "E": ["helix", "helices", "helical", "sheet", "strand", "loop", "coil", "secondary"],
-    "F": ["contact", "compact", "density", "radius", "gyration", "extended", "fraction", "share"],
+    "A": [
+        "plddt", "confidence", "confident", "reliab", "modelled", "modeled", "well-modelled", "well modelled",
+        "well modeled", "score", "predicted accuracy", "alphafold", "poorly predicted", "weakest", "weakly", "weak",
+        "strong", "strongest", "weak point", "uncertain", "uncertainty", "worst-predicted", "best-predicted",
+        "worst predicted", "best predicted", "highest-quality", "lowest-quality", "highest quality",
+        "lowest quality", "best-modelled", "worst-modelled",
+    ],
+    "B": [
+        "distance", "apart", "separated", "separates", "separation", "far", "close", "angstrom", "Å", "ca-ca",
+        "ca–ca", "ca to ca", "ca - ca", "alpha-carbon", "alpha carbon", "within 12", "within 8", "within 10",
+        " within ", "contact", "contacts", "span", "spans in", "spatial separation",
+    ],
+    "C": [
+        "pae", "predicted aligned error", "alignment error", "aligned error", "error", "uncertainty",
+        "relative-position uncertainty", "position uncertainty",
+    ],
+    "D": [
+        "sasa", "solvent", "accessib", "buried", "expose", "surface", "neighbor", "neighbour", "neighbors",
+        "neighbours", "coordinat", "ligation", "within 8", "within 8 angstroms", "8 a", "8 å", "packed", "packing",
+        "pack ", "contact count", "contact number", "sphere", "ca-ca contacts", "ca–ca contacts", "number of ca-ca",
+        "8-angstrom cutoff", "8 angstrom cutoff",
+    ],
+    "E": [
+        "helix", "helices", "helical", "alpha-helix", "alpha helix", "sheet", "strand", "loop", "coil",
+        "secondary structure", "secondary-structure", "ss", "h/e/c", "dssp", "h-residue", "h residue", "h-run",
+        "h run", "h-runs", "runs of", "h-segment", "h segment", "contiguous h", "stretch of h",
+    ],
+    "F": [
+        "contact", "compact", "neighbour", "neighbor", "topology", "density", "stretch", "fold", "rg",
+        "radius of gyration", "radius", "gyration", "extended", "extension", "spatial spread", "spread", "fraction",
+        "proportion", "pair within", "pairs within", "pairs in",
+    ],
 }
 # ------------------------------------------------------------------------------
 
@@ -74,8 +100,9 @@ def lexical_pipeline(text: str = "question", label: str = "label") -> Pipeline:
     words = RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\w\w+", gaps=False)
     pairs = NGram(n=2, inputCol="_words", outputCol="_pairs")
     both = SQLTransformer(statement="SELECT *, concat(_words, _pairs) AS _terms FROM __THIS__")
-    counts = CountVectorizer(inputCol="_terms", outputCol="_counts", minDF=2, vocabSize=20000)
-    idf = IDF(inputCol="_counts", outputCol="_weighted")
+    # Every term counts: terms share hash buckets, and no vocabulary is gathered.
+    counts = HashingTF(inputCol="_terms", outputCol="_counts", numFeatures=1 << 18)
+    idf = IDF(inputCol="_counts", outputCol="_weighted", minDocFreq=2)
     unit = Normalizer(inputCol="_weighted", outputCol="features", p=2.0)
     return Pipeline(stages=[words, pairs, both, counts, idf, unit, LogisticRegression(labelCol=label, maxIter=50)])
 
@@ -123,11 +150,11 @@ def surface_check(questions: DataFrame) -> DataFrame:
     })
 
 
-def most_missing(checked: DataFrame, n: int = 20) -> DataFrame:
-    """The templates whose texts fail most often."""
+def most_missing(checked: DataFrame) -> DataFrame:
+    """Failing texts per template, the most frequent first."""
     return checked.where("not ok_numbers or not ok_keyword").groupBy("template").agg(
         F.count(F.lit(1)).alias("n")
-    ).orderBy(F.desc("n"), "template").limit(n)
+    ).orderBy(F.desc("n"), "template")
 
 
 def leaks_program(question: Column) -> Column:

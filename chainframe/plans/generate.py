@@ -21,7 +21,8 @@ from .templates import (
 # --- fixed values -------------------------------------------------------------
 FAMILY_WEIGHTS = {"A": 0.18, "B": 0.18, "C": 0.13, "D": 0.18, "E": 0.13, "F": 0.13}
 TRACKS = {"main": 30, "G": 3, "H": 3}
-ATTEMPTS = 3
+# Twelve tries per wanted question: four slots of three attempts.
+SLOTS, ATTEMPTS = 4, 3
 MAX_DRAWS = 5
 # ------------------------------------------------------------------------------
 
@@ -39,11 +40,11 @@ def weighted_choice(weights: dict[str, float], draw: Column) -> Column:
 def candidates(chains: DataFrame, tracks: dict[str, int], with_matrix: bool, seed=0) -> DataFrame:
     """Every (track, slot, attempt) with family, template and parameters.
 
-    Twice as many slots as questions wanted leave room for slots whose
-    attempts are all rejected.
+    More slots than questions wanted leave room for slots whose attempts are
+    all rejected.
     """
     def slots_of(name, n):
-        numbers = F.sequence(F.lit(0), F.lit(2 * n - 1))
+        numbers = F.sequence(F.lit(0), F.lit(SLOTS * n - 1))
         return F.transform(numbers, lambda s: F.struct(F.lit(name).alias("track"), s.alias("slot")))
 
     slots = F.explode(F.flatten(F.array(*[slots_of(name, n) for name, n in tracks.items()])))

@@ -18,7 +18,7 @@ from .templates import SWAPPED_TERMINI, TEMPLATES, ChainSet
 
 
 
-NUMBER = r"(?<![A-Za-z_0-9.])-?\d+(?:\.\d+)?"
+NUMBER = r"(?<![A-Za-z_0-9.])[-+]?\d+(?:\.\d+)?(?:[eE][-+]?\d+)?"
 CHECKED = "="
 
 
@@ -69,7 +69,7 @@ def match_shapes(programs: DataFrame) -> DataFrame:
         "_skeleton": skeleton(F.coalesce("program", F.lit(""))),
         "_numbers": F.transform(
             F.regexp_extract_all(_tidy(F.coalesce("program", F.lit(""))), F.lit(f"({NUMBER})"), F.lit(1)),
-            lambda v: v.cast("double"),
+            lambda v: v.try_cast("double"),
         ),
     }).withColumns({
         "template": F.try_element_at(template_of, F.col("_skeleton")),

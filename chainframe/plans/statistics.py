@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.matrix import upper_triangle
-from ..operators.ranking import number_rows, pick_rank
+from ..operators.ranking import pick_ranks
 from ..schema import KEY
 
 # --- fixed values: agreement tolerances ---------------------------------------
@@ -15,20 +15,19 @@ TOLERANCE = {"score": 0.05, "distance": 0.01, "pae": 0.5, "sasa": 5.0}
 def percentiles(rows: DataFrame, by: list[str], value: str, at: list[float], piece: Column) -> DataFrame:
     """Linearly interpolated percentiles of groups of any size.
 
-    For each percentile the two neighbouring ranks are looked up; ranking
-    counts values first and then opens only the piece that holds the rank.
+    The two neighbouring ranks of all percentiles are looked up in one pass:
+    values are counted, and only the pieces that hold a rank are opened.
     """
-    out = None
-    for q in at:
-        spot = (F.col("n") - 1) * q
-        low = pick_rank(rows, by, value, F.floor(spot) + 1, piece).select(*by, "n", F.col(value).alias("_lo"))
-        high = pick_rank(rows, by, value, F.ceil(spot) + 1, piece).select(*by, F.col(value).alias("_hi"))
-        part = (spot - F.floor(spot)).cast("double")
-        one = low.join(high, by).select(
-            *by, (F.col("_lo") + (F.col("_hi") - F.col("_lo")) * part).alias(f"p{int(q * 100)}")
-        )
-        out = one if out is None else out.join(one, by)
-    return out
+    spots = {f"p{int(q * 100)}": (F.col("n") - 1) * F.lit(q) for q in at}
+    ranks = {}
+    for name, spot in spots.items():
+        ranks |= {f"{name}_lo": F.floor(spot) + 1, f"{name}_hi": F.ceil(spot) + 1}
+    found = pick_ranks(rows, by, value, ranks, piece)
+    low, high = (lambda name: F.col(f"{name}_lo")), (lambda name: F.col(f"{name}_hi"))
+    return found.select(*by, *[
+        (low(name) + (high(name) - low(name)) * (spot - F.floor(spot)).cast("double")).alias(name)
+        for name, spot in spots.items()
+    ])
 
 
 def chain_statistics(residues: DataFrame) -> DataFrame:
@@ -47,8 +46,9 @@ def chain_statistics(residues: DataFrame) -> DataFrame:
     return bands
 
 
-def length_percentiles(residues: DataFrame, at=(0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
-    lengths = residues.where("i = 1").select("species", F.col("length").cast("double").alias("length"))
+def length_percentiles(chains: DataFrame, at=(0.10, 0.25, 0.50, 0.75, 0.90)) -> DataFrame:
+    """``chains`` has one row per chain."""
+    lengths = chains.select("species", F.col("length").cast("double").alias("length"))
     return percentiles(lengths, ["species"], "length", list(at), F.floor(F.col("length") / 16))
 
 

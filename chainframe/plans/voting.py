@@ -115,40 +115,33 @@ def set_vote(members: DataFrame, samples: DataFrame, columns=("i",)) -> DataFram
     """The sampled set with the largest mean Jaccard overlap with the others.
 
     ``samples`` lists every sample (qid, idx), also the empty ones; ``members``
-    has one row per member.  Two sets meet through their common members.
+    has one row per member.  Equal sets are merged first (by size and two
+    64-bit sums over the members; a set with an unreadable member equals no
+    other); distinct sets meet through their common members.
     """
     sized = members.select("qid", "idx", *columns).distinct()
-    sizes = samples.select("qid", "idx").distinct().join(
-        sized.groupBy("qid", "idx").agg(F.count(F.lit(1)).alias("_size")), ["qid", "idx"], "left"
-    ).fillna(0, ["_size"])
-    values = sizes.select(
-        "qid", F.col("idx").alias("vid"), F.lit(1).alias("_c"), F.col("idx").alias("_first"), "_size"
-    )
-    a, b = sized.alias("a"), sized.alias("b")
+    unreadable = F.lit(False)
+    for c in columns:
+        unreadable = unreadable | F.col(c).isNull()
+    marks = sized.groupBy("qid", "idx").agg(
+        F.count(F.lit(1)).alias("_size"), F.bit_xor(F.xxhash64(*columns)).alias("_x"),
+        F.sum(F.xxhash64(F.lit(1), *columns).cast("decimal(38,0)")).alias("_y"), F.bool_or(unreadable).alias("_own"),
+    )
+    sets = samples.select("qid", "idx").distinct().join(marks, ["qid", "idx"], "left").fillna(0, ["_size"])
+    # Empty sets are equal, and agree with nothing else.
+    values = sets.groupBy("qid", "_size", "_x", "_y", F.when(F.col("_own"), F.col("idx")).alias("_alone")).agg(
+        F.min("idx").alias("vid"), F.count(F.lit(1)).alias("_c")
+    ).select("qid", "vid", F.col("vid").alias("_first"), "_c", "_size")
+    distinct = sized.join(values.select("qid", F.col("vid").alias("idx"), "_size"), ["qid", "idx"])
+    a, b = distinct.alias("a"), distinct.alias("b")
     on = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in ("qid", *columns)]
-    common = a.join(b, [*on, F.col("a.idx") != F.col("b.idx")]).groupBy(
+    overlaps = a.join(b, [*on, F.col("a.idx") != F.col("b.idx")]).groupBy(
         F.col("a.qid").alias("qid"), F.col("a.idx").alias("a"), F.col("b.idx").alias("b")
-    ).agg(F.count(F.lit(1)).alias("_both"))
-    sa = sizes.select("qid", F.col("idx").alias("a"), F.col("_size").alias("_na"))
-    sb = sizes.select("qid", F.col("idx").alias("b"), F.col("_size").alias("_nb"))
-    overlaps = common.join(sa, ["qid", "a"]).join(sb, ["qid", "b"]).select(
-        "qid", "a", "b",
-        (F.col("_both") / (F.col("_na") + F.col("_nb") - F.col("_both"))).alias("iou"),
-    )
-    # Empty sets agree fully with each other and with nothing else.
-    empty = values.groupBy("qid").agg(F.count_if(F.col("_size") == 0).alias("_n_empty"))
-    met = overlaps.groupBy("qid", F.col("a").alias("vid")).agg(F.sum("iou").alias("_others"))
-    totals = values.groupBy("qid").agg(F.count(F.lit(1)).alias("n"))
-    scored = values.join(met, ["qid", "vid"], "left").join(totals, "qid").join(empty, "qid")
-    scored = scored.withColumn(
-        "score",
-        F.when(F.col("_size") == 0, F.col("_n_empty") - 1).otherwise(F.coalesce("_others", F.lit(0.0)))
-        / F.greatest(F.col("n") - 1, F.lit(1)),
-    )
-    best = scored.groupBy("qid").agg(
-        F.min(F.struct((-_settled(F.col("score"))).alias("k"), "vid")).alias("b")
-    )
-    return best.select("qid", F.col("b.vid").alias("idx"), (-F.col("b.k")).alias("agreement"))
+    ).agg(
+        F.count(F.lit(1)).alias("_both"), (F.max("a._size") + F.max("b._size")).alias("_sum")
+    ).select("qid", "a", "b", (F.col("_both") / (F.col("_sum") - F.col("_both"))).alias("iou"))
+    best = _medoid(values, overlaps, F.lit(1.0))
+    return best.select("qid", F.col("vid").alias("idx"), "agreement")
 
 
 def consensus(samples: DataFrame) -> DataFrame:

@@ -27,14 +27,27 @@ def species_of(number):
     )
 
 
-def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events")
-    keyed = events.select(
+def _keyed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
         species_of(F.col("user_id")).alias("species"),
         F.concat(F.lit("U"), F.col("user_id").cast("string")).alias("uniprot"),
         "event_id", "ts", "event_type", "value",
         F.regexp_extract("props", r'"k": (\d+)', 1).cast("int").alias("k"),
     )
+
+
+def _event_score():
+    return F.least(F.col("value"), F.lit(100.0)).cast("float").alias("plddt")
+
+
+def event_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """KEY and plddt of every position.  Without positions there is nothing to
+    number: one scan, no shuffle."""
+    return _keyed_events(spark, sf_dir).select(*KEY, _event_score())
+
+
+def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keyed = _keyed_events(spark, sf_dir)
     minute = F.unix_date(F.to_date("ts")) * 1440 + F.hour("ts") * 60 + F.minute("ts")
     numbered = number_rows(keyed, KEY, ["ts", "event_id"], minute, "i", "length")
     step = F.col("i") - 1
@@ -42,7 +55,7 @@ def event_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = numbered.select(
         *KEY, "i", "length",
         F.substring(F.lit(LETTERS), F.pmod("event_id", F.lit(20)).cast("int") + 1, F.lit(1)).alias("aa"),
-        F.least(F.col("value"), F.lit(100.0)).cast("float").alias("plddt"),
+        _event_score(),
         (F.col("k") * 2.5).cast("float").alias("sasa"),
         F.when(F.col("event_type").isin("view", "click"), "H")
         .when(F.col("event_type").isin("purchase", "signup"), "E")

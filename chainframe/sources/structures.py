@@ -30,20 +30,31 @@ def identity_from_path(path: Column) -> Column:
 
 
 def read_lines(spark: SparkSession, path: str, species: str) -> DataFrame:
-    """species, uniprot, value: the lines of structure files, split by Spark."""
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_path"))
-    return lines.select(F.lit(species).alias("species"), identity_from_path(F.col("_path")).alias("uniprot"), "value")
+    """species, uniprot, line, value: the lines of the first model of structure files."""
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("_path"))
+    return first_model(
+        files.select(F.lit(species).alias("species"), identity_from_path(F.col("_path")).alias("uniprot"), "value")
+    )
+
+
+def first_model(files: DataFrame) -> DataFrame:
+    """KEY, line, value from whole texts (one structure each): the numbered
+    lines before the first end of a model."""
+    before = F.substring_index("value", "\nENDMDL", 1)
+    return files.select(*KEY, F.posexplode(F.split(before, r"\r?\n")).alias("line", "value"))
 
 
 def parse_atoms(lines: DataFrame) -> DataFrame:
-    """Backbone atoms from fixed columns: KEY, chain, i, atom, aa, x, y, z, plddt.
-    Only the first model counts."""
+    """Backbone atoms from fixed columns: KEY, line, chain, i, atom, aa, x, y, z,
+    plddt.  Lines without numbers (column ``line``) have no order."""
+    if "line" not in lines.columns:
+        lines = lines.withColumn("line", F.lit(0))
     def part(name):
         start, size = FIELDS[name]
         return F.trim(F.substring("value", start, size))
 
     atoms = lines.where(F.col("value").startswith("ATOM")).select(
-        *KEY, part("atom").alias("atom"), part("resname").alias("_res"), part("chain").alias("chain"),
+        *KEY, "line", part("atom").alias("atom"), part("resname").alias("_res"), part("chain").alias("chain"),
         part("resnum").try_cast("long").alias("i"),
         *[part(c).try_cast("float").alias(c) for c in "xyz"],
         part("bfactor").try_cast("float").alias("plddt"),
@@ -53,17 +64,16 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
 
 def backbone(atoms: DataFrame) -> DataFrame:
     """One row per residue with a CA: aa, plddt and the four backbone points;
-    a missing N, C or O takes the CA position."""
-    point = F.struct("x", "y", "z")
-    first_chain = atoms.groupBy(*KEY).agg(F.min("chain").alias("chain"))
+    a missing N, C or O takes the CA position.  The chain that comes first
+    counts, and of repeated records of an atom the last."""
+    first_chain = atoms.groupBy(*KEY).agg(F.min(F.struct("line", "chain"))["chain"].alias("chain"))
     atoms = atoms.join(first_chain, [*KEY, "chain"])
+    record = F.struct("line", F.struct("x", "y", "z").alias("point"), "aa", "plddt")
     got = atoms.groupBy(*KEY, "i").agg(
-        F.min(F.when(F.col("atom") == "CA", F.col("aa"))).alias("aa"),
-        F.min(F.when(F.col("atom") == "CA", F.col("plddt"))).alias("plddt"),
-        *[F.min(F.when(F.col("atom") == a, point)).alias(a) for a in BACKBONE],
+        *[F.max(F.when(F.col("atom") == a, record)).alias(a) for a in BACKBONE]
     ).where(F.col("CA").isNotNull())
-    return got.select(*KEY, "i", "aa", "plddt", "CA", *[
-        F.coalesce(F.col(a), F.col("CA")).alias(a) for a in BACKBONE if a != "CA"
+    return got.select(*KEY, "i", "CA.aa", "CA.plddt", F.col("CA.point").alias("CA"), *[
+        F.coalesce(F.col(f"{a}.point"), F.col("CA.point")).alias(a) for a in BACKBONE if a != "CA"
     ])
 
 

@@ -153,3 +153,14 @@ def test_ideal_helix_is_a_helix(spark):
 
 def test_schema_is_complete():
     assert RESIDUES.fieldNames()[:4] == ["species", "uniprot", "i", "length"]
+
+
+def test_first_model_first_chain_last_record(spark, tmp_path):
+    def line(chain, i, x, atom="CA"):
+        return f"ATOM  {i:5d}  {atom:<3} ALA {chain}{i:4d}    {x:8.3f}{2.0:8.3f}{3.0:8.3f}  1.00{70.0:6.2f}"
+
+    lines = ["MODEL        1", line("Z", 1, 9.0), line("Z", 1, 5.0), line("Z", 2, 6.0), line("A", 1, 7.0), "ENDMDL",
+             "MODEL        2", line("Z", 1, 1.0), line("Z", 3, 1.0), "ENDMDL"]
+    (tmp_path / "AF-P1-F1-model_v4.pdb").write_text("\n".join(lines) + "\n")
+    bb = structures.backbone(structures.parse_atoms(structures.read_lines(spark, str(tmp_path), "human"))).collect()
+    assert {(r["uniprot"], r["i"], r["CA"]["x"], r["C"]["x"]) for r in bb} == {("P1", 1, 5.0, 5.0), ("P1", 2, 6.0, 6.0)}
