@@ -210,7 +210,11 @@ def between(stars: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
 
     def side(k: str, df: DataFrame, tokens) -> DataFrame:
         plain = [F.col(c).alias(c + k) for c in ("a", "na", "c", "most")]
-        return df.select("b", "grade", *plain, F.explode(tokens).alias("t")).select("*", "t.g", (~F.col("t.late")).alias("u")).drop("t")
+        need = (F.lit(q) * F.col("na") - F.col("both")).alias("need" + k)
+        spread = df.select("b", "grade", "nb", *plain, need, F.size("known").alias("_k"), F.posexplode(tokens).alias("at", "t"))
+        return spread.select(
+            "b", "grade", "nb", *[c + k for c in ("a", "na", "c", "most", "need")],
+            (F.col("_k") - F.col("at")).alias("left" + k), "t.g", (~F.col("t.late")).alias("u"))
 
     # The partners by their overlap with c: the smaller it is, the more differences must agree, so the fewer are tried.
     grades = some.where("free").select("b", "grade").distinct()
@@ -221,10 +225,13 @@ def between(stars: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     first = F.size("apart") - skip - lone_u
     take = F.when(first <= F.col("ku"), first).otherwise(F.greatest(F.col("ku"), first - lone_m)).cast("int")
     x = side("1", graded.withColumn("take", take).where("take > 0"), F.slice("known", 1, F.col("take")))
-    y = side("2", some.where("free"), F.col("known")).drop("u")
+    y = side("2", some.where("free"), F.col("known")).drop("u", "nb")
     near_size = F.least("na1", "na2") >= F.lit(similarity) * F.greatest("na1", "na2")
     possible = F.col("u") | ((F.col("na2") <= F.col("most1")) & (F.col("na1") <= F.col("most2")))
-    pairs = x.join(y, ["b", "grade", "g"]).where((F.col("a1") != F.col("a2")) & (F.col("c1") != F.col("c2")) & near_size & possible)
+    # Both sides list their differences in one order, so what follows the first one they share bounds all they share.
+    enough = F.least("left1", "left2") >= F.col("need1") + F.col("need2") + F.col("nb") - 1e-6
+    apart = (F.col("a1") != F.col("a2")) & (F.col("c1") != F.col("c2"))
+    pairs = x.join(y, ["b", "grade", "g"]).where(apart & near_size & possible & enough)
     return written(pairs.select(F.least("a1", "a2").alias("a"), F.greatest("a1", "a2").alias("b")).distinct())
 
 
