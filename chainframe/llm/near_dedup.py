@@ -188,7 +188,8 @@ def between(stars: DataFrame, found: DataFrame, similarity: float) -> DataFrame:
     q = s / (1 + s), the link says overlap >= q (|x| + |y|), the missing link says |y & c| < q (|y| + |c|), so x and y
     share more than q |x| + (1 - q) |c| - |x & c| >= 0 of their differences from c: one of the rarest differences of x, all
     but so many.  If, besides, no shingle beyond c is in both, all they share is c's, so overlap <= |x & c| and |y & c|,
-    and each has at most the size overlap / q - own size of the other.  Copies edited apart from each other meet no such
+    and each has at most the size overlap / q - own size of the other.  Differences are listed in one order for all members,
+    so a pair also needs enough of them from the first shared one on, in both lists.  Copies edited apart from each other meet no such
     condition, so a large group of them is not expanded into pairs.
     """
     q = similarity / (1 + similarity)
