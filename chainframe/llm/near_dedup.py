@@ -42,7 +42,7 @@ def stream(k: int, turn: int) -> np.uint64:
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterator[tuple[bytes, np.ndarray, np.ndarray]]:
     """For each row: digest of its words, distinct shingle hashes and their counts.  Fewer than ``k`` words are one
-    shingle; no words, none."""
+    shingle of all their words in order; no words, none."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets)
     words = mix(span_hashes(prefix_hashes(low), starts, ends))
@@ -55,7 +55,10 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterato
         if b - a >= k:
             yield digest, *np.unique(grams[a : b - k + 1], return_counts=True)
         elif b > a:
-            yield digest, mix(words[a:b].sum(dtype=np.uint64, keepdims=True) + np.uint64(b - a)), np.ones(1, np.int64)
+            whole = words[a : a + 1]
+            for i in range(a + 1, b):
+                whole = whole * STREAM[0] + words[i : i + 1]
+            yield digest, mix(whole + np.uint64(b - a)), np.ones(1, np.int64)
         else:
             yield digest, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 

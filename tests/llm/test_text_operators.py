@@ -100,6 +100,12 @@ def test_near_duplicates(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_short_texts_keep_their_order(spark):
+    texts = ["dog bites man", "man bites dog", "Dog bites MAN!", "a b", "b a", "a b c d", "a c b d"]
+    got = near_dedup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r["doc_id"]: r["class_id"] for r in got.collect()} == {0: 0, 1: 1, 2: 0, 3: 3, 4: 4, 5: 5, 6: 6}
+
+
 def test_signatures_are_unbiased():
     rng, gaps = np.random.default_rng(3), []
     for _ in range(60):
