@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chainframe.llm.common import held_out, shared_folder, table
-from chainframe.llm.decontaminate import contamination, is_contaminated
+from chainframe.llm.decontaminate import decontaminate
 from chainframe.llm.mixing import mix
 from chainframe.llm.near_dedup import deduplicate
 from chainframe.llm.queries import TOKENIZER, WEIGHTS, levels
@@ -40,8 +40,11 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the contamination rule leaves."""
-    return contamination(docs, table(spark, sf_dir, "benchmark")).where(~is_contaminated()).select(*docs.columns)
+    """Documents that the contamination rule leaves, without their long benchmark passages.  ``n_chars`` follows the text."""
+    clean = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    if "n_chars" in docs.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars"))
+    return clean.select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

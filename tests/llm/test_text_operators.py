@@ -12,6 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chainframe.llm import (
     decontaminate, fingerprints, language, mixing, near_dedup, secrets, sharding, substrings, tokens, toxicity,
 )
@@ -176,6 +177,61 @@ def test_decontamination(spark, docs, none):
     assert decontaminate.contamination(docs, benchmark.limit(0)).where("_found.n_hit > 0").count() == 0
 
 
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("corpus"))
+    items = [(1, prose(21, 40)), (2, "one two three"), (3, None)]
+    texts = [prose(22, 700) + ". " + items[0][1] + "! " + prose(23, 700), prose(24, 600) + " one two three " + prose(25, 600),
+             items[0][1], prose(26, 300), prose(26, 300), None, "", prose(27, 500) + " " + " ".join(items[0][1].split()[5:25])]
+    docs = [(i, t, "en", f"s{i % 3}", len(t or "")) for i, t in enumerate(texts)]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, 0) for i in range(8)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return folder, docs, items
+
+
+def test_decontamination_stage(spark, corpus):
+    folder, docs, items = corpus
+    want = {}
+    for doc_id, text, *_ in docs:
+        words, hit = list(re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text or "")), set()
+        low = [w[0].lower() for w in words]
+        for _, item in items:
+            own = re.findall(r"[0-9a-z\x80-\U0010ffff]+", (item or "").lower())
+            k = min(13, len(own))
+            grams = {tuple(own[i : i + k]) for i in range(len(own) - k + 1)} if k else set()
+            for i in range(len(low) - k + 1):
+                if tuple(low[i : i + k]) in grams:
+                    hit |= set(range(i, i + k))
+        if hit and 20 * len(hit) >= len(words):
+            continue
+        for end in sorted((i for i in hit if i + 1 not in hit), reverse=True):
+            start = end
+            while start - 1 in hit:
+                start -= 1
+            if end - start + 1 >= 13:
+                text = text[: words[start].start()] + text[words[end].end() :]
+        want[doc_id] = (text, len(text or ""))
+    given = spark.read.parquet(f"{folder}/documents.parquet")
+    got = dict(corpus_pipeline.STAGES)["decontamination"](spark, given, folder)
+    assert got.columns == given.columns
+    assert {r["doc_id"]: (r["text"], r["n_chars"]) for r in got.collect()} == want
+    assert len(want[0][0]) < docs[0][4] and 2 not in want and want[1][0] == docs[1][1]
+
+
+def test_stages(spark, corpus):
+    folder, docs, _ = corpus
+    stages, given = dict(corpus_pipeline.STAGES), spark.read.parquet(f"{folder}/documents.parquet")
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    assert ids(stages["toxicity"](spark, given, folder)) == list(range(8))
+    assert ids(stages["near_duplicates"](spark, given, folder)) == [0, 1, 2, 3, 5, 6, 7]
+    taken = mixing.mix(given, levels(), WEIGHTS, corpus_pipeline.SHARE, seed=corpus_pipeline.SEED).where("copies > 0")
+    assert ids(stages["mixing"](spark, given, folder)) == ids(taken)
+    library = tokens.tokenizer(TOKENIZER).library
+    want = {r[0]: np.array([*library.encode(r[1] or "", add_special_tokens=False).ids, 2], "<u4").tobytes() for r in docs}
+    assert {r["doc_id"]: bytes(r["ids"]) for r in stages["token_ids"](spark, given, folder).collect()} == want
+
+
 def test_tokens(spark, docs, none, tmp_path):
     library = tokens.tokenizer(TOKENIZER).library
     got = tokens.read_tokens(spark, tokens.write_tokens(docs, TOKENIZER, str(tmp_path / "t"), block_ids=300)).collect()
