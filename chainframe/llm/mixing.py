@@ -4,7 +4,8 @@ The leaves of a tree (say domain, language, source) hold documents.  A token bud
 children get shares by weight, none more than it can give (its tokens times ``max_epochs``); what one cannot take goes
 to its siblings by their weights, and only what a whole family cannot take goes to the family's own siblings.  A leaf
 fulfils its budget with whole epochs of its documents and a prefix of one more, each epoch in an order of its own that
-the seed gives.
+the seed gives.  Documents are whole, so a prefix ends before its budget; what is left goes to the next documents of
+siblings, then of the family's siblings and so on, until no leaf's next document fits into what is left of all.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Documents of a piece of a leaf's order, about.
 PIECE = 10_000
 
@@ -64,6 +67,26 @@ def budgets(leaves: Mapping[tuple, int], amount: int, weights: Mapping[tuple, fl
     return {p: out.get(p, 0) for p in leaves}
 
 
+def granted(left: dict[tuple, int], nexts: Mapping[tuple, int], spare: int = 0) -> tuple[set[tuple], int]:
+    """The leaves that may take their next document (of ``nexts`` tokens), and the tokens that stay.
+
+    ``left`` is what each leaf lacks.  It is pooled in the leaf's family, which serves the leaves that lack the largest
+    part of their next document first; what a family does not use is pooled with its siblings; ``spare`` joins at the root.
+    """
+    order = sorted(nexts, key=lambda p: (-left.get(p, 0) / nexts[p], nexts[p], p))
+    pool, taken = dict(left), set()
+    for k in range(max(map(len, left), default=0) - 1, -1, -1):
+        up: dict[tuple, int] = {(): spare} if k == 0 else {}
+        for path, tokens in pool.items():
+            up[path[:k]] = up.get(path[:k], 0) + tokens
+        for path in order:
+            if path not in taken and nexts[path] <= up.get(path[:k], 0):
+                up[path[:k]] -= nexts[path]
+                taken.add(path)
+        pool = up
+    return taken, sum(pool.values())
+
+
 def word_count(text: str = "text") -> Column:
     return F.regexp_count(F.coalesce(F.col(text).cast("string"), F.lit("")), F.lit(r"\S+")).cast("long")
 
@@ -72,11 +95,11 @@ def mix(
     docs: DataFrame, levels: dict[str, Column], weights: Mapping[tuple, float], share: float,
     max_epochs: int = 1, seed: int = 0, tokens: Column | None = None,
 ) -> DataFrame:
-    """Per row: doc_id, the level columns, n_tokens, budget (of its leaf), copies (times the document is taken).
+    """Per row: doc_id, the level columns, n_tokens, budget (tokens that its leaf delivers), copies (times the document is taken).
 
     ``share`` times all tokens is the budget.  Null levels are the value ``null``.  In each epoch the documents stand in
     the order of a hash of seed, epoch and doc_id; of the last, partial epoch those stay whose running total is within
-    the rest.  Documents without tokens are taken with every epoch of their leaf and never fill it.  Rows that agree in
+    the rest, and those that ``granted`` adds from what other leaves leave.  Documents without tokens are taken with every epoch of their leaf and never fill it.  Rows that agree in
     doc_id and tokens are exchangeable.
 
     The leaves (one row per path of the tree) come to the driver; documents do not.  Running totals use pieces of about
@@ -90,19 +113,60 @@ def mix(
     counted = rows.groupBy(*names).agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("docs")).collect()
     leaves = {tuple(r[n] for n in names): r["n"] for r in counted}
     given = budgets(leaves, int(share * sum(leaves.values())), weights, max_epochs)
-    spark = docs.sparkSession
-    plan = [(*p, b, b // leaves[p] if leaves[p] else 0, b % leaves[p] if leaves[p] else 0) for p, b in sorted(given.items())]
-    fields = ", ".join(f"`{n}` string" for n in names) + ", budget long, epochs long, rest long"
     bits = max(0, math.ceil(math.log2(max([1, *(r["docs"] for r in counted)]) / PIECE)))
+    types, spark = ", ".join(f"`{n}` string" for n in names), docs.sparkSession
+
+    def per_leaf(fields: str, plan: list[tuple]) -> DataFrame:
+        # One row per leaf.
+        return F.broadcast(spark.createDataFrame(plan, f"{types}, {fields}"))
+
+    free = {p for p in leaves if leaves[p] and all(weights.get(p[:k], 1.0) > 0 for k in range(1, len(p) + 1))}
+    spare, first = 0, True
+    while True:
+        epochs = {p: given[p] // n if n else 0 for p, n in leaves.items()}
+        rest = {p: given[p] - epochs[p] * n for p, n in leaves.items()}
+        order = written(_running(rows, names, per_leaf("epochs long", [(*p, e) for p, e in epochs.items()]), seed, bits))
+
+        def ends(most: int) -> dict[tuple, tuple[int, int, int]]:
+            """Of each leaf, running totals of its order: the last within the rest, the next one, the last within ``most`` more."""
+            r, u = F.col("rest"), F.col("_upto")
+            found = order.join(per_leaf("rest long", [(*p, x) for p, x in rest.items()]), names).groupBy(*names).agg(
+                F.max(F.when(u <= r, u)).alias("here"), F.min(F.when(u > r, u)).alias("next"), F.max(F.when(u <= r + most, u)).alias("far"))
+            return {tuple(x[n] for n in names): (x["here"] or 0, x["next"] or 0, x["far"] or 0) for x in found.collect()}
+
+        if first:
+            at, first = ends(0), False
+            left = {p: rest[p] - at[p][0] for p in rest}
+            rest = {p: at[p][0] for p in rest}
+            taken, spare = granted(left, {p: at[p][1] - rest[p] for p in free if epochs[p] < max_epochs and at[p][1]})
+            rest |= {p: at[p][1] for p in taken}
+        # What is left of all goes on down the orders; each round, one leaf at least takes all that it ever can.
+        while spare:
+            at = ends(spare)
+            more = sorted((rest[p] - at[p][2], p) for p in free if epochs[p] < max_epochs and at[p][2] > rest[p])
+            for add, p in more:
+                if -add <= spare:
+                    rest[p], spare = rest[p] - add, spare + add
+            if not more:
+                break
+        given = {p: epochs[p] * leaves[p] + rest[p] for p in leaves}
+        # A leaf at the end of an epoch can go on in the order of the next one.
+        if not spare or not any(rest[p] == leaves[p] and epochs[p] + 1 < max_epochs for p in free):
+            break
+    plan = [(*p, given[p], epochs[p], rest[p]) for p in sorted(leaves)]
+    partial = ((F.col("rest") > 0) & (F.col("_upto") <= F.col("rest"))).cast("long")
+    return order.drop("epochs").join(per_leaf("budget long, epochs long, rest long", plan), names).select(
+        "doc_id", *names, "n_tokens", "budget", (F.col("epochs") + partial).alias("copies"))
+
+
+def _running(rows: DataFrame, names: list[str], epochs: DataFrame, seed: int, bits: int) -> DataFrame:
+    """``rows`` with the running total of their leaf's tokens in the order of its first unfinished epoch."""
     identity = F.concat_ws("/", F.lit(str(seed)), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
-    # One row per leaf.
-    drawn = rows.join(F.broadcast(spark.createDataFrame(plan, fields)), names).withColumn("_draw", F.md5(identity))
+    drawn = rows.join(epochs, names).withColumn("_draw", F.md5(identity))
     drawn = drawn.withColumn("_piece", F.shiftright(F.conv(F.substring("_draw", 1, 8), 16, 10).cast("long"), 32 - min(bits, 31)))
     sums = drawn.groupBy(*names, "_piece").agg(F.sum("n_tokens").alias("_sum"))
     earlier = Window.partitionBy(*names).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
     before = sums.select(*names, "_piece", F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_before"))
     inside = Window.partitionBy(*names, "_piece").orderBy("_draw", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
-    upto = F.col("_before") + F.sum("n_tokens").over(inside)
-    partial = ((F.col("rest") > 0) & (upto <= F.col("rest"))).cast("long")
-    return drawn.join(before, [*names, "_piece"]).select(
-        "doc_id", *names, "n_tokens", "budget", (F.col("epochs") + partial).alias("copies"))
+    upto = (F.col("_before") + F.sum("n_tokens").over(inside)).alias("_upto")
+    return drawn.join(before, [*names, "_piece"]).select("doc_id", *names, "n_tokens", "epochs", upto)

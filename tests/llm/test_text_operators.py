@@ -301,6 +301,28 @@ def test_mixing(docs, none):
     assert mixing.mix(none, levels(), WEIGHTS, 0.7).count() == 0
 
 
+def test_mix_fills_its_budget(spark):
+    """A long document early in an order neither loses its leaf's share nor leaves tokens that any next document could use."""
+    docs = [(i, "w " * (900 if i % 60 == 3 else 5 + i % 9), "en" if i % 2 else "de", f"s{i % 6}") for i in range(600)]
+    d = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    for share, most in ((0.2, 1), (0.3, 1), (0.3, 4)):
+        got = mixing.mix(d, levels(), {}, share, max_epochs=most, seed=2).collect()
+        amount = int(share * sum(r["n_tokens"] for r in got))
+        taken, budget = collections.Counter(), {}
+        for r in got:
+            budget[r["domain"], r["lang"], r["source"]] = r["budget"]
+            taken[r["domain"], r["lang"], r["source"]] += r["copies"] * r["n_tokens"]
+        assert taken == budget and max(r["copies"] for r in got) <= most
+        assert amount - 13 < sum(taken.values()) <= amount
+
+
+def test_granted():
+    left = {("a", "x"): 9, ("a", "y"): 1, ("b", "z"): 5}
+    # The family serves x; what y would need comes from b only if it is enough.
+    assert mixing.granted(left, {("a", "x"): 10, ("a", "y"): 8, ("b", "z"): 7}) == ({("a", "x")}, 5)
+    assert mixing.granted(left, {("a", "x"): 10, ("a", "y"): 5, ("b", "z"): 7}) == ({("a", "x"), ("a", "y")}, 0)
+
+
 def test_shards(docs, none):
     got = sharding.shards(docs, n_shards=4).collect()
     counts = collections.Counter(r["shard"] for r in got)
