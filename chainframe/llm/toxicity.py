@@ -1,11 +1,15 @@
-"""Toxicity: a word-presence logistic classifier with a counterfactual penalty.
+"""Toxicity: a logistic classifier over hashed words and letter n-grams with a counterfactual penalty.
+
+A document is the set of its words; a word adds the weight of its own bucket and those of its letter n-grams, so that
+rare words of one family teach together and no word needs to be frequent.  There is no vocabulary: every word and n-gram
+of the sample has a bucket.
 
 For every labelled sentence that names a group, the same sentence with another group's name is formed.  Training adds
 ``balance`` times the mean squared difference of the two scores (log-odds) to the loss, so that a neutral mention of a
 group does not move the score although toxic sentences often name one.
 
-The model is fitted on the driver over at most ``SAMPLE`` labelled rows, the ones with the smallest hash of doc_id; the
-feature selection counts documents per word over that sample in Spark.  Scoring reads every text whole.
+The model is fitted on the driver over at most ``SAMPLE`` labelled rows, the ones with the smallest hash of doc_id, by
+limited-memory quasi-Newton steps over sparse rows.  Scoring reads every text whole.
 """
 
 from __future__ import annotations
@@ -25,8 +29,9 @@ from .common import WORD, held_out, mix, prefix_hashes, span_hashes, steps, text
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
-#: Words of the model, at most; and the share of sampled documents that a word must be in.
-VOCABULARY, MIN_SHARE = 256, 0.002
+#: Buckets of the hashed features; lengths of the letter n-grams (at the start of a word they are features of their own),
+#: and their value beside the 1 of a word.
+WIDTH, GRAMS, GRAM_VALUE = 1 << 20, (3, 4, 5), 0.5
 #: A document is toxic from this score on.
 THRESHOLD = 0.3
 #: Names of groups; a term is swapped with the others of its line.
@@ -40,6 +45,8 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden", "hindus"), ("femmes", "hommes"),
     ("musulmans", "chrétiens", "juifs", "hindous"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
+#: Words of which the features are listed at once.
+BLOCK = 50_000
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -52,20 +59,45 @@ def _inside(data: np.ndarray) -> np.ndarray:
     return inside
 
 
-def word_hashes(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """For each step of rows: first and last row, the hash of each word, and the bounds of the rows' words."""
+def words_in(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each step of rows: first and last row, their bytes, bounds and hash of each word, and the bounds of the rows' words."""
     data, offsets = text_bytes(pc.utf8_lower(column.cast(pa.large_string())))
     for low, high in steps(offsets):
         part = data[offsets[low] : offsets[high]]
         starts, ends, first = word_spans(part, offsets[low : high + 1] - offsets[low], _inside(part))
-        yield low, high, mix(span_hashes(prefix_hashes(part), starts, ends)), first
+        yield low, high, part, starts, ends, mix(span_hashes(prefix_hashes(part), starts, ends)), first
+
+
+def features(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Flat (word, bucket, value) of the given words: each word's own bucket and those of its letter n-grams."""
+    size = ends - starts
+    begin = np.cumsum(size) - size
+    own = data[np.repeat(starts - begin, size) + np.arange(int(size.sum()))]
+    prefix = prefix_hashes(own)
+    letter = np.flatnonzero((own & 0xC0) != 0x80)
+    word = np.searchsorted(begin, letter, "right") - 1
+    last = np.searchsorted(letter, begin + size)[word]
+    to = np.append(letter, len(own))
+    words, found = [np.arange(len(starts))], [mix(hashes + np.uint64(1))]
+    for n in GRAMS:
+        at = np.flatnonzero(np.arange(len(letter)) + n <= last)
+        salt = np.uint64(2 * n) + (letter[at] == begin[word[at]]).astype(np.uint64)
+        words.append(word[at])
+        found.append(mix(span_hashes(prefix, letter[at], to[at + n]) + salt))
+    bucket = (np.concatenate(found) % np.uint64(WIDTH)).astype(np.int32)
+    return np.concatenate(words).astype(np.int32), bucket, values(len(starts), len(bucket))
+
+
+def values(own: int, n: int) -> np.ndarray:
+    """Values of ``n`` features of which the first ``own`` are words."""
+    return np.where(np.arange(n) < own, 1.0, GRAM_VALUE)
 
 
 def hash_words(words: list[str]) -> np.ndarray:
     """The same hashes for given words."""
     if not words:
         return np.zeros(0, np.uint64)
-    return np.concatenate([h for _, _, h, _ in word_hashes(pa.array(words))])
+    return np.concatenate([x[5] for x in words_in(pa.array(words))])
 
 
 def swaps(text: str | None, terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
@@ -82,81 +114,95 @@ def swaps(text: str | None, terms=IDENTITY_TERMS) -> list[tuple[str, str]]:
 
 @dataclass
 class ToxicityModel:
-    words: np.ndarray  # sorted hashes
-    weights: np.ndarray
+    weights: np.ndarray  # by bucket
     bias: float
 
-    def __post_init__(self):
-        self.seen = np.zeros(1 << 16, bool)
-        self.seen[(self.words >> np.uint64(48)).astype(np.int64)] = True
-
-    def features(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of words of the model, and which they are."""
-        maybe = np.flatnonzero(self.seen[(hashes >> np.uint64(48)).astype(np.int64)])
-        if not len(maybe):
-            return maybe, maybe
-        at = np.minimum(np.searchsorted(self.words, hashes[maybe]), len(self.words) - 1)
-        hit = self.words[at] == hashes[maybe]
-        return maybe[hit], at[hit]
-
     def scores(self, column: pa.Array) -> np.ndarray:
         total = np.full(len(column), self.bias)
-        for low, _, hashes, first in word_hashes(column):
-            at, word = self.features(hashes)
-            row = np.searchsorted(first, at, "right") - 1
-            pairs = np.unique(row * len(self.words) + word)
-            np.add.at(total, low + pairs // max(1, len(self.words)), self.weights[pairs % max(1, len(self.words))])
+        for low, high, part, starts, ends, hashes, first in words_in(column):
+            if not len(hashes):
+                continue
+            known, at, which = np.unique(hashes, return_index=True, return_inverse=True)
+            word, bucket, value = features(part, starts[at], ends[at], known)
+            worth = np.bincount(word, value * self.weights[bucket], len(known))
+            pairs = np.unique(np.repeat(np.arange(high - low), np.diff(first)) * len(known) + which)
+            total[low:high] += np.bincount(pairs // len(known), worth[pairs % len(known)], high - low)
         return 1 / (1 + np.exp(-np.clip(total, -500, 500)))
 
 
+def minimise(loss, w: np.ndarray, enough: float, memory: int = 5, rounds: int = 300) -> np.ndarray:
+    """L-BFGS; ``loss`` gives value and gradient.  Ends when a round gains less than ``enough``."""
+    value, grad = loss(w)
+    pairs: list[tuple[np.ndarray, np.ndarray, float]] = []
+    for _ in range(rounds):
+        step, back = -grad, []
+        for s, y, r in reversed(pairs):
+            back.append(r * (s @ step))
+            step = step - back[-1] * y
+        if pairs:
+            step *= (pairs[-1][0] @ pairs[-1][1]) / (pairs[-1][1] @ pairs[-1][1])
+        else:
+            step /= max(1.0, float(np.linalg.norm(grad)))
+        for (s, y, r), x in zip(pairs, reversed(back)):
+            step += (x - r * (y @ step)) * s
+        slope, scale = float(grad @ step), 1.0
+        while True:
+            new, new_grad = loss(w + scale * step)
+            if new <= value + 1e-4 * scale * slope or scale < 1e-8:
+                break
+            scale /= 2
+        if new >= value:
+            break
+        s, y = scale * step, new_grad - grad
+        if s @ y > 1e-12 * (y @ y):
+            pairs = [*pairs[1 - memory :], (s, y, 1 / float(s @ y))]
+        gain, w, value, grad = value - new, w + s, new, new_grad
+        if gain < enough:
+            break
+    return w
+
+
 def fit_logistic(
-    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, width: int, changes: list[np.ndarray],
-    l2: float = 1.0, balance: float = 1.0, rounds: int = 25,
+    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, int]],
+    words: int, changes: list[tuple[int, list[int], list[int]]], l2: float = 1.0, balance: float = 1.0,
 ) -> tuple[np.ndarray, float]:
-    """Minimise the sum of log losses + l2/2 |w|^2 + balance/2 * (documents) * mean (w . change)^2 by Newton steps.
+    """Minimise the sum of log losses + l2/2 |w|^2 + balance/2 * (documents) * mean (w . change)^2.
 
-    ``rows`` and ``columns`` list the words present in each document; a change lists the words that a swap adds (k) and
-    takes away (-k-1).
+    ``rows`` and ``columns`` list the words present in each document, ``parts`` the features of each of the ``words``; a
+    change is how often a swap is seen, and the words that it adds and takes away.
     """
     n = len(labels)
     share = (labels.sum() + 1) / (n + 2)
-    w = np.zeros(width + 1)
-    w[width] = np.log(share / (1 - share))
-    if not n or labels.min() == labels.max() or not width:
-        return w[:width], float(w[width])
-    x = np.zeros((n, width + 1), np.float32)
-    x[rows, columns] = 1
-    x[:, width] = 1
-    prior = np.diag(np.append(np.full(width, l2), 1e-6))
-    if changes:
-        delta = np.zeros((len(changes), width + 1), np.float32)
-        for i, change in enumerate(changes):
-            for k in change.tolist():
-                delta[i, k if k >= 0 else -k - 1] += 1 if k >= 0 else -1
-        prior += balance * n / len(changes) * (delta.T @ delta)
-
-    def loss(v: np.ndarray) -> float:
-        z = x @ v.astype(np.float32)
-        return float(np.logaddexp(0, z.astype(float)).sum() - z[labels > 0].sum(dtype=float) + v @ prior @ v / 2)
-
-    value = loss(w)
-    for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(x @ w.astype(np.float32), -30, 30)))
-        grad = x.T @ (p - labels).astype(np.float32) + prior @ w
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None].astype(np.float32)) + prior + 1e-6 * np.eye(width + 1), grad)
-        scale = 1.0
-        while scale > 1e-4 and loss(w - scale * step) > value:
-            scale /= 2
-        w = w - scale * step
-        before, value = value, loss(w)
-        if before - value < 1e-6 * n:
-            break
-    return w[:width], float(w[width])
+    w = np.zeros(WIDTH + 1)
+    w[WIDTH] = np.log(share / (1 - share))
+    if not n or labels.min() == labels.max() or not len(columns):
+        return w[:WIDTH], float(w[WIDTH])
+    often = np.array([c for c, _, _ in changes], float)
+    often *= balance * n / max(1.0, often.sum())
+    moved = [(i, k, sign) for i, (_, more, less) in enumerate(changes) for sign, side in ((1.0, more), (-1.0, less)) for k in side]
+    change, changed, sign = (np.array([m[k] for m in moved], kind) for k, kind in enumerate((int, int, float)))
+    prior = np.append(np.full(WIDTH, l2), 1e-6)
+
+    def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
+        worth, grad = np.zeros(words), prior * v
+        for word, bucket, own in parts:
+            worth += np.bincount(word, values(own, len(word)) * v[bucket], words)
+        z = np.bincount(rows, worth[columns], n) + v[WIDTH]
+        gap = np.bincount(change, sign * worth[changed], len(changes))
+        p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+        by_word = np.bincount(columns, (p - labels)[rows], words) + np.bincount(changed, sign * (often * gap)[change], words)
+        for word, bucket, own in parts:
+            grad[:WIDTH] += np.bincount(bucket, values(own, len(word)) * by_word[word], WIDTH)
+        grad[WIDTH] += (p - labels).sum()
+        return float(np.logaddexp(0, z).sum() - z[labels > 0].sum() + often @ (gap * gap) / 2 + v @ (prior * v) / 2), grad
+
+    w = minimise(loss, w, 1e-5 * n)
+    return w[:WIDTH], float(w[WIDTH])
 
 
 def fit(
-    docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE,
-    vocabulary: int = VOCABULARY, min_share: float = MIN_SHARE, terms=IDENTITY_TERMS, balance: float = 1.0,
+    docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, terms=IDENTITY_TERMS,
+    balance: float = 1.0,
 ) -> ToxicityModel:
     """Learn from the labelled documents for which ``learn`` (over doc_id; all by default) holds.
 
@@ -171,70 +217,75 @@ def fit(
     texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull())
     # At most ``sample`` rows of two numbers are broadcast.
     train = texts.join(F.broadcast(chosen), "doc_id").select("text", "_y").groupBy("text").agg(F.max("_y").alias("_y"))
+    train = written(train)
 
-    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            words, pairs = [], []
-            for _, _, hashes, first in word_hashes(batch.column(0)):
+            words, moved = [], []
+            for *_, hashes, first in words_in(batch.column(0)):
                 words += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(first[:-1], first[1:])]
             for text in batch.column(0).to_pylist():
-                pairs.append([
-                    [np.unique(hash_words([side])).view(np.int64).tolist() for side in pair] for pair in swaps(text, terms)
-                ])
+                sides = [[set(hash_words([side]).view(np.int64).tolist()) for side in pair] for pair in swaps(text, terms)]
+                moved.append([{"more": sorted(b - a), "less": sorted(a - b)} for a, b in sides if a != b])
+            side = pa.list_(pa.int64())
             yield pa.RecordBatch.from_pydict({
-                "words": pa.array(words, pa.list_(pa.int64())), "y": batch.column(1).cast(pa.int32()),
-                "pairs": pa.array(pairs, pa.list_(pa.list_(pa.list_(pa.int64())))),
+                "words": pa.array(words, side), "y": batch.column(1).cast(pa.int32()),
+                "moved": pa.array(moved, pa.list_(pa.struct([("more", side), ("less", side)]))),
             })
 
-    feats = written(train.mapInArrow(featured, "words array<long>, y int, pairs array<array<array<long>>>"))
-    totals = feats.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p")).first()
-    n, p = totals["n"], totals["p"] or 0
-    counted = (
-        feats.select(F.explode("words").alias("word"), "y").groupBy("word")
-        .agg(F.count(F.lit(1)).cast("double").alias("a"), F.sum("y").cast("double").alias("b"))
-        .where((F.col("a") >= 5) & (F.col("a") >= min_share * n))
-    )
-    # Chi-square of word against label.
-    gap = F.col("b") * F.lit(float(n)) - F.col("a") * F.lit(float(p))
-    chi = gap * gap / (F.col("a") * (F.lit(float(n)) - F.col("a")) + 1)
-    top = counted.orderBy(chi.desc(), "word").limit(vocabulary).select("word").collect()
-    known = [hash_words([t]) for line in terms for t in line]
-    words = np.unique(np.concatenate([np.array([r["word"] for r in top], np.int64).view(np.uint64), *known]))
-    model = ToxicityModel(words, np.zeros(len(words)), 0.0)
-    shared = docs.sparkSession.sparkContext.broadcast(words)
-
-    def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = ToxicityModel(shared.value, np.zeros(len(shared.value)), 0.0)
-
-        def index(hashes) -> list[int]:
-            return own.features(np.array(hashes, np.int64).view(np.uint64))[1].tolist()
-
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            present = [index(r) for r in batch.column(0).to_pylist()]
-            moved = []
-            for pairs in batch.column(2).to_pylist():
-                sides = [(set(index(a)), set(index(b))) for a, b in pairs]
-                moved.append([sorted(b - a) + [-k - 1 for k in sorted(a - b)] for a, b in sides])
-            yield pa.RecordBatch.from_pydict({
-                "present": pa.array(present, pa.list_(pa.int32())), "y": batch.column(1),
-                "moved": pa.array(moved, pa.list_(pa.list_(pa.int32()))),
-            })
-
-    # At most ``sample`` rows of at most ``vocabulary`` numbers reach the driver.
-    got = feats.mapInArrow(reduced, "present array<int>, y int, moved array<array<int>>").toArrow().sort_by("y")
-    present = got["present"].to_pylist()
-    rows = np.repeat(np.arange(len(present)), [len(x) for x in present])
-    columns = np.array([k for x in present for k in x], int)
-    changes = [np.array(c, int) for x in got["moved"].to_pylist() for c in x if c]
-    labels_ = got["y"].to_numpy().astype(float)
-    model.weights, model.bias = fit_logistic(rows, columns, labels_, len(words), changes, balance=balance)
-    return model
+            for _, _, part, starts, ends, hashes, _ in words_in(batch.column(0)):
+                known, at = np.unique(hashes, return_index=True)
+                yield pa.RecordBatch.from_pydict({
+                    "word": pa.array(known.view(np.int64)),
+                    "letters": pa.array([part[s:e].tobytes().decode() for s, e in zip(starts[at], ends[at])], pa.string()),
+                })
+
+    feats = written(train.mapInArrow(read, "words array<long>, y int, moved array<struct<more:array<long>,less:array<long>>>"))
+    # The distinct words of at most ``sample`` rows, and of each row its words, reach the driver.
+    vocabulary = train.select("text").mapInArrow(listed, "word long, letters string").groupBy("word").agg(F.min("letters").alias("letters"))
+    letters = pa.concat_arrays([
+        vocabulary.select("letters").toArrow()["letters"].cast(pa.string()).combine_chunks(),
+        pa.array([t for line in terms for t in line], pa.string())])
+    words, parts = _table(letters)
+    got = feats.select("words", "y", F.xxhash64("words", "y").alias("order")).toArrow().sort_by("order")
+    lists = got["words"].combine_chunks()
+    rows = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy())
+    columns = np.searchsorted(words, lists.flatten().to_numpy().view(np.uint64)).astype(np.int32)
+    y = got["y"].to_numpy().astype(float)
+    del got, lists, letters
+    counts = feats.select(F.explode("moved").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).orderBy("m").collect()
+
+    def index(hashes: list[int]) -> list[int]:
+        return np.searchsorted(words, np.array(hashes, np.int64).view(np.uint64)).tolist()
+
+    changes = [(r["n"], index(r["m"]["more"]), index(r["m"]["less"])) for r in counts]
+    weights, bias = fit_logistic(rows, columns, y, parts, len(words), changes, balance=balance)
+    return ToxicityModel(weights, bias)
+
+
+def _table(letters: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
+    """Sorted hashes of the distinct words in some texts, and their features in blocks: words, buckets and how many of
+    them are words' own."""
+    hashes, parts = np.zeros(0, np.uint64), []
+    for at_ in range(0, len(letters), BLOCK):
+        for _, _, part, starts, ends, own, _ in words_in(letters[at_ : at_ + BLOCK]):
+            known, at = np.unique(own, return_index=True)
+            new = ~np.isin(known, hashes)
+            word, bucket, _ = features(part, starts[at[new]], ends[at[new]], known[new])
+            parts.append((word + np.int32(len(hashes)), bucket, int(new.sum())))
+            hashes = np.concatenate([hashes, known[new]])
+    order = np.argsort(hashes)
+    place = np.empty(len(order), np.int32)
+    place[order] = np.arange(len(order), dtype=np.int32)
+    return hashes[order], [(place[word], bucket, own) for word, bucket, own in parts]
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
     """``docs`` with a column ``name``: the probability of label 1 from the whole text.  Null and empty texts get the
     score of a text without known words.  Other columns, of whatever name, pass unchanged."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.words, model.weights, model.bias))
+    shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.bias))
     keep = [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

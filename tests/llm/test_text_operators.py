@@ -279,6 +279,22 @@ def test_toxicity(spark, docs, none):
     assert toxicity.toxicity(docs, l).count() == len(rows()) and toxicity.toxicity(none, l.limit(0)).count() == 0
 
 
+def test_rare_words_of_a_minority_language(spark):
+    """No toxic word is in 0.2 % of the sample, the share that a word once needed."""
+    texts, labels, tails = [], [], ("e", "es", "o")
+    for i in range(8000):
+        bad = i % 200 == 7
+        mark = "boquement" + tails[i // 200 % 3] if bad else WORDS[i % 18]
+        texts.append((i, f"{prose(i, 10)} {mark} {prose(i + 9999, 5)}"))
+        labels.append((i, int(bad)))
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    l = spark.createDataFrame(labels, "doc_id long, toxic int")
+    got = toxicity.toxicity(d, l).where("held_out").collect()
+    bad = [r for r in got if r["doc_id"] % 200 == 7]
+    assert len(bad) >= 3 and all(r["predicted"] for r in bad)
+    assert sum(r["predicted"] for r in got) == len(bad)
+
+
 def test_budget_shares():
     assert mixing.shares(100, [1, 1, 2], [10, 1000, 1000]) == [10, 30, 60]
     assert mixing.shares(10, [1, 1, 1], [100, 100, 100]) == [4, 3, 3]
