@@ -4,12 +4,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .centroids import clusters, with_inertia
 from .common import table
 from .decontaminate import contamination, is_contaminated
 from .fingerprints import edit_likeness
 from .language import languages
 from .mixing import mix
 from .near_dedup import near_duplicates
+from .periodic import digests, periodic_runs
+from .pieces import decoded, encoded
 from .secrets import secrets
 from .sharding import shards
 from .substrings import cut_repeats
@@ -17,6 +20,7 @@ from .tokens import read_tokens, write_tokens
 from .toxicity import toxicity
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,6 +106,49 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decoded(encoded(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return found.select(
+        "doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")
+    )
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_inertia(*clusters(table(spark, sf_dir, "embeddings")))
+
+
+def _round_sql(k: int) -> str:
+    """One round: assignment ``a{k}`` by the centroids ``c{k}``, and the moved centroids ``c{k+1}``."""
+    return f"""
+a{k} AS (
+  SELECT vec_id, any_value(q) AS q, arg_min(c, d * 16 + c) AS c, min(d) AS d
+  FROM (SELECT v.vec_id, v.q, m.c, list_sum([(v.q[i] - m.q[i]) * (v.q[i] - m.q[i]) FOR i IN range(1, 65)])::BIGINT AS d
+        FROM v CROSS JOIN c{k} m)
+  GROUP BY vec_id),
+s{k} AS (
+  SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i)::BIGINT[] AS q
+  FROM (SELECT c, i, sum(q[i])::BIGINT AS s, count(*) AS n FROM a{k}, range(1, 65) r(i) GROUP BY c, i) GROUP BY c),
+c{k + 1} AS (SELECT c{k}.c, coalesce(s{k}.q, c{k}.q) AS q FROM c{k} LEFT JOIN s{k} ON s{k}.c = c{k}.c)"""
+
+
+OP12_SQL = f"""
+WITH v AS (
+  SELECT vec_id, [CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)]) = 64),
+c0 AS (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (
+  SELECT sha256('1:' || CAST(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h LIMIT 16)),
+{",".join(_round_sql(k) for k in range(4))},
+t AS (SELECT c, sum(d)::BIGINT AS s FROM a3 GROUP BY c)
+SELECT vec_id, a3.c::INTEGER AS cluster, d AS distance, t.s AS cluster_inertia, (SELECT sum(s)::BIGINT FROM t) AS inertia,
+       sha256(array_to_string(c3.q, ',')) AS centroid_sha256
+FROM a3 JOIN t ON t.c = a3.c JOIN c3 ON c3.c = a3.c
+"""
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(periodic_runs(table(spark, sf_dir, "documents"), plant=True))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_substring_dedup": op2_substring_dedup,
@@ -113,5 +160,8 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_hilbert_shards": op9_hilbert_shards,
     "op10_fingerprints": op10_fingerprints,
+    "op11_sentencepiece": op11_sentencepiece,
+    "op12_centroids": op12_centroids,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES = {"op5_decontamination": OP5_SQL}
+ORACLES = {"op5_decontamination": OP5_SQL, "op12_centroids": OP12_SQL}
