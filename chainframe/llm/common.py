@@ -18,13 +18,26 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
+#: Rows of an Arrow batch.  The default of 10,000 would put that many whole texts into one message to a Python worker.
+BATCH_ROWS = 1_000
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``; a session that asks for fewer keeps its own number."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder of the session.  A cluster names it in ``spark.checkpoint.dir``; only a local session
     may go without and gets a temporary one."""
+    bounded_batches(spark)
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -78,7 +91,7 @@ _POWERS: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n."""
     if len(_POWERS[0]) < n:
-        size = max(n, STEP_BYTES + 1)
+        size = 1 << max(16, n.bit_length())
         for k, base in enumerate((BASE, INVERSE)):
             steps_ = np.full(size, base, np.uint64)
             steps_[0] = 1

@@ -3,13 +3,15 @@
 A block holds the ids of some consecutive documents.  Ids are packed into 64-bit words: the top four bits are a
 selector, the others hold as many ids of one width as fit.  Ids that need more than 60 bits do not exist here; ids of
 more than ``ESCAPE_BITS`` bits are escaped: the word stream holds a marker and the id goes to a side list of the block.
-Every block lists the word offset of each of its documents' first id and the number of ids, so that any document can be
-decoded alone and all words of one selector are decoded in one vectorised step.
+Every block lists for each of its documents the word that holds its first id, the place of the id in that word, and the
+number of ids, so that any document can be decoded alone (``decode_document``); all words of one selector are decoded in
+one vectorised step.
 
 File format: Parquet files in the chosen folder, one row per block (``file``, ``block``, ``first_id`` .. ``payload``),
 written through Spark's commit protocol, so that a lost executor leaves no half file.  ``payload`` is little-endian:
-magic ``S8B1``, counts (documents, ids, words, escapes) as uint32, ids per document as uint32, documents' ids as int64,
-words as uint64, escapes as (uint32 position, uint32 id).
+magic ``S8B2``, counts (documents, ids, words, escapes) as uint32, ids per document as uint32, the word of each document's
+first id as uint32 and its place there as uint8, documents' ids as int64 and whether they are known as uint8, words as
+uint64, escapes as (uint32 position, uint32 id).
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 from .common import mix, prefix_hashes, shared_folder, span_hashes, steps, text_bytes
 
-MAGIC = b"S8B1"
+MAGIC = b"S8B2"
 #: Fixed values of the format: ids per word by selector, and bits per id.
 COUNTS = (60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1)
 BITS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60)
@@ -37,7 +39,7 @@ SELECTOR[list(COUNTS)] = np.arange(len(COUNTS))
 #: An id at or above 2**ESCAPE_BITS is escaped.  The largest value of that width is the marker.
 ESCAPE_BITS = 20
 #: Ids of a block, about; a block ends with the document that reaches it.
-BLOCK_IDS = 1 << 18
+BLOCK_IDS = 1 << 16
 END_ID = 2
 
 
@@ -96,30 +98,51 @@ def unpack(words: np.ndarray, escapes: np.ndarray, n: int) -> np.ndarray:
 def encode_block(doc_ids: list, counts: np.ndarray, ids: np.ndarray) -> bytes:
     words, escapes = pack(ids)
     known = np.array([d is not None for d in doc_ids], np.uint8)
+    held = np.array(COUNTS)[(words >> np.uint64(60)).astype(np.int64)] if len(words) else np.zeros(0, np.int64)
+    begin = np.cumsum(held) - held
+    first = np.cumsum(counts) - counts
+    word = np.maximum(np.searchsorted(begin, first, "right") - 1, 0)
+    place = first - begin[word] if len(words) else first
     head = np.array([len(doc_ids), len(ids), len(words), len(escapes)], "<u4")
     return b"".join((
-        MAGIC, head.tobytes(), np.asarray(counts, "<u4").tobytes(),
+        MAGIC, head.tobytes(), np.asarray(counts, "<u4").tobytes(), word.astype("<u4").tobytes(), place.astype(np.uint8).tobytes(),
         np.array([d or 0 for d in doc_ids], "<i8").tobytes(), known.tobytes(),
         words.astype("<u8").tobytes(), escapes.astype("<u4").tobytes(),
     ))
 
 
-def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
-    """Document ids, ids per document, and all ids of a block."""
+def _parts(payload: bytes) -> list[np.ndarray]:
+    """The arrays of a block, in the order of the file format, after its number of ids."""
     if payload[:4] != MAGIC:
         raise ValueError("not a Simple-8b block")
     docs, n, words, escapes = np.frombuffer(payload, "<u4", 4, 4).tolist()
-    at = 20
-    counts = np.frombuffer(payload, "<u4", docs, at)
-    at += 4 * docs
-    doc_ids = np.frombuffer(payload, "<i8", docs, at).tolist()
-    at += 8 * docs
-    known = np.frombuffer(payload, np.uint8, docs, at)
-    at += docs
-    packed = np.frombuffer(payload, "<u8", words, at)
-    at += 8 * words
-    rest = np.frombuffer(payload, "<u4", 2 * escapes, at).reshape(-1, 2)
-    return [d if k else None for d, k in zip(doc_ids, known.tolist())], counts, unpack(packed, rest, n)
+    at, out = 20, [n]
+    for kind, size in (("<u4", docs), ("<u4", docs), ("u1", docs), ("<i8", docs), ("u1", docs), ("<u8", words), ("<u4", 2 * escapes)):
+        out.append(np.frombuffer(payload, kind, size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def decode_block(payload: bytes) -> tuple[list, np.ndarray, np.ndarray]:
+    """Document ids, ids per document, and all ids of a block."""
+    n, counts, _, _, doc_ids, known, packed, rest = _parts(payload)
+    names = [d if k else None for d, k in zip(doc_ids.tolist(), known.tolist())]
+    return names, counts, unpack(packed, rest.reshape(-1, 2), n)
+
+
+def decode_document(payload: bytes, k: int) -> np.ndarray:
+    """The ids of the ``k``-th document of a block, from its own words only."""
+    _, counts, word, place, _, _, packed, rest = _parts(payload)
+    first, skip, size = int(word[k]), int(place[k]), int(counts[k])
+    upto = first
+    held = -skip
+    while held < size:
+        held += COUNTS[int(packed[upto] >> np.uint64(60))]
+        upto += 1
+    begin = int(counts[:k].sum())
+    own = rest.reshape(-1, 2).astype(np.int64) - [begin - skip, 0]
+    inside = own[(own[:, 0] >= skip) & (own[:, 0] < skip + size)]
+    return unpack(packed[first:upto], inside, skip + size)[skip:]
 
 
 #: Classes of the characters below U+0100 as the tokenizer's splitting pattern sees them (fixed values of Unicode).
@@ -128,8 +151,9 @@ DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0"
 #: Contractions that are pieces of their own at the start of a run of marks (fixed values of the pattern).
 CONTRACTIONS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
-#: Slots for remembered pieces in a Python worker, a power of two; and ids after which it starts anew.
-SLOTS, REMEMBERED_IDS = 1 << 21, 1 << 23
+#: Slots for remembered pieces in a Python worker, a power of two; ids and letters after which it starts anew; and bytes of
+#: text that one step tokenizes.
+SLOTS, REMEMBERED_IDS, REMEMBERED_LETTERS, STEP = 1 << 18, 1 << 20, 1 << 22, 1 << 18
 
 
 def latin_tables() -> tuple[np.ndarray, np.ndarray]:
@@ -172,6 +196,21 @@ def pieces_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends
 
 
+def equal_spans(
+    one: np.ndarray, start: np.ndarray, size: np.ndarray, two: np.ndarray, other: np.ndarray, length: np.ndarray
+) -> np.ndarray:
+    """Whether span by span the bytes of ``one`` from ``start`` and of ``two`` from ``other`` are equal.  Spans are not empty."""
+    out = size == length
+    at = np.flatnonzero(out)
+    if len(at):
+        size = size[at]
+        begin = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        differ = one[np.repeat(start[at] - begin, size) + step] != two[np.repeat(other[at] - begin, size) + step]
+        out[at] = ~np.logical_or.reduceat(differ, begin)
+    return out
+
+
 class WordTokenizer:
     """The tokenizers library with a memory.
 
@@ -195,29 +234,40 @@ class WordTokenizer:
         self.forget()
 
     def forget(self) -> None:
-        """Pieces are remembered by hash in one of two slots: where their ids begin in ``table`` and how many."""
-        self.keys, self.begin, self.size = np.zeros(SLOTS, np.uint64), np.zeros(SLOTS, np.int32), np.zeros(SLOTS, np.uint16)
-        self.table, self.used = np.zeros(1 << 16, np.uint32), 0
+        """Pieces are remembered by hash in one of two slots: where their ids begin in ``table`` and how many, and where
+        their letters begin in ``letters`` and how many."""
+        self.keys = np.zeros(SLOTS, np.uint64)
+        self.begin, self.size, self.place, self.long = (np.zeros(SLOTS, np.int32) for _ in range(4))
+        self.table, self.used = np.zeros(1 << 14, np.uint32), 0
+        self.letters, self.written = np.zeros(1 << 16, np.uint8), 0
 
     def slots(self, key: np.ndarray) -> np.ndarray:
-        """For each piece the slot that holds it, or -1."""
+        """For each piece the slot that holds its hash, or -1."""
         last = np.uint64(SLOTS - 1)
         one, two = (key & last).astype(np.int32), ((key >> np.uint64(40)) & last).astype(np.int32)
         return np.where(self.keys[one] == key, one, np.where(self.keys[two] == key, two, -1))
 
-    def remember(self, key: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
-        last = np.uint64(SLOTS - 1)
-        one, two = (key & last).astype(np.int32), ((key >> np.uint64(40)) & last).astype(np.int32)
-        slot = np.where(self.keys[one] == 0, one, two)
+    def added(self, flat: np.ndarray) -> int:
+        """Append ids to ``table``; returns where they begin."""
         if self.used + len(flat) > len(self.table):
             self.table = np.concatenate([self.table, np.zeros(max(len(flat), len(self.table)), np.uint32)])
         self.table[self.used : self.used + len(flat)] = flat
-        small = sizes < 1 << 16
-        self.keys[slot[small]] = key[small]
-        # Of several pieces that meet in a slot the last stays, in all three arrays.
-        self.begin[slot[small]] = (self.used + np.cumsum(sizes) - sizes)[small]
-        self.size[slot[small]] = sizes[small]
         self.used += len(flat)
+        return self.used - len(flat)
+
+    def remember(self, key: np.ndarray, begin: np.ndarray, sizes: np.ndarray, text: np.ndarray, long: np.ndarray) -> None:
+        """Keep pieces, given by hash, begin and number of ids, and their letters one after the other.  Of several pieces
+        that meet in a slot the last stays, in all arrays."""
+        if self.written + len(text) > len(self.letters):
+            self.letters = np.concatenate([self.letters, np.zeros(max(len(text), len(self.letters)), np.uint8)])
+        self.letters[self.written : self.written + len(text)] = text
+        last = np.uint64(SLOTS - 1)
+        one, two = (key & last).astype(np.int32), ((key >> np.uint64(40)) & last).astype(np.int32)
+        slot = np.where(self.keys[one] == 0, one, two)
+        self.keys[slot] = key
+        self.begin[slot], self.size[slot] = begin, sizes
+        self.place[slot], self.long[slot] = self.written + np.cumsum(long) - long, long
+        self.written += len(text)
 
     def merged(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all pieces and how many each has.  A piece ends with the token that has the word-end mark."""
@@ -250,25 +300,40 @@ class WordTokenizer:
                 out[i] = ids
         return out
 
+    @staticmethod
+    def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        return mix(span_hashes(prefix_hashes(data), starts, ends) ^ mix((ends - starts).astype(np.uint64)))
+
     def _plain(self, raw: bytes, offsets: np.ndarray) -> list[np.ndarray]:
         data = LATIN_LOWER[np.frombuffer(raw, np.uint8)]
         starts, ends = pieces_of(data, offsets)
         if not len(starts):
             return [np.zeros(0, np.uint32)] * (len(offsets) - 1)
-        key = mix(span_hashes(prefix_hashes(data), starts, ends) ^ mix((ends - starts).astype(np.uint64)))
-        if self.used > REMEMBERED_IDS:
+        long = ends - starts
+        key = self.hashed(data, starts, ends)
+        if self.used > REMEMBERED_IDS or self.written > REMEMBERED_LETTERS:
             self.forget()
         slot = self.slots(key)
-        missing = np.flatnonzero(slot < 0)
-        begin, own = self.begin[slot], self.size[slot].astype(np.int64)
-        if len(missing):
+        # A hash only finds a piece; its letters decide.
+        known = np.flatnonzero(slot >= 0)
+        known = known[equal_spans(data, starts[known], long[known], self.letters, self.place[slot[known]], self.long[slot[known]])]
+        begin, own = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64)
+        begin[known], own[known] = self.begin[slot[known]], self.size[slot[known]]
+        missing = np.ones(len(key), bool)
+        missing[known] = False
+        missing = np.flatnonzero(missing)
+        while len(missing):
             new, first, which = np.unique(key[missing], return_index=True, return_inverse=True)
-            low, first = data.tobytes(), missing[first]
-            pieces = [low[s:e].decode("latin-1") for s, e in zip(starts[first].tolist(), ends[first].tolist())]
+            first = missing[first]
+            same = equal_spans(data, starts[missing], long[missing], data, starts[first][which], long[first][which])
+            pieces = [data[s:e].tobytes().decode("latin-1") for s, e in zip(starts[first].tolist(), ends[first].tolist())]
             flat, sizes = self.merged(pieces)
-            begin[missing] = (self.used + np.cumsum(sizes) - sizes)[which]
-            own[missing] = sizes[which]
-            self.remember(new, flat, sizes)
+            at = self.added(flat) + np.cumsum(sizes) - sizes
+            begin[missing[same]], own[missing[same]] = at[which[same]], sizes[which[same]]
+            text = data[np.repeat(starts[first] - (np.cumsum(long[first]) - long[first]), long[first]) + np.arange(int(long[first].sum()))]
+            self.remember(new, at, sizes, text, long[first])
+            # Pieces of an equal hash but other letters are looked at again.
+            missing = missing[~same]
         upto = np.cumsum(own)
         ids = self.table[np.repeat(begin - (upto - own), own) + np.arange(upto[-1])]
         bounds = np.concatenate([[0], upto])[np.searchsorted(starts, offsets)]
@@ -310,7 +375,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids
 
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), batch.column(1)
-            for low, high in steps(text_bytes(texts)[1]):
+            for low, high in steps(text_bytes(texts)[1], STEP):
                 for doc_id, got in zip(keys[low:high], tok.encode([t or "" for t in texts[low:high].to_pylist()])):
                     doc_ids.append(doc_id)
                     ids += [got, end]
@@ -347,8 +412,9 @@ def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, block, payload in zip(*(batch.column(k).to_pylist() for k in range(3))):
-                doc_ids, counts, ids = decode_block(payload)
+            parts, numbers = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for part, block, payload in zip(parts, numbers, batch.column(2)):
+                doc_ids, counts, ids = decode_block(payload.as_py())
                 ends = np.cumsum(counts, dtype=np.int64)
                 raw, n = ids.astype("<u4").tobytes(), len(doc_ids)
                 own = [raw[4 * (e - c) : 4 * e] for e, c in zip(ends.tolist(), counts.tolist())]
