@@ -518,7 +518,7 @@ def tool_distance(spark, sf):
 @register("tool_region_stats")
 def tool_region_stats(spark, sf):
     ev = event_chains(spark, sf)
-    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(30).alias("end"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, "length", F.lit(5).alias("start"), F.lit(30).alias("end"))
     return prompts.region_observations(regions.region_values(asked, ev, prompts.region_tool_metrics()))
 
 

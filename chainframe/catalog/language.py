@@ -244,7 +244,7 @@ def contact_edges(spark, sf):
 def long_range_contacts(spark, sf):
     """long_range_contacts(range(5, 45)) with sep 12 and radius 8."""
     ev = event_chains(spark, sf)
-    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit(5).alias("start"), F.lit(45).alias("end"))
+    asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, "length", F.lit(5).alias("start"), F.least(F.lit(45), "length").alias("end"))
     found = regions.contact_counts(asked, pairs.close_pairs(ev, 8.0, min_sep=13), min_gap=12)
     return asked.join(found, "qid", "left").select(*KEY, F.coalesce("contacts", F.lit(0)).alias("answer"))
 

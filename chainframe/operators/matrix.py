@@ -28,7 +28,7 @@ def block_values(
     Adds mean_pae, max_pae, n_high (cells above ``threshold`` when the column
     exists) and ``err``.
     """
-    fits = F.expr("a_start >= 1 and a_start <= a_end and b_start >= 1 and b_start <= b_end")
+    fits = F.expr("a_start >= 1 and a_start <= a_end and a_end <= length and b_start >= 1 and b_start <= b_end and b_end <= length")
     # explode_outer: the validity test stays in this step instead of being
     # pushed down as a filter that repeats how the regions were derived.
     positions = F.explode_outer(F.when(fits, F.sequence("a_start", "a_end")))

@@ -12,8 +12,9 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..schema import KEY, block_of
-from .windows import block_size
+from ..schema import BLOCK, KEY, block_of
+from .offline import counts_within
+from .windows import block_size, per_block
 
 CELL = ["_cx", "_cy", "_cz"]
 ALL_CELLS = list(itertools.product((-1, 0, 1), repeat=3))
@@ -33,10 +34,15 @@ def distance(a: str, b: str) -> Column:
     return F.sqrt(squared_distance(a, b))
 
 
-def _cells(width: float, shift=None) -> list[Column]:
+def _width(radius: float | str) -> Column:
+    """A radius for all chains, or the column that holds each chain's own."""
+    return F.col(radius) if isinstance(radius, str) else F.lit(float(radius))
+
+
+def _cells(width: float | str, shift=None) -> list[Column]:
     out = []
     for n, axis in enumerate(("x", "y", "z")):
-        cell = F.floor(F.col(axis).cast("double") / F.lit(float(width)))
+        cell = F.floor(F.col(axis).cast("double") / _width(width))
         if shift is not None:
             cell = cell + F.col(f"_shift.d{n}")
         out.append(cell.alias(CELL[n]))
@@ -49,13 +55,15 @@ def _shifts(cells) -> Column:
     )
 
 
-def close_pairs(residues: DataFrame, radius: float, min_sep: int = 1, keep=()) -> DataFrame:
+def close_pairs(residues: DataFrame, radius: float | str, min_sep: int = 1, keep=()) -> DataFrame:
     """Pairs i < j with distance <= radius and j - i >= min_sep, each once.
 
-    Columns: KEY, i, j, d, and ``<c>_i`` / ``<c>_j`` for every column in
-    ``keep``.  A strict bound is a filter on ``d``.
+    ``radius`` is a number or the name of a column of ``residues`` that is
+    the same all along a chain.  Columns: KEY, i, j, d, and ``<c>_i`` /
+    ``<c>_j`` for every column in ``keep``.  A strict bound is a filter on ``d``.
     """
-    columns = ["i", "x", "y", "z", *keep]
+    columns = ["i", "x", "y", "z", *([radius] if isinstance(radius, str) else []), *keep]
+    reach = F.col(f"a.{radius}") if isinstance(radius, str) else F.lit(float(radius))
     seeing = residues.select(
         *KEY, *columns, F.explode(_shifts(HALF_CELLS)).alias("_shift")
     ).select(
@@ -70,7 +78,7 @@ def close_pairs(residues: DataFrame, radius: float, min_sep: int = 1, keep=()) -
     once = ~F.col("a._same") | (F.col("a.i") < F.col("b.i"))
     apart = F.abs(F.col("a.i") - F.col("b.i")) >= max(1, min_sep)
     first = F.col("a.i") < F.col("b.i")
-    return near.where(once & apart & (F.sqrt(squared) <= float(radius))).select(
+    return near.where(once & apart & (F.sqrt(squared) <= reach)).select(
         *[F.col(k) for k in KEY],
         F.least("a.i", "b.i").alias("i"),
         F.greatest("a.i", "b.i").alias("j"),
@@ -86,16 +94,17 @@ def close_pairs(residues: DataFrame, radius: float, min_sep: int = 1, keep=()) -
     )
 
 
-def close_between(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
-    """Pairs (r, s) of two subsets of the same chains within ``radius``."""
-    columns = ["i", "x", "y", "z"]
+def close_between(left: DataFrame, right: DataFrame, radius: float | str) -> DataFrame:
+    """Pairs (r, s) of two subsets of the same chains within ``radius`` (as in ``close_pairs``)."""
+    columns = ["i", "x", "y", "z", *([radius] if isinstance(radius, str) else [])]
+    reach = F.col(f"a.{radius}") if isinstance(radius, str) else F.lit(float(radius))
     seeing = left.select(*KEY, *columns, F.explode(_shifts(ALL_CELLS)).alias("_shift")).select(
         *KEY, *columns, *_cells(radius, shift=True)
     )
     seen = right.select(*KEY, *columns, *_cells(radius))
     near = seeing.alias("a").join(seen.alias("b"), [*KEY, *CELL])
     d = distance("a", "b")
-    return near.where(d <= float(radius)).select(
+    return near.where(d <= reach).select(
         *[F.col(k) for k in KEY], F.col("a.i").alias("r"), F.col("b.i").alias("s"), d.alias("d")
     )
 
@@ -120,9 +129,10 @@ def neighbor_counts(residues: DataFrame, radius: float = 8.0, name: str = "n_nei
     )
 
 
-def pair_domain_size(length: Column, min_sep: int = 1) -> Column:
+def pair_domain_size(length: Column, min_sep: int | Column = 1) -> Column:
     """Number of pairs i < j with j - i >= min_sep."""
-    room = F.greatest(length - F.lit(max(1, min_sep)), F.lit(0).cast("long"))
+    least = min_sep if isinstance(min_sep, Column) else F.lit(max(1, min_sep))
+    room = F.greatest(length - least, F.lit(0).cast("long"))
     return F.floor(room * (room + 1) / 2)
 
 
@@ -157,19 +167,67 @@ def count_split_pairs(residues: DataFrame, first: Column, second: Column, min_se
     return starts.join(later, [*KEY, "i"]).groupBy(*KEY).agg(F.sum("_later").alias("answer"))
 
 
-def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int]) -> DataFrame:
+def asked_reach(residues: DataFrame, asked: DataFrame, t: str) -> DataFrame:
+    """The residues of the chains that ask (``asked``: KEY, ``t``), with ``reach``: the power of two at or above the
+    largest distance that the chain asks for and that some pair of it can exceed; and ``span``, a bound on the distance
+    of any two of its positions.  Chains that only ask for distances beyond ``span`` or for none are left out."""
+    spans = chain_spans(residues)
+    top = F.max(F.when(F.col(t) <= F.col("span"), F.col(t)))
+    widest = asked.select(*KEY, t).join(spans, KEY).groupBy(*KEY).agg(top.alias("_top"), F.max("span").alias("span")).where("_top > 0")
+    reach = F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest("_top", F.lit(1.0)))))
+    return residues.join(widest.select(*KEY, "span", reach.alias("reach")), KEY)
+
+
+def chain_spans(residues: DataFrame) -> DataFrame:
+    """KEY and ``span`` as in ``asked_reach``."""
+    sides = [F.max(c).cast("double") - F.min(c).cast("double") for c in ("x", "y", "z")]
+    return residues.groupBy(*KEY).agg(F.sqrt(sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]).alias("span"))
+
+
+def asked_contact_counts(residues: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked``: qid, KEY, length, sep, t.  Returns qid, below and upto: pairs with j - i >= sep and d < t (d <= t).
+
+    Every question brings its own separation and distance.  Pairs are made once per chain, up to the largest distance it
+    asks for, and counted by dominance (separation from ``sep`` on, distance up to ``t``).  A distance beyond any in the
+    chain is a formula of its length.
+    """
+    spans = chain_spans(residues)
+    known = asked.join(spans, KEY, "left").withColumn("_far", F.col("t") > F.col("span"))
+    near = known.where(~F.col("_far"))
+    close = close_pairs(asked_reach(residues, near, "t"), "reach", keep=["length"])
+    points = close.select(*KEY, (F.col("j") - F.col("i")).alias("a"), F.col("d").alias("b"), F.col("length_i").alias("top"))
+    wanted = near.select("qid", *KEY, F.greatest("sep", F.lit(1)).cast("long").alias("lo"), F.col("length").alias("hi"), "t", F.col("length").alias("top"))
+    found = counts_within(points, wanted, cell=lambda v: F.floor(v * 4))
+    all_pairs = pair_domain_size(F.col("length"), F.greatest("sep", F.lit(1)))
+    return known.join(found, "qid", "left").select(
+        "qid", *[F.when(F.col("_far"), all_pairs).otherwise(F.coalesce(F.col(n), F.lit(0))).cast("long").alias(n) for n in ("below", "upto")])
+
+
+def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int] | DataFrame) -> DataFrame:
     """Contact density of every full window: KEY, w, start, end, density.
 
+    ``widths`` is a list for all chains, or rows (KEY, length, w) of what each chain asks for.
+
     A contact (i, j) lies in the windows that start in [j - w + 1, i].  It adds
     +1 where that interval begins and -1 behind its end; a running sum over the
     starts gives the count.  The interval is cut at block borders so that the
     sum restarts in every block.
     """
-    size = block_size(max(widths))
-    block = lambda i: F.floor((i - 1) / F.lit(size))
+    if isinstance(widths, DataFrame):
+        size = F.greatest(F.lit(BLOCK), 2 * F.col("w"))
+        own = per_block(widths.where("w between 1 and length").select(*KEY, "length", "w").distinct()).drop("length")
+
+        def asked(rows):
+            return rows.withColumn("_block", F.floor(F.col("i") / BLOCK)).join(own, [*KEY, "_block"]).drop("_block")
+    else:
+        size = F.lit(block_size(max(widths)))
+        listed = F.explode(F.array(*[F.lit(v).cast("long") for v in widths]))
+
+        def asked(rows):
+            return rows.withColumn("w", listed)
+    block = lambda i: F.floor((i - 1) / size)
 
-    w = F.explode(F.array(*[F.lit(v).cast("long") for v in widths])).alias("w")
-    inside = contacts.select(*KEY, "i", "j", w).where("j - i < w").select(
+    inside = asked(contacts.select(*KEY, "i", "j")).where("j - i < w").select(
         *KEY, "w",
         F.greatest(F.col("j") - F.col("w") + 1, F.lit(1)).alias("lo"),
         F.col("i").alias("hi"),
@@ -191,10 +249,10 @@ def window_contacts(residues: DataFrame, contacts: DataFrame, widths: list[int])
             )
         ).alias("_e"),
     ).select(*KEY, "w", "_block", "_e.start", "_e.delta").where(
-        f"start <= (_block + 1) * {size}"
+        F.col("start") <= (F.col("_block") + 1) * size
     )
     starts = (
-        residues.select(*KEY, "length", F.col("i").alias("start"), w)
+        asked(residues.select(*KEY, "length", "i")).withColumnRenamed("i", "start")
         .where("start + w - 1 <= length")
         .select(*KEY, "w", block(F.col("start")).alias("_block"), "start",
                 F.lit(0).alias("delta"), F.lit(True).alias("is_start"))

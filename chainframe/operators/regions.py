@@ -1,15 +1,15 @@
 """Values of regions.
 
-Many regions at once: ``regions`` holds KEY, an identifier, start and end.
-Regions are matched to positions through tiles, so a join bucket holds at most
-``TILE`` positions no matter how long the chain is or how many regions name it.
+Many regions at once: ``regions`` holds KEY, an identifier, start, end and the chain's length.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..schema import KEY, TILE, tile_of
-from .windows import Metric
+from ..schema import KEY, TILE
+from .offline import counts_within
+from .prefix import extremes_between, running, sums_between
+from .windows import Metric, listed
 
 
 def region_problem(start: Column, end: Column, length: Column) -> Column:
@@ -24,39 +24,22 @@ def position_problem(i: Column, length: Column) -> Column:
     )
 
 
-def _tiles(known: DataFrame) -> Column:
-    """The tiles a valid region touches, one row each; none of a region beyond a known chain length.  explode_outer keeps the
-    validity test here: as a filter it would be pushed down and repeat how the
-    region was derived."""
-    valid = (F.col("start") >= 1) & (F.col("start") <= F.col("end"))
-    if "length" in known.columns:
-        valid = valid & (F.col("end") <= F.col("length"))
-    return F.explode_outer(
-        F.when(valid, F.sequence(tile_of(F.col("start")), tile_of(F.col("end"))))
-    )
-
-
-def region_rows(regions: DataFrame, residues: DataFrame, rid: str = "qid") -> DataFrame:
-    """Every (region, position) incidence, joined with the position's features."""
-    wanted = regions.select(rid, *KEY, "start", "end", _tiles(regions).alias("_tile"))
-    placed = residues.withColumn("_tile", tile_of(F.col("i")))
-    return wanted.join(placed, [*KEY, "_tile"]).where("i between start and end").drop("_tile")
-
-
 def region_values(
     regions: DataFrame, residues: DataFrame, metrics: dict[str, Metric], rid: str = "qid"
 ) -> DataFrame:
-    """One row per region: rid, the metrics and ``err``."""
-    rows = region_rows(regions, residues, rid)
-    values = rows.groupBy(rid).agg(
-        F.max("length").alias("_length"), *[m.grouped().alias(n) for n, m in metrics.items()]
-    )
-    problem = region_problem(F.col("start"), F.col("end"), F.col("_length"))
-    checked = regions.join(values, rid, "left").withColumn("err", problem)
+    """One row per region (rid, KEY, start, end, length and further columns): its columns, the metrics and ``err``.
+
+    A region costs two lookups in the running sums, and for extremes a few segments; see ``prefix``.
+    """
+    found = regions.withColumn("err", region_problem(F.col("start"), F.col("end"), F.col("length")))
+    sums, squares, extremes = (listed(metrics, k) for k in ("sums", "squares", "extremes"))
+    if sums:
+        found = found.join(sums_between(regions, running(residues, sums, squares), rid), rid, "left")
+    if extremes:
+        found = found.join(extremes_between(regions, residues, extremes, rid), rid, "left")
+    n = F.col("end") - F.col("start") + 1
     valid = F.col("err").isNull()
-    return checked.select(
-        *regions.columns, *[F.when(valid, F.col(n)).alias(n) for n in metrics], "err"
-    )
+    return found.select(*regions.columns, *[F.when(valid, m.finish(n)).alias(name) for name, m in metrics.items()], "err")
 
 
 def fixed_region(residues: DataFrame, start, end, metrics: dict[str, Metric]) -> DataFrame:
@@ -94,21 +77,20 @@ def window_of(start: int, size: int) -> tuple[Column, Column]:
 
 
 def contact_counts(regions: DataFrame, contacts: DataFrame, rid="qid", min_gap=0) -> DataFrame:
-    """Contacts whose two ends lie in the region (and j - i > min_gap).
+    """Contacts whose two ends lie in the region (and j - i > min_gap): rid, contacts; regions without any are missing.
 
-    Contacts are keyed by the tile of their first end, regions by the tiles
-    they cover.
+    ``regions`` carries ``length``.  Counted by dominance (first end inside, second end up to the region's end), so
+    nested long regions share their work and no region meets its contacts one by one.
     """
-    wanted = regions.select(rid, *KEY, "start", "end", _tiles(regions).alias("_tile"))
-    placed = contacts.where(F.col("j") - F.col("i") > min_gap).select(
-        *KEY, "i", "j", tile_of(F.col("i")).alias("_tile")
-    )
-    return (
-        wanted.join(placed, [*KEY, "_tile"])
-        .where("i >= start and j <= end")
-        .groupBy(rid)
-        .agg(F.count(F.lit(1)).alias("contacts"))
+    asked = regions.select(
+        rid, *KEY, F.col("start").cast("long").alias("lo"), F.col("end").cast("long").alias("hi"),
+        F.col("end").cast("double").alias("t"), F.col("length").cast("long").alias("top"),
     )
+    lengths = asked.groupBy(*KEY).agg(F.max("top").alias("top"))
+    points = contacts.where(F.col("j") - F.col("i") > min_gap).join(lengths, KEY).select(
+        *KEY, F.col("i").cast("long").alias("a"), F.col("j").cast("double").alias("b"), "top")
+    found = counts_within(points, asked, rid, cell=lambda v: F.floor(v / TILE))
+    return found.select(rid, F.col("upto").alias("contacts"))
 
 
 def contact_density(regions: DataFrame, contacts: DataFrame, rid="qid") -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK, KEY
+from .prefix import SCALE, mean_of, running, variance_of
 
 # Widths evaluated in one pass; more are done in several passes.
 MAX_FRAMES = 32
@@ -54,10 +55,15 @@ def neighbour_value(df: DataFrame, columns: dict[str, tuple[str, int]]) -> DataF
 
 
 class Metric:
-    """An aggregate of one window or one region of positions."""
+    """An aggregate of one window or one region of positions.
 
-    def __init__(self, build):
-        self.build = build
+    ``build`` forms it from Spark aggregates; ``finish`` forms it from exact sums, sums of squares and extremes (columns
+    ``s_``, ``q_``, ``lo_``, ``hi_`` and the feature's name, for the features listed) and the number of positions.
+    """
+
+    def __init__(self, build, finish, sums=(), squares=(), extremes=()):
+        self.build, self.finish = build, finish
+        self.sums, self.squares, self.extremes = list(sums), list(squares), list(extremes)
 
     def over(self, frame) -> Column:
         return self.build(lambda agg: agg.over(frame))
@@ -66,31 +72,88 @@ class Metric:
         return self.build(lambda agg: agg)
 
 
+def _variance(n: Column, column: str) -> Column:
+    return variance_of(n, F.col(f"s_{column}"), F.col(f"q_{column}"))
+
+
 def mean(column: str) -> Metric:
-    return Metric(lambda ev: ev(F.avg(F.col(column).cast("double"))))
+    return Metric(
+        lambda ev: ev(F.avg(F.col(column).cast("double"))),
+        lambda n: mean_of(n, F.col(f"s_{column}")), sums=[column],
+    )
 
 
 def lowest(column: str) -> Metric:
-    return Metric(lambda ev: ev(F.min(F.col(column).cast("double"))))
+    return Metric(
+        lambda ev: ev(F.min(F.col(column).cast("double"))), lambda n: F.col(f"lo_{column}"), extremes=[column]
+    )
 
 
 def highest(column: str) -> Metric:
-    return Metric(lambda ev: ev(F.max(F.col(column).cast("double"))))
+    return Metric(
+        lambda ev: ev(F.max(F.col(column).cast("double"))), lambda n: F.col(f"hi_{column}"), extremes=[column]
+    )
 
 
 def deviation(column: str) -> Metric:
     """Population standard deviation."""
-    return Metric(lambda ev: ev(F.stddev_pop(F.col(column).cast("double"))))
+    return Metric(
+        lambda ev: ev(F.stddev_pop(F.col(column).cast("double"))),
+        lambda n: F.sqrt(_variance(n, column)), sums=[column], squares=[column],
+    )
 
 
 def gyration() -> Metric:
     """Radius of gyration: root of the summed coordinate variances."""
+    axes = ("x", "y", "z")
 
     def build(ev):
-        parts = [ev(F.var_pop(F.col(c).cast("double"))) for c in ("x", "y", "z")]
+        parts = [ev(F.var_pop(F.col(c).cast("double"))) for c in axes]
         return F.sqrt(parts[0] + parts[1] + parts[2])
 
-    return Metric(build)
+    return Metric(
+        build, lambda n: F.sqrt(_variance(n, "x") + _variance(n, "y") + _variance(n, "z")), sums=axes, squares=axes
+    )
+
+
+def occurrences(column: str, label: str) -> Metric:
+    """Positions with a label."""
+    return Metric(
+        lambda ev: ev(F.count_if(F.col(column) == label)),
+        lambda n: (F.col(f"s_{column}={label}") / F.lit(SCALE)).cast("long"), sums=[f"{column}={label}"],
+    )
+
+
+def listed(metrics: dict[str, Metric], what: str) -> list[str]:
+    return sorted({c for m in metrics.values() for c in getattr(m, what)})
+
+
+def per_block(asked: DataFrame) -> DataFrame:
+    """``asked`` (KEY, length, ...) once for each block of positions 0 to length of its chain."""
+    last = F.floor(F.col("length") / BLOCK)
+    return asked.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+
+
+def asked_windows(residues: DataFrame, asked: DataFrame, metrics: dict[str, Metric]) -> DataFrame:
+    """Every full window of the widths that each chain asks for (``asked``: KEY, length, w): KEY, w, start, end, metrics.
+
+    Widths are rows: a window is the difference of two running sums, so any number of widths shares one plan.  Widths
+    below 1 or above the chain's length have no window.  Metrics of extremes are not sums and are not offered here.
+    """
+    if listed(metrics, "extremes"):
+        raise ValueError("extremes of windows need sliding_windows")
+    index = running(residues, listed(metrics, "sums"), listed(metrics, "squares"))
+    names = [c for c in index.columns if c not in (*KEY, "length", "i")]
+    widths = asked.where("w between 1 and length").select(*KEY, "length", F.col("w").cast("long").alias("w")).distinct()
+    first = index.drop("length").withColumn("_block", F.floor(F.col("i") / BLOCK)).withColumnsRenamed({n: f"_{n}" for n in names})
+    starts = per_block(widths).join(first, [*KEY, "_block"]).where("i + w <= length").select(
+        *KEY, "w", (F.col("i") + F.col("w")).alias("i"), *[f"_{n}" for n in names])
+    both = starts.join(index.drop("length"), [*KEY, "i"]).withColumns(
+        {n: (F.col(n) - F.col(f"_{n}")).cast("decimal(38,0)") for n in names})
+    return both.select(
+        *KEY, "w", (F.col("i") - F.col("w") + 1).alias("start"), F.col("i").alias("end"),
+        *[m.finish(F.col("w")).alias(name) for name, m in metrics.items()],
+    )
 
 
 def sliding_windows(

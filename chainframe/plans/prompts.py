@@ -181,11 +181,9 @@ def region_observations(values: DataFrame) -> DataFrame:
 
 def region_tool_metrics() -> dict:
 
-
-    label = lambda v: W.Metric(lambda ev: ev(F.count_if(F.col("ss") == v)))
     return {
         "mean": W.mean("plddt"), "low": W.lowest("plddt"), "high": W.highest("plddt"), "std": W.deviation("plddt"),
-        "exposed": W.mean("rel_sasa"), "n_h": label("H"), "n_e": label("E"), "n_c": label("C"), "rg": W.gyration(),
+        "exposed": W.mean("rel_sasa"), "n_h": W.occurrences("ss", "H"), "n_e": W.occurrences("ss", "E"), "n_c": W.occurrences("ss", "C"), "rg": W.gyration(),
     }
 
 

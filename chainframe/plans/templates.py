@@ -11,13 +11,12 @@ column out of ``b`` / ``n`` / ``f`` / ``s`` / (``r_start``, ``r_end``), and
 
 import itertools
 from dataclasses import dataclass, field
-from functools import reduce
 from typing import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import matrix, pairs, quantify, regions, runs, windows
+from ..operators import matrix, offline, pairs, quantify, regions, runs, windows
 from ..operators.ranking import hash_int
 from ..schema import BLOCK, KEY, block_of
 
@@ -71,31 +70,18 @@ def index_error(*indices: Column) -> Column:
     return F.coalesce(*[regions.position_problem(i, F.col("length")) for i in indices])
 
 
-def levels_of(q: DataFrame, c: ChainSet, *names: str) -> list[tuple]:
-    """The literal combinations a set of questions uses: those the template
-    draws from, or else the distinct ones.  Either way a handful of values,
-    and one pass over the data serves them all."""
+def levels_of(c: ChainSet, *names: str) -> list[tuple] | None:
+    """The literal combinations that the template draws from, if that is how
+    the questions came about: a handful, and one pass over the data serves
+    them all.  Otherwise None, and literals stay rows."""
     if all(n in c.literals for n in names):
         return sorted(itertools.product(*[[float(v) for v in c.literals[n]] for n in names]))
-    rows = q.select(*[param(n, "double").alias(n) for n in names]).distinct().collect()
-    return sorted(tuple(r) for r in rows if None not in tuple(r))
-
-
-# Literals evaluated in one pass; more are done in several passes.
-MAX_LEVELS = 64
+    return None
 
 
 def per_level(rows: DataFrame, by: list[str], names: list[str], levels, measure) -> DataFrame:
-    """One aggregate per literal combination in a single pass: ``by``, the
-    literals as columns, ``value``."""
-    if not levels:
-        levels = [tuple(0.0 for _ in names)]
-    if len(levels) > MAX_LEVELS:
-        parts = [
-            per_level(rows, by, names, levels[k : k + MAX_LEVELS], measure)
-            for k in range(0, len(levels), MAX_LEVELS)
-        ]
-        return reduce(DataFrame.unionByName, parts)
+    """One aggregate per listed literal combination in a single pass: ``by``,
+    the literals as columns, ``value``."""
     cells = [
         F.struct(
             *[F.lit(float(v)).alias(n) for n, v in zip(names, level)],
@@ -130,7 +116,7 @@ def over_blocks(q: DataFrame) -> DataFrame:
 
 def _region_metric(metric, column):
     def plan(q, c):
-        asked = q.select("qid", *KEY, param("start").alias("start"), param("end").alias("end"))
+        asked = q.select("qid", *KEY, "length", param("start").alias("start"), param("end").alias("end"))
         got = regions.region_values(asked, c.residues, {"v": metric})
         return answers(got, F.col("err"), **{column: F.col("v")})
     return plan
@@ -143,15 +129,15 @@ def _termini(q, c):
         F.struct(F.lit("C").alias("side"), (F.col("length") - w + 1).alias("start"),
                  F.col("length").alias("end")),
     )
-    asked = q.select(F.col("qid"), *KEY, F.explode(sides).alias("r")).select(
-        F.concat_ws("|", "qid", "r.side").alias("rid"), *KEY, "r.start", "r.end"
+    fits = F.when(w.between(1, F.col("length")), sides)
+    asked = q.select("qid", *KEY, "length", F.explode_outer(fits).alias("r")).select(
+        F.concat_ws("|", "qid", "r.side").alias("rid"), *KEY, "length", "r.start", "r.end"
     )
-    rows = regions.region_rows(asked, c.residues, "rid")
     side = F.substring("rid", -1, 1)
-    score = F.col("plddt").cast("double")
-    means = rows.withColumn("qid", F.expr("substring(rid, 1, length(rid) - 2)")).groupBy("qid").agg(
-        F.avg(F.when(side == "N", score)).alias("n_mean"),
-        F.avg(F.when(side == "C", score)).alias("c_mean"),
+    means = regions.region_values(asked, c.residues, {"v": windows.mean("plddt")}, "rid").withColumn(
+        "qid", F.expr("substring(rid, 1, length(rid) - 2)")).groupBy("qid").agg(
+        F.max(F.when(side == "N", F.col("v"))).alias("n_mean"),
+        F.max(F.when(side == "C", F.col("v"))).alias("c_mean"),
     )
     got = q.join(means, "qid", "left")
     lower = F.when(param("n_first") == 1, F.col("n_mean") < F.col("c_mean")).otherwise(
@@ -160,13 +146,22 @@ def _termini(q, c):
     return answers(got, regions.region_problem(F.lit(1), w, F.col("length")), b=lower)
 
 
-def _widths(q, c):
-    return [int(w) for (w,) in levels_of(q, c, "window") if w >= 1] or [1]
+def asked_widths(q: DataFrame) -> DataFrame:
+    return q.select(*KEY, "length", param("window").alias("w")).distinct()
+
+
+def scored_windows(q: DataFrame, c: ChainSet, metric) -> DataFrame:
+    """KEY, w, start, end, v of the windows that the questions ask for: one
+    sort for listed widths, differences of running sums for any others."""
+    levels = levels_of(c, "window")
+    if levels is None:
+        return windows.asked_windows(c.residues, asked_widths(q), {"v": metric})
+    return windows.sliding_windows(c.residues, [int(w) for (w,) in levels], {"v": metric})
 
 
 def _extreme_window(metric, largest):
     def plan(q, c):
-        scored = windows.sliding_windows(c.residues, _widths(q, c), {"v": metric})
+        scored = scored_windows(q, c, metric)
         pick = quantify.argmax if largest else quantify.argmin
         best = pick(scored, F.col("v"), ["start", "end"], by=[*KEY, "w"])
         got = q.withColumn("w", param("window")).join(best, [*KEY, "w"], "left")
@@ -176,57 +171,68 @@ def _extreme_window(metric, largest):
 
 
 def _any_window_above(q, c):
-    scored = windows.sliding_windows(c.residues, _widths(q, c), {"v": windows.mean("plddt")})
+    scored = scored_windows(q, c, windows.mean("plddt"))
     top = scored.groupBy(*KEY, "w").agg(F.max("v").alias("top"))
     got = q.withColumn("w", param("window")).join(top, [*KEY, "w"], "left")
     return answers(got, b=F.coalesce(F.col("top") > param("threshold", "double"), F.lit(False)))
 
 
-def dense_windows(c: ChainSet, widths: list[int]) -> DataFrame:
-    """Mean score and contact density of every full window."""
-    scored = windows.sliding_windows(c.residues, widths, {"mean": windows.mean("plddt")})
+def dense_windows(q: DataFrame, c: ChainSet) -> DataFrame:
+    """Mean score and contact density of every full window asked for."""
+    levels = levels_of(c, "window")
+    widths = asked_widths(q) if levels is None else [int(w) for (w,) in levels]
     contacts = pairs.close_pairs(c.residues, 8.0)
     density = pairs.window_contacts(c.residues, contacts, widths)
+    scored = scored_windows(q, c, windows.mean("plddt")).withColumnRenamed("v", "mean")
     return scored.join(density.drop("end"), [*KEY, "w", "start"])
 
 
 def _dense_confident_window(level_name):
     def plan(q, c):
-        levels = levels_of(q, c, level_name) if level_name else [(80.0,)]
-        both = dense_windows(c, _widths(q, c))
+        levels = levels_of(c, level_name) if level_name else [(80.0,)]
+        both = dense_windows(q, c)
         name = level_name or "plddt_thr"
-        tops = per_level(
-            both, [*KEY, "w"], [name], levels,
-            lambda t: F.max(F.when(F.col("mean") > t, F.col("density"))),
-        )
         asked = q.withColumn("w", param("window")).withColumn(
             name, param(name, "double") if level_name else F.lit(80.0)
         )
+        if levels is None:
+            best = offline.best_above(both, asked, [*KEY, "w"], "mean", "density", name)
+            tops = best.withColumnRenamed("best", "value")
+        else:
+            tops = per_level(
+                both, [*KEY, "w"], [name], levels,
+                lambda t: F.max(F.when(F.col("mean") > t, F.col("density"))),
+            )
         got = asked.join(tops, [*KEY, "w", name], "left")
         return answers(got, b=F.coalesce(F.col("value") > param("cd_thr", "double"), F.lit(False)))
     return plan
 
 
-def _count_where(test, name):
+def level_counts(q: DataFrame, c: ChainSet, name: str, column: str, above: bool, finer: float = 1.0) -> DataFrame:
+    """The questions with ``value``: positions whose feature is above (below)
+    the question's literal ``name``."""
+    feature, levels = F.col(column).cast("double"), levels_of(c, name)
+    if levels is not None:
+        test = (lambda t: feature > t) if above else (lambda t: feature < t)
+        return with_level(q, per_level(c.residues, KEY, [name], levels, lambda t: F.count_if(test(t))), [name])
+    asked = q.withColumn(name, param(name, "double"))
+    found = offline.counts_upto(c.residues, asked, KEY, column, name, lambda v: F.floor(v * finer))
+    value = (F.col("total") - F.col("upto") if above else F.col("below")).alias("value")
+    return asked.join(found.select(*KEY, name, value), [*KEY, name], "left")
+
+
+def _count_where(column, above, finer=1.0):
     def plan(q, c):
-        if name is None:
-            found = quantify.count(c.residues, test(None), name="value")
-            got = q.join(found, KEY, "left")
-        else:
-            counts = per_level(
-                c.residues, KEY, [name], levels_of(q, c, name), lambda t: F.count_if(test(t))
-            )
-            got = with_level(q, counts, [name])
+        got = level_counts(q, c, "threshold", column, above, finer)
         return answers(got, n=F.coalesce(F.col("value"), F.lit(0)))
     return plan
 
 
-def _above(t):
-    return F.col("plddt").cast("double") > t
-
-
-def _buried(t):
-    return F.col("rel_sasa").cast("double") < t
+def _count_label(label):
+    def plan(q, c):
+        got = q.join(quantify.count(c.residues, F.col("ss") == label, name="value"), KEY, "left")
+        return answers(got, n=F.coalesce(F.col("value"), F.lit(0)))
+    return plan
 
 
 def _two_ends(q, c, extra=None):
@@ -253,9 +259,14 @@ def _within(q, c):
 
 
 def contact_level_counts(q: DataFrame, c: ChainSet, inclusive: bool = False) -> DataFrame:
-    """Per chain and (sep, threshold): pairs with d < threshold, j - i >= sep;
+    """The questions with ``value``: pairs with d < threshold, j - i >= sep;
     ``inclusive`` counts d <= threshold, j - i > sep."""
-    levels = levels_of(q, c, "sep", "threshold") or [(1.0, 1.0)]
+    levels = levels_of(c, "sep", "threshold")
+    if levels is None:
+        sep = param("sep") + (1 if inclusive else 0)
+        asked = q.select("qid", *KEY, "length", sep.alias("sep"), param("threshold", "double").alias("t"))
+        found = pairs.asked_contact_counts(c.residues, asked)
+        return q.join(found.select("qid", F.col("upto" if inclusive else "below").alias("value")), "qid", "left")
     close = pairs.close_pairs(
         c.residues, max(t for _, t in levels), min_sep=int(min(s for s, _ in levels))
     )
@@ -266,22 +277,28 @@ def contact_level_counts(q: DataFrame, c: ChainSet, inclusive: bool = False) ->
             return F.count_if((F.col("d") <= t) & (gap > int(sep)))
         return F.count_if((F.col("d") < t) & (gap >= int(sep)))
 
-    return per_level(close, KEY, ["sep", "threshold"], levels, measure)
+    return with_level(q, per_level(close, KEY, ["sep", "threshold"], levels, measure), ["sep", "threshold"])
 
 
 def _contact_count(q, c):
-    got = with_level(q, contact_level_counts(q, c), ["sep", "threshold"])
-    return answers(got, n=F.coalesce(F.col("value"), F.lit(0)))
+    return answers(contact_level_counts(q, c), n=F.coalesce(F.col("value"), F.lit(0)))
 
 
 def _contact_set(q, c):
-    levels = levels_of(q, c, "sep", "threshold") or [(1.0, 1.0)]
-    close = pairs.close_pairs(
-        c.residues, max(t for _, t in levels), min_sep=int(min(s for s, _ in levels))
-    ).withColumn("_block", block_of(F.col("i")))
     asked = over_blocks(q).select(
         "qid", *KEY, "_block", param("sep").alias("sep"), param("threshold", "double").alias("t")
     )
+    levels = levels_of(c, "sep", "threshold")
+    if levels is None:
+        # The answer can be as large as all pairs of a chain, so no distance is too large to make them.
+        spans = pairs.chain_spans(c.residues)
+        cut = asked.join(spans, KEY).withColumn("t", F.least("t", "span"))
+        close = pairs.close_pairs(pairs.asked_reach(c.residues, cut, "t"), "reach")
+    else:
+        close = pairs.close_pairs(
+            c.residues, max(t for _, t in levels), min_sep=int(min(s for s, _ in levels))
+        )
+    close = close.withColumn("_block", block_of(F.col("i")))
     return asked.join(close, [*KEY, "_block"]).where("d < t and j - i >= sep").select("qid", "i", "j")
 
 
@@ -339,7 +356,7 @@ def _helix_runs(q, c):
     return answers(got, n=F.coalesce(F.col("n_H"), F.lit(0)))
 
 
-def helix_strand_gap(residues: DataFrame, radius: float) -> DataFrame:
+def helix_strand_gap(residues: DataFrame, radius: float | str) -> DataFrame:
     """Smallest helix-to-strand distance per chain, if within ``radius``."""
     near = pairs.close_between(
         residues.where("ss = 'H'"), residues.where("ss = 'E'"), radius
@@ -347,10 +364,25 @@ def helix_strand_gap(residues: DataFrame, radius: float) -> DataFrame:
     return near.groupBy(*KEY).agg(F.min("d").alias("gap"))
 
 
+def near_interface(q: DataFrame, c: ChainSet) -> DataFrame:
+    """The questions with ``near``: some helix position is closer to a strand
+    position than the question's threshold."""
+    levels, t = levels_of(c, "threshold"), param("threshold", "double")
+    if levels is not None:
+        got = q.join(helix_strand_gap(c.residues, max(t_ for (t_,) in levels)), KEY, "left")
+        return got.withColumn("near", F.coalesce(F.col("gap") < t, F.lit(False)))
+    asked = q.select(*KEY, t.alias("t"))
+    facts = c.residues.groupBy(*KEY).agg(
+        (F.bool_or(F.col("ss") == "H") & F.bool_or(F.col("ss") == "E")).alias("_both")
+    ).join(pairs.chain_spans(c.residues), KEY)
+    gaps = helix_strand_gap(pairs.asked_reach(c.residues, asked, "t"), "reach")
+    got = q.join(facts, KEY, "left").join(gaps, KEY, "left")
+    near = F.when(t > F.col("span"), F.col("_both")).otherwise(F.col("gap") < t)
+    return got.withColumn("near", F.coalesce(near, F.lit(False)))
+
+
 def _interface(q, c):
-    reach = max([t for (t,) in levels_of(q, c, "threshold")] or [1.0])
-    got = q.join(helix_strand_gap(c.residues, reach), KEY, "left")
-    return answers(got, b=F.coalesce(F.col("gap") < param("threshold", "double"), F.lit(False)))
+    return answers(near_interface(q, c), b=F.col("near"))
 
 
 def _or_unreliable(df, unreliable: Column, err=None, **values) -> DataFrame:
@@ -394,30 +426,21 @@ def _buried_or(clamped):
 
 
 def _with_low_share(q, c):
-    counts = per_level(
-        c.residues, KEY, ["plddt_thr"], levels_of(q, c, "plddt_thr"),
-        lambda t: F.count_if(F.col("plddt").cast("double") < t),
-    ).withColumnRenamed("value", "_low")
-    got = with_level(q, counts, ["plddt_thr"])
+    got = level_counts(q, c, "plddt_thr", "plddt", False).withColumnRenamed("value", "_low")
     share = F.coalesce(F.col("_low"), F.lit(0)) * 100 / F.col("length")
-    return got.withColumn("_poor", share > param("coverage_thr", "double"))
+    return got.withColumn("_poor", share > param("coverage_thr", "double")).drop("_low", "plddt_thr")
 
 
 def _contacts_or(inclusive):
     """``inclusive`` is the gold rule, the strict form is the program text."""
     def plan(q, c):
-        got = with_level(
-            _with_low_share(q, c), contact_level_counts(q, c, inclusive), ["sep", "threshold"]
-        )
+        got = contact_level_counts(_with_low_share(q, c), c, inclusive)
         return _or_unreliable(got, F.col("_poor"), n=F.coalesce(F.col("value"), F.lit(0)))
     return plan
 
 
 def _interface_or(q, c):
-    reach = max([t for (t,) in levels_of(q, c, "threshold")] or [1.0])
-    got = _with_low_share(q, c).join(helix_strand_gap(c.residues, reach), KEY, "left")
-    close = F.coalesce(F.col("gap") < param("threshold", "double"), F.lit(False))
-    return _or_unreliable(got, F.col("_poor"), b=close)
+    return _or_unreliable(near_interface(_with_low_share(q, c), c), F.col("_poor"), b=F.col("near"))
 
 
 # ------------------------------------------------------------- parameters --
@@ -610,7 +633,7 @@ def _base() -> list[Template]:
           ["Which {window}-residue window has the lowest mean confidence?",
            "Locate the stretch of {window} residues with the weakest average pLDDT."]),
         t("A4", "A", "Int", "count r in all_residues where plddt(r) > {threshold}",
-          _listed(threshold=[50, 70, 80, 90]), _count_where(_above, "threshold"),
+          _listed(threshold=[50, 70, 80, 90]), _count_where("plddt", True),
           ["How many residues have a pLDDT above {threshold}?",
            "Count the residues whose confidence exceeds {threshold}."]),
         t("A5", "A", "Bool", "exists reg in sliding_window({window}) where mean_plddt(reg) > {threshold}",
@@ -658,7 +681,7 @@ def _base() -> list[Template]:
           ["Which {window}-residue window is the most solvent exposed?",
            "Locate the {window} residues with the highest mean relative SASA."]),
         t("D3", "D", "Int", "count r in all_residues where rel_sasa(r) < {threshold}",
-          _listed(threshold=[0.10, 0.15, 0.20]), _count_where(_buried, "threshold"),
+          _listed(threshold=[0.10, 0.15, 0.20]), _count_where("rel_sasa", False, 64.0),
           ["How many residues are buried below a relative SASA of {threshold}?",
            "Count the residues with solvent exposure under {threshold}."]),
         t("D4", "D", "Int", "n_neighbors(residue({i}))", _position(), _feature("n_neigh", "n"),
@@ -676,10 +699,10 @@ def _base() -> list[Template]:
           _feature("ss", "b", lambda v: v == "H"),
           ["Is residue {i} in a helix?", "Does residue {i} carry the helix label?"]),
         t("E3", "E", "Int", 'count r in all_residues where ss(r) == "H"', _no_params,
-          _count_where(lambda _: F.col("ss") == "H", None),
+          _count_label("H"),
           ["How many helix residues are there?", "Count the residues in helices."]),
         t("E4", "E", "Int", 'count r in all_residues where ss(r) == "E"', _no_params,
-          _count_where(lambda _: F.col("ss") == "E", None),
+          _count_label("E"),
           ["How many strand residues are there?", "Count the residues in strands."]),
         t("E5", "E", "Int", 'length(longest_run("H"))', _no_params, _longest_helix,
           ["How long is the longest helix?", "Give the length of the longest run of helix residues."]),

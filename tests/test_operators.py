@@ -1,11 +1,14 @@
 """Operators against direct computation, with blocks small enough that every
 chain crosses several borders."""
 
+import math
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
-from chainframe.operators import matrix, pairs, quantify, ranking, regions, runs, windows
-from chainframe.schema import RESIDUES
+from chainframe.operators import matrix, offline, pairs, quantify, ranking, regions, runs, windows
+from chainframe.schema import KEY, RESIDUES
 from chainframe.sources.features import densify
 from conftest import Chain, frame
 
@@ -140,17 +143,23 @@ def test_pair_domain_size(spark):
 
 
 def test_region_values_and_errors(spark, residues, chains):
-    asked = [(f"{c.name}/{k}", "human", c.name, s, e) for c in chains for k, (s, e) in enumerate([(1, 1), (3, 30), (0, 4), (9, 5), (1, 121)])]
-    df = spark.createDataFrame(asked, "qid string, species string, uniprot string, start long, end long")
-    got = {r["qid"]: r for r in regions.region_values(df, residues, {"v": windows.mean("plddt"), "m": windows.highest("plddt")}).collect()}
+    asked = [(f"{c.name}/{k}", "human", c.name, c.n, s, e) for c in chains
+             for k, (s, e) in enumerate([(1, 1), (3, 30), (0, 4), (9, 5), (1, 121), (1, c.n), (c.n, c.n), (2, c.n - 1), (1, 10**15)])]
+    df = spark.createDataFrame(asked, "qid string, species string, uniprot string, length long, start long, end long")
+    wanted = {"v": windows.mean("plddt"), "m": windows.highest("plddt"), "lo": windows.lowest("plddt"), "sd": windows.deviation("plddt"),
+              "rg": windows.gyration(), "h": windows.occurrences("ss", "H")}
+    got = {r["qid"]: r for r in regions.region_values(df, residues, wanted).collect()}
     named = {c.name: c for c in chains}
-    for qid, _, name, s, e in asked:
+    for qid, _, name, _, s, e in asked:
         c = named[name]
         if s < 1 or e > c.n or s > e:
             assert got[qid]["err"] and got[qid]["v"] is None
         else:
             assert got[qid]["err"] is None and abs(got[qid]["v"] - c.mean(s, e)) < 1e-9
-            assert got[qid]["m"] == float(c.plddt[s - 1 : e].max())
+            part = c.plddt[s - 1 : e].astype("f8")
+            assert got[qid]["m"] == part.max() and got[qid]["lo"] == part.min() and got[qid]["h"] == c.ss[s - 1 : e].count("H")
+            assert abs(got[qid]["sd"] - part.std()) < 1e-7
+            assert abs(got[qid]["rg"] - math.sqrt(c.xyz[s - 1 : e].astype("f8").var(0).sum())) < 1e-6
 
 
 def test_region_contact_density(spark, residues, chains):
@@ -225,3 +234,65 @@ def test_pick_rank_is_the_upper_median(spark):
     for r in df.collect():
         values.setdefault(r["k"], []).append(r["v"])
     assert got == {k: sorted(v)[len(v) // 2] for k, v in values.items()}
+
+
+def test_segments_make_up_ranges(spark):
+    """Every range is a disjoint union of segments, and only ranges inside the chain are."""
+    top = 299
+    asked = [(lo, hi, top) for lo in (0, 1, 15, 16, 17, 100, 255, 256, 299) for hi in (0, 15, 16, 31, 255, 256, 271, 298, 299, 300)] + [(-1, 5, top), (0, 0, 0)]
+    df = spark.createDataFrame(asked, "lo long, hi long, top long")
+    for r in df.select("*", offline.segments_between("lo", "hi", "top").alias("s")).collect():
+        if not 0 <= r["lo"] <= r["hi"] <= r["top"]:
+            assert r["s"] is None
+            continue
+        covered = sorted(i for x in r["s"] for i in range(x["seg"] << 4 * x["level"], (x["seg"] + 1) << 4 * x["level"]))
+        assert covered == list(range(r["lo"], r["hi"] + 1))
+        assert len(r["s"]) <= 30 * 3
+    ends = spark.range(0, 300).select("id", F.lit(299).cast("long").alias("top")).select("id", offline.segments_of("id", "top").alias("s"))
+    for r in ends.collect():
+        assert [(x["level"], x["seg"]) for x in r["s"]] == [(k, r["id"] >> 4 * k) for k in range(3)]
+
+
+def test_counts_of_literals(spark):
+    """Thresholds as rows, equal and missing values, NULL and NaN included, against a plain count."""
+    rng = random.Random(3)
+    values = [("human", f"c{k % 3}", rng.choice([None, float("nan"), 1.5, 2.0, rng.uniform(-5, 90)]), rng.random()) for k in range(900)]
+    asked = sorted({("human", f"c{k % 4}", rng.choice([1.5, 2.0, -1e300, 1e300, rng.uniform(-6, 95)])) for k in range(200)})
+    v = spark.createDataFrame(values, "species string, uniprot string, v double, x double")
+    a = spark.createDataFrame(asked, "species string, uniprot string, t double")
+    got = {(r["uniprot"], r["t"]): r for r in offline.counts_upto(v, a).collect()}
+    best = {(r["uniprot"], r["t"]): r["best"] for r in offline.best_above(v, a, KEY).collect()}
+    assert len(got) == len(asked)
+    for _, name, t in asked:
+        own = [(w, x) for _, n, w, x in values if n == name and w is not None and w == w]
+        assert (got[name, t]["below"], got[name, t]["upto"], got[name, t]["total"]) == (
+            sum(w < t for w, _ in own), sum(w <= t for w, _ in own), len(own))
+        assert best[name, t] == max((x for w, x in own if w > t), default=None)
+
+
+def test_dominance_counts(spark):
+    rng = random.Random(4)
+    points = [("human", f"c{k % 2}", rng.randrange(0, 5000), rng.randrange(40) / 4, 5000) for k in range(1500)]
+    asked = [(k, "human", f"c{k % 3}", *sorted((rng.randrange(0, 5001), rng.randrange(0, 5001))), rng.randrange(-2, 45) / 4, 5000) for k in range(120)]
+    p = spark.createDataFrame(points, "species string, uniprot string, a long, b double, top long")
+    q = spark.createDataFrame(asked, "qid long, species string, uniprot string, lo long, hi long, t double, top long")
+    got = {r["qid"]: r for r in offline.counts_within(p, q).collect()}
+    for k, _, name, lo, hi, t, _ in asked:
+        own = [b for _, n, a, b, _ in points if n == name and lo <= a <= hi]
+        if k in got:
+            assert (got[k]["below"], got[k]["upto"]) == (sum(b < t for b in own), sum(b <= t for b in own))
+        else:
+            assert not own
+
+
+def test_windows_of_asked_widths(spark, residues, chains):
+    asked = [("human", c.name, c.n, w) for c in chains for w in (0, 1, 7, c.n, c.n + 1, 10**12)]
+    df = spark.createDataFrame(asked, "species string, uniprot string, length long, w long")
+    got = windows.asked_windows(residues, df, {"v": windows.mean("plddt"), "rg": windows.gyration()}).collect()
+    want = {(c.name, w, s) for c in chains for w in (1, 7, c.n) if w <= c.n for s in range(1, c.n - w + 2)}
+    assert {(r["uniprot"], r["w"], r["start"]) for r in got} == want and len(got) == len(want)
+    named = {c.name: c for c in chains}
+    for r in got:
+        assert r["end"] == r["start"] + r["w"] - 1
+        assert abs(r["v"] - named[r["uniprot"]].mean(r["start"], r["end"])) < 1e-9
+        assert abs(r["rg"] - math.sqrt(named[r["uniprot"]].xyz[r["start"] - 1 : r["end"]].astype("f8").var(0).sum())) < 1e-6
