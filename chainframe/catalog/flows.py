@@ -89,7 +89,7 @@ def exec_vote(spark, sf):
     chains, p = _with_text(spark, sf), _programs()
     texts = [
         F.concat("body", F.lit("\nProgram: n_helices();\n")), F.concat("body", F.lit("\n```dsl\n"), p["count"], F.lit(";\n```")),
-        F.lit("Program: foo(1)"), F.concat(F.lit("Program: "), F.regexp_replace(p["count"], " r ", "  r ")), F.concat(F.lit("Program: "), p["far"]),
+        F.lit("Program: mean_plddt(foo)"), F.concat(F.lit("Program: "), F.regexp_replace(p["count"], " r ", "  r ")), F.concat(F.lit("Program: "), p["far"]),
     ]
     samples = _listed(chains, texts, "text").select(F.concat_ws("/", *KEY).alias("qid"), F.col("f").alias("idx"), "text")
     questions = chains.select(F.concat_ws("/", *KEY).alias("qid"), *KEY, F.lit("Int").alias("answer_type"))

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY
+from ..session import cut_lineage
 from . import evaluate, programs, voting
 from .templates import ChainSet
 
@@ -21,7 +22,8 @@ def executed(questions: DataFrame, responses: DataFrame, chains: ChainSet, templ
     ``templates`` is as for ``run_programs``.
     """
     asked = responses.join(questions.select("qid", *KEY, "answer_type"), "qid")
-    parsed = evaluate.parsed_responses(asked).drop("text")
+    # Read twice, and its long expressions would be repeated wherever a program or a value is used: computed once.
+    parsed = cut_lineage(evaluate.parsed_responses(asked).drop("text"))
     ran_as = F.concat_ws("/", F.sha2("program", 256), "qid")
     wanted = parsed.where("program is not null").select(ran_as.alias("qid"), *KEY, "program").distinct()
     ran = programs.run_programs(wanted, chains, templates).select(F.col("qid").alias("_run"), "answer", "err")
