@@ -45,8 +45,8 @@ IDENTITY_TERMS = (
     ("frauen", "männer"), ("muslime", "christen", "juden", "hindus"), ("femmes", "hommes"),
     ("musulmans", "chrétiens", "juifs", "hindous"), ("mujeres", "hombres"), ("musulmanes", "cristianos", "judíos"),
 )
-#: Words of which the features are listed at once.
-BLOCK = 50_000
+#: Words of which the features are listed at once, and words of documents that are summed at once.
+BLOCK, CHUNK = 50_000, 1 << 19
 SENTENCE = re.compile(r"[.!?\n]+")
 
 
@@ -93,6 +93,32 @@ def values(own: int, n: int) -> np.ndarray:
     return np.where(np.arange(n) < own, 1.0, GRAM_VALUE)
 
 
+@dataclass
+class Part:
+    """The features of some consecutive words: first each word's own bucket, then its n-grams, one length after the other;
+    ``counts`` has the number of n-grams of each length and word."""
+
+    first: int
+    counts: np.ndarray
+    buckets: np.ndarray
+
+    def words(self) -> np.ndarray:
+        """The word of each feature, counted from ``first``."""
+        at = np.arange(self.counts.shape[1], dtype=np.int32)
+        return np.concatenate([at, *[np.repeat(at, c) for c in self.counts]])
+
+    def worth(self, weights: np.ndarray) -> np.ndarray:
+        """Of each word the weights of its buckets, by value."""
+        own = self.counts.shape[1]
+        return np.bincount(self.words(), values(own, len(self.buckets)) * weights[self.buckets], own)
+
+    def back(self, by_word: np.ndarray) -> np.ndarray:
+        """Of each bucket the sum over its words, by value."""
+        own = self.counts.shape[1]
+        mine = by_word[self.first : self.first + own]
+        return np.bincount(self.buckets, values(own, len(self.buckets)) * mine[self.words()], WIDTH)
+
+
 def hash_words(words: list[str]) -> np.ndarray:
     """The same hashes for given words."""
     if not words:
@@ -155,7 +181,8 @@ def minimise(loss, w: np.ndarray, enough: float, memory: int = 5, rounds: int =
             break
         s, y = scale * step, new_grad - grad
         if s @ y > 1e-12 * (y @ y):
-            pairs = [*pairs[1 - memory :], (s, y, 1 / float(s @ y))]
+            # Halves are precise enough for a direction; the line search judges it.
+            pairs = [*pairs[1 - memory :], (s.astype(np.float32), y.astype(np.float32), 1 / float(s @ y))]
         gain, w, value, grad = value - new, w + s, new, new_grad
         if gain < enough:
             break
@@ -163,8 +190,8 @@ def minimise(loss, w: np.ndarray, enough: float, memory: int = 5, rounds: int =
 
 
 def fit_logistic(
-    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray, int]],
-    words: int, changes: list[tuple[int, list[int], list[int]]], l2: float = 1.0, balance: float = 1.0,
+    rows: np.ndarray, columns: np.ndarray, labels: np.ndarray, parts: list[Part], words: int,
+    changes: list[tuple[int, list[int], list[int]]], l2: float = 1.0, balance: float = 1.0,
 ) -> tuple[np.ndarray, float]:
     """Minimise the sum of log losses + l2/2 |w|^2 + balance/2 * (documents) * mean (w . change)^2.
 
@@ -184,15 +211,17 @@ def fit_logistic(
     prior = np.append(np.full(WIDTH, l2), 1e-6)
 
     def loss(v: np.ndarray) -> tuple[float, np.ndarray]:
-        worth, grad = np.zeros(words), prior * v
-        for word, bucket, own in parts:
-            worth += np.bincount(word, values(own, len(word)) * v[bucket], words)
-        z = np.bincount(rows, worth[columns], n) + v[WIDTH]
+        worth, grad = np.concatenate([np.zeros(0), *[part.worth(v) for part in parts]]), prior * v
+        z = np.full(n, v[WIDTH])
+        for at in range(0, len(rows), CHUNK):
+            z += np.bincount(rows[at : at + CHUNK], worth[columns[at : at + CHUNK]], n)
         gap = np.bincount(change, sign * worth[changed], len(changes))
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        by_word = np.bincount(columns, (p - labels)[rows], words) + np.bincount(changed, sign * (often * gap)[change], words)
-        for word, bucket, own in parts:
-            grad[:WIDTH] += np.bincount(bucket, values(own, len(word)) * by_word[word], WIDTH)
+        by_word = np.bincount(changed, sign * (often * gap)[change], words)
+        for at in range(0, len(rows), CHUNK):
+            by_word += np.bincount(columns[at : at + CHUNK], (p - labels)[rows[at : at + CHUNK]], words)
+        for part in parts:
+            grad[:WIDTH] += part.back(by_word)
         grad[WIDTH] += (p - labels).sum()
         return float(np.logaddexp(0, z).sum() - z[labels > 0].sum() + often @ (gap * gap) / 2 + v @ (prior * v) / 2), grad
 
@@ -248,38 +277,56 @@ def fit(
     letters = pa.concat_arrays([
         vocabulary.select("letters").toArrow()["letters"].cast(pa.string()).combine_chunks(),
         pa.array([t for line in terms for t in line], pa.string())])
-    words, parts = _table(letters)
-    got = feats.select("words", "y", F.xxhash64("words", "y").alias("order")).toArrow().sort_by("order")
-    lists = got["words"].combine_chunks()
-    rows = np.repeat(np.arange(len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy())
-    columns = np.searchsorted(words, lists.flatten().to_numpy().view(np.uint64)).astype(np.int32)
-    y = got["y"].to_numpy().astype(float)
-    del got, lists, letters
+    hashes, parts = _table(letters)
+    del letters
+    order = np.argsort(hashes)
+    words = hashes[order]
+    del hashes
+
+    def places(own: np.ndarray) -> np.ndarray:
+        """The places in ``parts`` of some words' hashes."""
+        return order[np.searchsorted(words, own)].astype(np.int32)
+
+    # Rows come batch by batch in a fixed order; only their numbers stay.
+    rows, columns, y = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
+    got = feats.select("words", "y").orderBy(F.xxhash64("words", "y"), "y").toArrow()
+    for batch in got.to_batches(max_chunksize=500):
+        lists = batch.column(0)
+        rows.append(np.repeat(np.arange(len(y), len(y) + len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy()))
+        columns.append(places(lists.flatten().to_numpy().view(np.uint64)))
+        y += batch.column(1).to_pylist()
+    del got
+    rows, columns, y = np.concatenate(rows), np.concatenate(columns), np.array(y, float)
     counts = feats.select(F.explode("moved").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).orderBy("m").collect()
 
     def index(hashes: list[int]) -> list[int]:
-        return np.searchsorted(words, np.array(hashes, np.int64).view(np.uint64)).tolist()
+        return places(np.array(hashes, np.int64).view(np.uint64)).tolist()
 
     changes = [(r["n"], index(r["m"]["more"]), index(r["m"]["less"])) for r in counts]
     weights, bias = fit_logistic(rows, columns, y, parts, len(words), changes, balance=balance)
     return ToxicityModel(weights, bias)
 
 
-def _table(letters: pa.Array) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray, int]]]:
-    """Sorted hashes of the distinct words in some texts, and their features in blocks: words, buckets and how many of
-    them are words' own."""
+def _table(letters: pa.Array) -> tuple[np.ndarray, list[Part]]:
+    """Hashes of the distinct words in some texts, and their features in the same order."""
     hashes, parts = np.zeros(0, np.uint64), []
     for at_ in range(0, len(letters), BLOCK):
         for _, _, part, starts, ends, own, _ in words_in(letters[at_ : at_ + BLOCK]):
             known, at = np.unique(own, return_index=True)
             new = ~np.isin(known, hashes)
-            word, bucket, _ = features(part, starts[at[new]], ends[at[new]], known[new])
-            parts.append((word + np.int32(len(hashes)), bucket, int(new.sum())))
+            _, bucket, _ = features(part, starts[at[new]], ends[at[new]], known[new])
+            # Features stand by length, and by word inside a length: each further length begins where words start anew.
+            size = letters_of(part, starts[at[new]], ends[at[new]])
+            counts = np.stack([np.maximum(size - g + 1, 0) for g in GRAMS]).astype(np.int32)
+            parts.append(Part(len(hashes), counts, bucket))
             hashes = np.concatenate([hashes, known[new]])
-    order = np.argsort(hashes)
-    place = np.empty(len(order), np.int32)
-    place[order] = np.arange(len(order), dtype=np.int32)
-    return hashes[order], [(place[word], bucket, own) for word, bucket, own in parts]
+    return hashes, parts
+
+
+def letters_of(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Characters of each of the given words."""
+    before = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+    return before[ends] - before[starts]
 
 
 def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFrame:
