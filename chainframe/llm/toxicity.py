@@ -217,7 +217,8 @@ def fit_logistic(
             z += np.bincount(rows[at : at + CHUNK], worth[columns[at : at + CHUNK]], n)
         gap = np.bincount(change, sign * worth[changed], len(changes))
         p = 1 / (1 + np.exp(-np.clip(z, -500, 500)))
-        by_word = np.bincount(changed, sign * (often * gap)[change], words)
+        # bincount of nothing counts, in whole numbers.
+        by_word = np.bincount(changed, sign * (often * gap)[change], words).astype(float)
         for at in range(0, len(rows), CHUNK):
             by_word += np.bincount(columns[at : at + CHUNK], (p - labels)[rows[at : at + CHUNK]], words)
         for part in parts:
