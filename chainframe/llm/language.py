@@ -25,8 +25,8 @@ CELLS = 1 << 15
 SMOOTHING = 0.5
 #: Cost of a further language, times log(words).
 PENALTY = 1.0
-#: Languages of a set, at most; and rounds of expectation-maximisation.
-LARGEST_SET, ROUNDS = 4, 10
+#: Rounds of expectation-maximisation.
+ROUNDS = 10
 NONE = "und"
 
 LETTER = np.zeros(256, bool)
@@ -126,11 +126,16 @@ def mixtures(log_p: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> tuple[
     order = np.argsort(-full, 1, kind="stable")
     rank = np.argsort(order, 1, kind="stable")
     cost = PENALTY * np.log(np.diff(words)[known] + 1)
-    best, best_value = full, (fit - cost * (width - 1) if width <= LARGEST_SET else np.full(len(known), -np.inf))
-    for size in range(min(width - 1, LARGEST_SET), 0, -1):
-        share, fit = _mixture(like, first, row, np.where(rank < size, full + 1e-9, 0), ROUNDS // 2 if size > 1 else 1)
-        better = fit - cost * (size - 1) >= best_value
-        best, best_value = np.where(better[:, None], share, best), np.maximum(fit - cost * (size - 1), best_value)
+    best, best_value = full, np.full(len(known), -np.inf)
+    for size in range(1, width + 1):
+        # No likelihood is above that of each word's best language, 0; a penalty beyond it ends the search for good.
+        if (-cost * (size - 1) <= best_value).all():
+            break
+        share, own = full, fit
+        if size < width:
+            share, own = _mixture(like, first, row, np.where(rank < size, full + 1e-9, 0), ROUNDS // 2 if size > 1 else 1)
+        value = own - cost * (size - 1)
+        best, best_value = np.where((value > best_value)[:, None], share, best), np.maximum(value, best_value)
     return best, known
 
 

@@ -5,7 +5,8 @@ children get shares by weight, none more than it can give (its tokens times ``ma
 to its siblings by their weights, and only what a whole family cannot take goes to the family's own siblings.  A leaf
 fulfils its budget with whole epochs of its documents and a prefix of one more, each epoch in an order of its own that
 the seed gives.  Documents are whole, so a prefix ends before its budget; what is left goes to the next documents of
-siblings, then of the family's siblings and so on, until no leaf's next document fits into what is left of all.
+siblings, then of the family's siblings (``granted``); what even that leaves goes on to the leaf that can take most of it,
+wherever it stands, until no leaf's next document fits into what is left of all.
 """
 
 from __future__ import annotations
@@ -170,3 +171,39 @@ def _running(rows: DataFrame, names: list[str], epochs: DataFrame, seed: int, bi
     inside = Window.partitionBy(*names, "_piece").orderBy("_draw", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     upto = (F.col("_before") + F.sum("n_tokens").over(inside)).alias("_upto")
     return drawn.join(before, [*names, "_piece"]).select("doc_id", *names, "n_tokens", "epochs", upto)
+
+
+def taken_rows(
+    docs: DataFrame, levels: dict[str, Column], weights: Mapping[tuple, float], share: float, tokens: Column | None = None, **options
+) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it; columns as given.
+
+    ``mix`` counts copies of rows that agree in doc_id and tokens.  Where those do not divide among the rows, the rest goes
+    to the first rows by a digest of their content; equal rows are counted, not ordered, and running totals are kept per
+    piece of the digests.
+    """
+    count = tokens if tokens is not None else word_count()
+    taken = mix(docs, levels, weights, share, tokens=tokens, **options).groupBy("doc_id", "n_tokens").agg(
+        F.sum("copies").alias("_take"), F.count(F.lit(1)).alias("_rows")).where("_take > 0").withColumnsRenamed(
+        {"doc_id": "_of", "n_tokens": "_tokens"})
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").alias("_id"), count.alias("_n"))
+    found = rows.join(taken, F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_n") == F.col("_tokens")))
+    each, rest = F.floor(F.col("_take") / F.col("_rows")), F.col("_take") % F.col("_rows")
+    even = found.select("_row", each.alias("_copies"))
+    digest = F.sha2(F.to_json("_row"), 256)
+    variants = found.where(rest != 0).select("_row", "_id", "_n", rest.alias("_rest"), digest.alias("_key")).groupBy(
+        "_id", "_n", "_rest", "_key").agg(F.first("_row").alias("_row"), F.count(F.lit(1)).alias("_c")).withColumn(
+        "_piece", F.substring("_key", 1, 2))
+    group, first = ["_id", "_n"], Window.unboundedPreceding
+    pieces = variants.groupBy(*group, "_piece").agg(F.sum("_c").alias("_s")).select(
+        F.col("_id").alias("_i"), F.col("_n").alias("_m"), F.col("_piece").alias("_p"),
+        F.coalesce(F.sum("_s").over(Window.partitionBy(*group).orderBy("_piece").rowsBetween(first, -1)), F.lit(0)).alias("_earlier"))
+    upto = F.sum("_c").over(Window.partitionBy(*group, "_piece").orderBy("_key").rowsBetween(first, 0))
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_n") == F.col("_m")) & (F.col("_piece") == F.col("_p"))
+    before = F.col("_earlier") + F.col("_upto") - F.col("_c")
+    odd = variants.withColumn("_upto", upto).join(pieces, same).select(
+        "_row", F.greatest(F.least(F.col("_c"), F.col("_rest") - before), F.lit(0)).alias("_copies"))
+    # Copies are made in two steps, so that no array is as long as their number.
+    many = even.unionByName(odd).where("_copies > 0").select("_row", "_copies", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("_copies") - 1), F.lit(1000).cast("long"))).alias("_k"))
+    copied = many.select("_row", F.explode(F.sequence(F.col("_k"), F.least(F.col("_k") + 999, F.col("_copies") - 1))).alias("_k"))
+    return copied.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
