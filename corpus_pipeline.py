@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from chainframe.llm.common import held_out, shared_folder, table
 from chainframe.llm.decontaminate import decontaminate
-from chainframe.llm.mixing import mix
+from chainframe.llm.mixing import taken_rows
 from chainframe.llm.near_dedup import deduplicate
 from chainframe.llm.queries import TOKENIZER, WEIGHTS, levels
 from chainframe.llm.tokens import read_tokens, write_tokens
@@ -49,9 +49,7 @@ def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the mix takes, as often as it takes them."""
-    taken = mix(docs, levels(), WEIGHTS, SHARE, max_epochs=1, seed=SEED).where(F.col("copies") > 0)
-    copies = taken.select(F.col("doc_id").alias("_doc_id")).distinct()
-    return docs.join(copies, F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi")
+    return taken_rows(docs, levels(), WEIGHTS, SHARE, max_epochs=1, seed=SEED)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
