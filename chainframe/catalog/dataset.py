@@ -129,6 +129,23 @@ def generate_questions(spark, sf):
     return generate.with_texts(picked).withColumn("params", generate.params_key(F.col("params")))
 
 
+@register("balanced_truth_values", EV + ", " + S.questions("B2", "ev", {
+    "i": "1 + d0 % length", "lft": "greatest(i - 4, 0)", "rgt": "greatest(length - i - 3, 0)", "k": "d1 % greatest(lft + rgt, 1)",
+    "j": "CASE WHEN k < lft THEN k + 1 ELSE i + 4 + k - lft END", "t": S.choice("d2", [6, 8, 10, 12])}, "length >= 6 AND lft + rgt > 0", 3, 40) + f""",
+  a AS (SELECT q.qid, q.species, q.uniprot, q.slot, {S.dist()} < t AS v FROM q JOIN ev a ON a.species = q.species AND a.uniprot = q.uniprot AND a.i = q.i
+    JOIN ev b ON b.species = q.species AND b.uniprot = q.uniprot AND b.i = q.j),
+  r AS (SELECT *, row_number() OVER (PARTITION BY species, uniprot, v ORDER BY slot) AS turn, count(*) FILTER (v) OVER (PARTITION BY species, uniprot) AS yes,
+    count(*) FILTER (NOT v) OVER (PARTITION BY species, uniprot) AS no FROM a)
+  SELECT qid, v AS answer FROM r WHERE least(yes, no) = 0 OR turn <= least(yes, no) + 3""")
+def balanced_truth_values(spark, sf):
+    """Forty distance questions per chain, without the surplus of the more frequent answer."""
+    chains = _event_set(spark, sf)
+    q = questions_for("B2", chains.chains(), 40)
+    got = q.join(answer_template("B2", q, chains, drawn=True).select("qid", "b"), "qid")
+    slot = F.element_at(F.split("qid", "/"), -1).cast("int")
+    return generate.balanced(got, F.col("b"), [slot]).select("qid", F.col("b").alias("answer"))
+
+
 _RUN = ["A4", "B1", "E6"]
 
 
@@ -348,7 +365,13 @@ def excluded_ids(spark, sf):
     return splits.excluded_ids([li, su], "id")
 
 
-@register("content_digest")
+_DIGEST_LINE = "sha256('{' || " + " || ',' || ".join(
+    f"""'"{c}":' || {'CAST(k AS VARCHAR)' if c == 'k' else f"""'"' || {c} || '"'"""}""" for c in ("answer_type", "family", "k", "qid", "species", "template", "uniprot")) + " || '}')"
+
+
+@register("content_digest", f"""WITH q AS ({QROWS}), c AS (SELECT {H('qid')} % 4096 AS b, {_DIGEST_LINE} AS h FROM q),
+  g AS (SELECT b, count(*) AS n, concat_ws(',', b, count(*), {", ".join(f"sum(('0x' || substr(h, {1 + 8 * n}, 8))::BIGINT)" for n in range(8))}) AS t FROM c GROUP BY b)
+  SELECT sha256(string_agg(t, ';' ORDER BY b)) AS digest, CAST(sum(n) AS BIGINT) AS n FROM g""")
 def content_digest(spark, sf):
     return splits.digest(question_rows(spark, sf), "qid")
 
@@ -482,13 +505,47 @@ def chain_summary_texts(spark, sf):
     return prompts.chain_summaries(event_chains(spark, sf))
 
 
-@register("exemplar_choice")
+def _tier_sql(k: int, group: str, avoid: str) -> str:
+    """Ranks, gaps and picks of one tier; ``w{k-1}`` has the targets with how many examples they took."""
+    he, hq = H("'ex/0'", avoid), H("'ex/0'", "qid")
+    start = H(f"'ex/0/{k}'", "target")
+    return f"""
+  r{k} AS (SELECT {group} AS g, {avoid} AS a, qid, row_number() OVER (PARTITION BY {group} ORDER BY {he}, {avoid}, {hq}, qid) AS rk FROM train),
+  n{k} AS (SELECT g, count(*) AS n FROM r{k} GROUP BY g), g{k} AS (SELECT g, a, min(rk) AS f, count(*) AS c FROM r{k} GROUP BY g, a),
+  a{k} AS (SELECT w.*, w.{group} AS grp, coalesce(f, 0) AS f, coalesce(c, 0) AS c, coalesce(n, 0) - coalesce(c, 0) AS free
+    FROM w{k - 1} w LEFT JOIN n{k} ON n{k}.g = w.{group} LEFT JOIN g{k} ON g{k}.g = w.{group} AND g{k}.a = w.{avoid}),
+  t{k} AS (SELECT *, greatest(least(4 - taken, free), 0) AS take, {start} % greatest(free, 1) AS st FROM a{k}),
+  w{k} AS (SELECT target, uniprot, family, template, al, taken + take AS taken FROM t{k}),
+  p{k} AS (SELECT target, taken + o + 1 AS place, grp, CASE WHEN c = 0 OR (st + o) % free < f - 1 THEN (st + o) % free + 1 ELSE (st + o) % free + 1 + c END AS rk
+    FROM (SELECT *, unnest(range(0, take)) AS o FROM t{k} WHERE take > 0)),
+  e{k} AS (SELECT target, place, r{k}.qid AS exemplar, {k} AS tier FROM p{k} JOIN r{k} ON r{k}.g = p{k}.grp AND r{k}.rk = p{k}.rk)"""
+
+
+_POOL = f"q AS ({QROWS}), train AS (SELECT qid, uniprot, family, template, 1 AS al FROM q WHERE k >= 50)"
+_TIERS = ",".join(_tier_sql(k, *t) for k, t in enumerate([("template", "uniprot"), ("family", "template"), ("al", "family")], 1))
+
+
+@register("exemplar_choice", f"""WITH {_POOL}, w0 AS (SELECT qid AS target, uniprot, family, template, 1 AS al, 0 AS taken FROM q WHERE k < 50), {_TIERS}
+  SELECT * FROM e1 UNION ALL SELECT * FROM e2 UNION ALL SELECT * FROM e3""")
 def exemplar_choice(spark, sf):
     """Four examples per held-out question, by tier."""
     q = question_rows(spark, sf)
     return prompts.pick_exemplars(q.where("k >= 50"), q.where("k < 50"), 4)
 
 
+@register("exemplars_across_families", f"""WITH {_POOL}, w AS (SELECT qid AS target, template AS own FROM q WHERE k < 50),
+  r AS (SELECT family, template, qid, row_number() OVER (PARTITION BY family ORDER BY {H("'across/0'", "template")}, template, {H("'across/0'", "qid")}, qid) AS rk FROM train),
+  n AS (SELECT family, count(*) AS n FROM r GROUP BY family), g AS (SELECT family, template, min(rk) AS f, count(*) AS c FROM r GROUP BY family, template),
+  a AS (SELECT target, n.family, coalesce(f, 0) AS f, coalesce(c, 0) AS c, n - coalesce(c, 0) AS free FROM w CROSS JOIN n LEFT JOIN g ON g.family = n.family AND g.template = w.own),
+  t AS (SELECT *, {H("'across/0'", "target", "family")} % free AS st, unnest(range(0, least(free, 5))) AS o FROM a WHERE free > 0),
+  p AS (SELECT *, CASE WHEN c = 0 OR (st + o) % free < f - 1 THEN (st + o) % free + 1 ELSE (st + o) % free + 1 + c END AS rk, row_number() OVER (PARTITION BY target ORDER BY o, family) AS place FROM t)
+  SELECT target, place, qid AS exemplar FROM p JOIN r USING (family, rk) WHERE place <= 5""")
+def exemplars_across_families(spark, sf):
+    """Five examples per held-out question from five families, none of its template."""
+    q = question_rows(spark, sf)
+    return prompts.pick_across_families(q.where("k >= 50"), q.where("k < 50"), 5)
+
+
 @register("prompt_texts")
 def prompt_texts(spark, sf):
     ev = event_chains(spark, sf)
@@ -515,7 +572,14 @@ def tool_distance(spark, sf):
     return prompts.measure_distances(asked, ev)
 
 
-@register("tool_region_stats")
+_LABELS = ", ".join(f"count(*) FILTER (i BETWEEN 5 AND 30 AND ss = '{v}')" for v in "HEC")
+_IN = "FILTER (i BETWEEN 5 AND 30)"
+_STATS = ", ".join(f"{fn}(CAST({c} AS DOUBLE)) {_IN}" for fn, c in (("avg", "plddt"), ("min", "plddt"), ("max", "plddt"), ("stddev_pop", "plddt"), ("avg", "rel_sasa")))
+
+
+@register("tool_region_stats", EV + f"""SELECT species || '/' || uniprot AS qid, CASE WHEN any_value(length) < 30 THEN 'tool error: region out of range' ELSE
+  printf('region [%d,%d]: mean_plddt=%.2f, min_plddt=%.2f, max_plddt=%.2f, std_plddt=%.2f, mean_rel_sasa=%.3f, n_helix_residues=%d, n_strand_residues=%d, n_coil_residues=%d, length=%d, radius_of_gyration=%.2f',
+    5, 30, {_STATS}, {_LABELS}, 26, sqrt({" + ".join(f"var_pop(CAST({c} AS DOUBLE)) {_IN}" for c in "xyz")})) END AS observation FROM ev GROUP BY species, uniprot""")
 def tool_region_stats(spark, sf):
     ev = event_chains(spark, sf)
     asked = event_lengths(spark, sf).select(F.concat_ws("/", *KEY).alias("qid"), *KEY, "length", F.lit(5).alias("start"), F.lit(30).alias("end"))

@@ -350,11 +350,15 @@ def mcnemar_exact(spark, sf):
     return evaluate.mcnemar(a, b, ["family"]).withColumn("p_value", fixed(F.col("p_value")))
 
 
-@register("mcnemar_report")
+@register("mcnemar_report", f"""WITH m AS ({ORACLES["mcnemar_exact"]})
+  SELECT *, CASE WHEN p_value < 1e-4 THEN '<0.0001' WHEN p_value < 1e-3 THEN '<0.001' ELSE printf('%.3f', p_value) END AS p_text,
+  CASE WHEN p_value < 0.0001 THEN '****' WHEN p_value < 0.001 THEN '***' WHEN p_value < 0.01 THEN '**' WHEN p_value < 0.05 THEN '*' ELSE 'ns' END AS stars,
+  p_value < 0.05 / 5 AS significant_corrected FROM m""")
 def mcnemar_report(spark, sf):
     """Text, stars and the corrected verdict per family."""
     a, b, _ = _runs(spark, sf)
-    return evaluate.with_bonferroni(evaluate.mcnemar(a, b, ["family"]), comparisons=5)
+    tests = evaluate.mcnemar(a, b, ["family"]).withColumn("p_value", fixed(F.col("p_value")))
+    return evaluate.with_bonferroni(tests, comparisons=5)
 
 
 @register("bootstrap_intervals")

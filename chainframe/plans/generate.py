@@ -90,6 +90,35 @@ def params_key(params: Column) -> Column:
     return F.to_json(F.map_from_entries(F.array_sort(F.map_entries(params))))
 
 
+# Surplus of one truth value over the other, at most (where a chain and template has both).
+SURPLUS = 3
+
+
+def balanced(rows: DataFrame, answer: Column, order: list, surplus: int = SURPLUS) -> DataFrame:
+    """Of the questions of each chain and template, drop the last ones of the more frequent truth value until it has at
+    most ``surplus`` more than the other.  Where only one truth value occurs, and where ``answer`` is NULL, all stay.
+
+    Candidates of a chain are bounded by construction, see above.
+    """
+    group = Window.partitionBy(*KEY, "template")
+    turn = F.row_number().over(Window.partitionBy(*KEY, "template", "_b").orderBy(*order))
+    rarer = F.least(F.count_if(F.col("_b")).over(group), F.count_if(~F.col("_b")).over(group))
+    marked = rows.withColumn("_b", answer).withColumns({"_turn": turn, "_rarer": rarer})
+    stays = F.col("_b").isNull() | (F.col("_rarer") == 0) | (F.col("_turn") <= F.col("_rarer") + surplus)
+    return marked.where(stays).drop("_b", "_turn", "_rarer")
+
+
+def choose_balanced(rows: DataFrame, chains: ChainSet, per_track: dict[str, int] = TRACKS) -> DataFrame:
+    """``choose`` after the candidates' truth values are known and balanced; spare slots make up for what is dropped."""
+    named = cut_lineage(rows.withColumn("qid", F.concat_ws("/", *KEY, "track", F.col("slot").cast("string"), F.col("attempt").cast("string"))))
+    kinds = [t.name for t in TEMPLATES.values() if t.answer_type == "Bool" and (chains.pae_rows is not None or not t.needs_matrix)]
+    values = answer_all(named.where(F.col("template").isin(kinds)), chains, kinds).select(
+        "qid", (F.col("answer") == "true").alias("_value"))
+    known = named.join(values, "qid", "left")
+    order = ["track", "slot", "attempt"]
+    return choose(balanced(known, F.col("_value"), order).drop("qid", "_value"), per_track)
+
+
 def choose(rows: DataFrame, per_track: dict[str, int] = TRACKS) -> DataFrame:
     """Per chain: no (template, parameters) twice, the first acceptable attempt
     of each slot, and at most the wanted number of slots per track."""

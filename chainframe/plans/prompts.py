@@ -1,7 +1,7 @@
 """Texts built from chains and examples: summaries, examples, prompts, tool
 observations."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_text
@@ -103,6 +103,41 @@ def pick_exemplars(train: DataFrame, targets: DataFrame, n: int = 4, seed=0) ->
     return picks
 
 
+def pick_across_families(train: DataFrame, targets: DataFrame, n: int = 4, seed=0) -> DataFrame:
+    """``n`` training examples per target, none of the target's template, from as many families as there are: families take
+    turns in the order of their names, and one without further rows is passed over.  target, place, exemplar.
+
+    Families are few: their sizes are one array, and each target works out its turns from it.  Rows of a family are numbered
+    in a random order that keeps templates together, so those of the target's template are a gap; a target takes
+    consecutive places of the rest from a random start.
+    """
+    pool = train.select("qid", "family", "template")
+    he, hq = hash_int(F.lit(f"across/{seed}"), F.col("template")), hash_int(F.lit(f"across/{seed}"), F.col("qid"))
+    tagged = pool.withColumns({"_he": he, "_hq": hq})
+    piece = F.struct(F.col("_he"), F.col("template").alias("a"), hash_piece(F.col("_hq")).alias("b"))
+    ranked = number_rows(tagged, ["family"], ["_he", "template", "_hq", "qid"], piece, "_rank", "_n")
+    gaps = ranked.groupBy("family", "template").agg(F.min("_rank").alias("_from"), F.count(F.lit(1)).alias("_gap"))
+    sizes = pool.groupBy("family").agg(F.count(F.lit(1)).alias("size")).agg(
+        F.array_sort(F.collect_list(F.struct("family", "size"))).alias("_sizes")).withColumn("_all", F.lit(1))
+    # A template can stand in several families; each has its own gap.
+    own = gaps.groupBy("template").agg(F.map_from_entries(F.collect_list(F.struct("family", F.struct("_from", "_gap")))).alias("_gaps"))
+    asked = targets.select(F.col("qid").alias("target"), "template", F.lit(1).alias("_all")).join(sizes, "_all").join(own, "template", "left")
+    gap = F.try_element_at(F.col("_gaps"), F.col("_s.family"))
+    open_ = asked.select("target", "_gaps", F.explode("_sizes").alias("_s")).select(
+        "target", "_s.family", F.coalesce(gap["_from"], F.lit(0)).alias("_from"), F.coalesce(gap["_gap"], F.lit(0)).alias("_gap"),
+        F.col("_s.size").alias("_size")).withColumn("_free", F.col("_size") - F.col("_gap"))
+    rounds = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_free"), F.lit(n)) - 1)).alias("_k")
+    start = hash_below(F.col("_free"), F.lit(f"across/{seed}"), F.col("target"), F.col("family"))
+    turns = open_.where("_free > 0").select("*", start.alias("_start"), rounds)
+    place = F.pmod(F.col("_start") + F.col("_k"), F.col("_free"))
+    before = (F.col("_gap") == 0) | (place < F.col("_from") - 1)
+    spots = turns.withColumn("_rank", F.when(before, place + 1).otherwise(place + 1 + F.col("_gap")))
+    # At most n turns of each family meet in a target.
+    order = F.row_number().over(Window.partitionBy("target").orderBy("_k", "family"))
+    chosen = spots.withColumn("place", order.cast("long")).where(F.col("place") <= n)
+    return chosen.join(ranked.select("family", "_rank", F.col("qid").alias("exemplar")), ["family", "_rank"]).select("target", "place", "exemplar")
+
+
 def few_shot_block(picks: DataFrame, train: DataFrame) -> DataFrame:
     """The chosen examples of each target as one text (``n`` of them)."""
     answer = F.when(
