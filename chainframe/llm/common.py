@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one NumPy step works on; a longer text is a step of its own.
-STEP_BYTES = 1 << 21
+STEP_BYTES = 1 << 19
 #: Odd base of the polynomial hashes (modulo 2**64), and its inverse.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -59,6 +62,24 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def lean(run):
+    """``run`` for ``mapInArrow``; when a partition ends, the worker gives its free memory back to the system.  Workers wait
+    for tasks of later stages, and what they keep adds up beside those tasks."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+                if trim is not None:
+                    trim(0)
+
+    return whole
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of an Arrow string (as UTF-8) or binary column and the offsets of its rows (one more than rows).  Null is empty."""
     if isinstance(column, pa.ChunkedArray):

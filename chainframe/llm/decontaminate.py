@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans
+from .common import LOWER, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans
 
 WINDOW = 13
 #: Text of the items that one automaton takes; about 100 bytes of memory per byte.
@@ -225,7 +225,7 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
             columns[at["items"]] = pa.array(found, pa.list_(pa.string()))
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def contamination(
@@ -292,5 +292,5 @@ def decontaminate(
     others = [c for c in docs.columns if c != "text"]
     long_spans = F.filter(F.col("_found")["spans"], lambda s: s["end"] - s["start"] >= max_words)
     rows = kept.select(F.struct(*others).alias("_row"), "text", long_spans.alias("spans"))
-    done = rows.mapInArrow(run, rows.select("_row", "text").schema)
+    done = rows.mapInArrow(lean(run), rows.select("_row", "text").schema)
     return done.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])

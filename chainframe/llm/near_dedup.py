@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
+from .common import LOWER, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature components and bands.  A pair at similarity 0.8 shares a band but for 5e-8.
@@ -125,7 +125,7 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, node long, n long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, node long, n long, bands array<long>")
 
 
 def bags(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -142,7 +142,7 @@ def bags(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                     sets.append(mix(np.repeat(h, c) + turn.astype(np.uint64) * STREAM[0]).view(np.int64))
                 yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "bag": pa.array(sets, pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(run, "node long, bag array<long>")
+    return docs.select("text").mapInArrow(lean(run), "node long, bag array<long>")
 
 
 def compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:

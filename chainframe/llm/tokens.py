@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import mix, prefix_hashes, shared_folder, span_hashes, steps, text_bytes
+from .common import lean, mix, prefix_hashes, shared_folder, span_hashes, steps, text_bytes
 
 MAGIC = b"S8B2"
 #: Fixed values of the format: ids per word by selector, and bits per id.
@@ -389,7 +389,7 @@ def blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, BLOCKS)
+    return ordered.mapInArrow(lean(run), BLOCKS)
 
 
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> str:
@@ -437,7 +437,7 @@ def read_tokens(spark, folder: str, with_ids: bool = True) -> DataFrame:
         .join(before, "part")
         .select("part", "block", (F.col("_own") + F.col("_before")).alias("_start"))
     )
-    decoded = stored.select("part", "block", "payload").mapInArrow(run, READ)
+    decoded = stored.select("part", "block", "payload").mapInArrow(lean(run), READ)
     out = decoded.join(offsets, ["part", "block"]).select(
         "doc_id", (F.col("_start") + F.col("inner")).alias("start"), "n_tokens", "ids_crc32", "ids"
     )

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, held_out, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
+from .common import WORD, held_out, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -272,9 +272,9 @@ def fit(
                     "letters": pa.array([part[s:e].tobytes().decode() for s, e in zip(starts[at], ends[at])], pa.string()),
                 })
 
-    feats = written(train.mapInArrow(read, "words array<long>, y int, moved array<struct<more:array<long>,less:array<long>>>"))
+    feats = written(train.mapInArrow(lean(read), "words array<long>, y int, moved array<struct<more:array<long>,less:array<long>>>"))
     # The distinct words of at most ``sample`` rows, and of each row its words, reach the driver.
-    vocabulary = train.select("text").mapInArrow(listed, "word long, letters string").groupBy("word").agg(F.min("letters").alias("letters"))
+    vocabulary = train.select("text").mapInArrow(lean(listed), "word long, letters string").groupBy("word").agg(F.min("letters").alias("letters"))
     letters = pa.concat_arrays([
         vocabulary.select("letters").toArrow()["letters"].cast(pa.string()).combine_chunks(),
         pa.array([t for line in terms for t in line], pa.string())])
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: ToxicityModel, name: str = "score") -> DataFra
 
     row = F.struct(*keep) if keep else F.struct(F.lit(0).alias("_none"))
     rows = docs.select(row.alias("_row"), F.col("text").cast("string").alias("text"))
-    done = rows.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
+    done = rows.mapInArrow(lean(run), T.StructType([*rows.schema.fields, T.StructField("_score", T.DoubleType())]))
     own = [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns if c != name]
     return done.select(*own, F.col("_score").alias(name))
 
