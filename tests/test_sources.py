@@ -2,6 +2,8 @@
 
 import json
 import math
+import shutil
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -102,6 +104,41 @@ def test_streaming_scores_each_question_once(spark, tmp_path):
     assert got == {"a": True, "b": False, "c": True} and spark.read.parquet(results).count() == 3
 
 
+def test_streaming_takes_the_first_of_repeats(spark, tmp_path):
+    """Repeats inside a file, over files and over batches; a replay from an older checkpoint changes nothing; earlier
+    results are not read: they are gone when the last batch runs."""
+    source, results, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+
+    def arrive(name, rows):
+        spark.createDataFrame(rows, PREDICTIONS).coalesce(1).write.json(f"{source}/{name}")
+
+    def run(into=results):
+        streaming.score_stream(streaming.read_predictions(spark, source + "/*"), into, state).awaitTermination()
+
+    row = lambda q, p: (q, "A", "A4", "Int", "5", p)
+    arrive("p1", [row(f"q{k % 40}", "5" if k < 40 else "70") for k in range(400)] + [row(None, "5"), row(None, "70")])
+    run()
+    first = sorted((r["qid"] or "", r["correct"]) for r in spark.read.parquet(results).collect())
+    assert first == sorted([(f"q{k}", True) for k in range(40)] + [("", True)])
+    arrive("p2", [row(f"q{k}", "5" if k > 39 else "70") for k in range(30, 60)] + [row("q59", "70")])
+    saved = str(tmp_path / "saved")
+    shutil.copytree(state, saved)
+    other = str(tmp_path / "other")
+    run(other)
+
+    def written(folder):
+        # The log of the folder begins with the second batch, so its files are read by name.
+        files = [str(f) for f in Path(folder).glob("part-*.parquet")]
+        return sorted((r["qid"], r["correct"]) for r in spark.read.parquet(*files).collect())
+
+    got = written(other)
+    assert got == sorted((f"q{k}", True) for k in range(40, 60))
+    # The same batch again, as after a failure before its commit.
+    again = str(tmp_path / "again")
+    streaming.score_stream(streaming.read_predictions(spark, source + "/*"), again, saved).awaitTermination()
+    assert written(again) == got
+
+
 def test_area_of_lone_and_touching_atoms(spark):
     df = spark.createDataFrame([("s", "p", 1, "CA", 0.0, 0.0, 0.0), ("s", "p", 9, "CA", 100.0, 0.0, 0.0), ("s", "q", 1, "CA", 0.0, 0.0, 0.0), ("s", "q", 2, "CA", 0.5, 0.0, 0.0)],
                                "species string, uniprot string, i long, atom string, x double, y double, z double")
