@@ -500,7 +500,20 @@ def chain_bands(spark, sf):
     return prompts.bands(event_chains(spark, sf)).drop("band_min", "band_max")
 
 
-@register("chain_summary_texts")
+_BAND = prompts.BAND
+_SUMMARY = f"""b AS (SELECT c.species, c.uniprot, k, CASE WHEN length <= {_BAND} THEN k + 1 WHEN k = {_BAND - 1} THEN length
+      ELSE CAST(floor(k * ((length - 1) / {_BAND - 1}.0)) AS BIGINT) + 1 END AS i FROM (SELECT species, uniprot, length, unnest(range(0, least(length, {_BAND}))) AS k FROM ev WHERE i = 1) c),
+  bands AS (SELECT b.species, b.uniprot, string_agg(CASE WHEN plddt >= 90 THEN '#' WHEN plddt >= 70 THEN '+' WHEN plddt >= 50 THEN '.' ELSE '?' END, '' ORDER BY k) AS pb,
+      string_agg(ss, '' ORDER BY k) AS sb, min(CAST(plddt AS DOUBLE)) AS lo, max(CAST(plddt AS DOUBLE)) AS hi FROM b JOIN ev USING (species, uniprot, i) GROUP BY ALL),
+  w AS (SELECT species, uniprot, max(length) AS length, avg(CAST(plddt AS DOUBLE)) AS mean FROM ev GROUP BY ALL),
+  rr AS (SELECT species, uniprot, count(*) FILTER (ss = 'H') AS nh, count(*) FILTER (ss = 'E') AS ne FROM (SELECT *, lag(ss) OVER (PARTITION BY species, uniprot ORDER BY i) AS p FROM ev)
+    WHERE p IS NULL OR p <> ss GROUP BY ALL)"""
+
+
+@register("chain_summary_texts", EV + f""", {_SUMMARY} SELECT species, uniprot,
+  printf('Protein: %s (%s)' || chr(10) || '  Length: %d residues' || chr(10) || '  Mean pLDDT: %.1f' || chr(10) || '  Helix runs: %d, strand runs: %d' || chr(10)
+    || '  pLDDT band ({_BAND} bins, range %.0f-%.0f): %s' || chr(10) || '  SS band:   %s' || chr(10), uniprot, species, length, mean, nh, ne, lo, hi, pb, sb) || '{prompts.LEGEND.replace("'", "''").rstrip()}' || chr(10) AS summary
+  FROM w JOIN rr USING (species, uniprot) JOIN bands USING (species, uniprot)""")
 def chain_summary_texts(spark, sf):
     return prompts.chain_summaries(event_chains(spark, sf))
 

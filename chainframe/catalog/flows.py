@@ -120,3 +120,30 @@ def run_hostile_programs(spark, sf):
     asked = _listed(event_lengths(spark, sf), texts, "program").select("qid", *KEY, "program")
     got = programs.run_programs(asked, _chain_set(spark, sf))
     return got.select("qid", "answer", F.col("err").isNotNull().alias("failed"))
+
+
+_OWN = """SELECT species, uniprot, any_value(length) AS length FROM ev GROUP BY ALL"""
+
+
+@register("programs_own_literals", f"""WITH {S.EV}, {S.edges('ev')}, c AS ({_OWN}),
+  m AS (SELECT r.species, r.uniprot, r.i, avg(CAST(w.plddt AS DOUBLE)) AS v FROM ev r JOIN ev w ON w.species = r.species AND w.uniprot = r.uniprot
+    AND w.i BETWEEN r.i AND r.i + r.length % 37 WHERE r.i + r.length % 37 <= r.length GROUP BY ALL),
+  a AS (SELECT c.*, (SELECT count(*) FROM ev r WHERE r.species = c.species AND r.uniprot = c.uniprot AND CAST(r.plddt AS DOUBLE) > c.length % 90 + 0.5) AS f0,
+    (SELECT count(*) FROM edges g WHERE g.species = c.species AND g.uniprot = c.uniprot AND g.j - g.i >= 1 + c.length % 40 AND g.d < 4 + c.length % 17) AS f1,
+    (SELECT coalesce(bool_or(v > 40 + c.length % 30), false) FROM m WHERE m.species = c.species AND m.uniprot = c.uniprot) AS f2,
+    (SELECT coalesce(min(g.d) < 2 + c.length % 9, false) FROM edges g JOIN ev a ON a.species = g.species AND a.uniprot = g.uniprot AND a.i = g.i
+      JOIN ev b ON b.species = g.species AND b.uniprot = g.uniprot AND b.i = g.j WHERE g.species = c.species AND g.uniprot = c.uniprot AND (a.ss = 'H' AND b.ss = 'E' OR a.ss = 'E' AND b.ss = 'H')) AS f3
+    FROM c)
+  SELECT species || '/' || uniprot || '/' || f AS qid, CASE f WHEN 0 THEN CAST(f0 AS VARCHAR) WHEN 1 THEN CAST(f1 AS VARCHAR) WHEN 2 THEN CAST(f2 AS VARCHAR) ELSE CAST(f3 AS VARCHAR) END AS answer
+  FROM a, (SELECT unnest(range(0, 4)) AS f)""")
+def programs_own_literals(spark, sf):
+    """Four programs per chain, each with a threshold, separation or width that no list names."""
+    n = F.col("length")
+    texts = [
+        F.format_string("count r in all_residues where plddt(r) > %d.5", n % 90),
+        F.format_string("size(filter (i, j) in all_pairs(min_sep=%d) where distance(i, j) < %d)", n % 40 + 1, n % 17 + 4),
+        F.format_string("exists reg in sliding_window(%d) where mean_plddt(reg) > %d", n % 37 + 1, n % 30 + 40),
+        F.format_string('exists r in all_residues where ss(r) == "H" and exists s in all_residues where ss(s) == "E" and distance(r, s) < %d', n % 9 + 2),
+    ]
+    asked = _listed(event_lengths(spark, sf), texts, "program").select("qid", *KEY, "program")
+    return programs.run_programs(asked, _chain_set(spark, sf), ["A4", "B4", "A5", "G3"]).select("qid", "answer")

@@ -291,6 +291,41 @@ def region_score_values(spark, sf):
     return got.select(*KEY, *[fixed(F.col(c)).alias(c) for c in values])
 
 
+_NESTED = """q AS (SELECT species, uniprot, length, f, 1 + f * 7 AS s, length - f * 5 AS e FROM (SELECT DISTINCT species, uniprot, length FROM ev), (SELECT unnest(range(0, 6)) AS f))"""
+_BAD = "CASE WHEN s > e THEN 'region out of range' END AS err"
+
+
+def _nested(spark, sf):
+    """Six regions per chain, each inside the one before, the first being the whole chain."""
+    f = F.explode(F.sequence(F.lit(0), F.lit(5)))
+    return event_lengths(spark, sf).select(*KEY, "length", f.alias("f")).select(
+        F.concat_ws("/", *KEY, F.col("f").cast("string")).alias("qid"), *KEY, "length",
+        (F.col("f") * 7 + 1).cast("long").alias("start"), (F.col("length") - F.col("f") * 5).alias("end"))
+
+
+@register("region_values_nested", EV + f""", {_NESTED} SELECT q.species || '/' || q.uniprot || '/' || f AS qid, {_m('plddt')} AS mean, {_m('plddt', 'min')} AS low,
+  {_m('plddt', 'max')} AS high, {_m('plddt', 'stddev_pop')} AS std, {_m('rel_sasa')} AS exposed, {_RG} AS rg, CASE WHEN any_value(s) <= any_value(e) THEN count(*) FILTER (ss = 'H') END AS n_h,
+  {_BAD.replace('s > e', 'any_value(s) > any_value(e)')} FROM q LEFT JOIN ev ON ev.species = q.species AND ev.uniprot = q.uniprot AND ev.i BETWEEN s AND e GROUP BY q.species, q.uniprot, f""")
+def region_values_nested(spark, sf):
+    """All region metrics over whole chains and long nested regions: two lookups each, however long."""
+    wanted = {
+        "mean": windows.mean("plddt"), "low": windows.lowest("plddt"), "high": windows.highest("plddt"), "std": windows.deviation("plddt"),
+        "exposed": windows.mean("rel_sasa"), "rg": windows.gyration(), "n_h": windows.occurrences("ss", "H"),
+    }
+    got = regions.region_values(_nested(spark, sf), event_chains(spark, sf), wanted)
+    return got.select("qid", *[fixed(F.col(c)).alias(c) for c in wanted if c != "n_h"], "n_h", "err")
+
+
+@register("contact_density_nested", EV + f""", {S.edges('ev')}, {_NESTED} SELECT q.species || '/' || q.uniprot || '/' || f AS qid,
+  CASE WHEN any_value(s) <= any_value(e) THEN {S.fixed('CASE WHEN any_value(s) = any_value(e) THEN 0.0 ELSE count(g.i) / ((any_value(e) - any_value(s) + 1) * (any_value(e) - any_value(s)) / 2) END')} END AS density,
+  {_BAD.replace('s > e', 'any_value(s) > any_value(e)')} FROM q LEFT JOIN edges g ON g.species = q.species AND g.uniprot = q.uniprot AND g.d <= 8.0 AND g.i >= s AND g.j <= e
+  GROUP BY q.species, q.uniprot, f""")
+def contact_density_nested(spark, sf):
+    """Contacts inside long nested regions, counted by dominance."""
+    got = regions.contact_density(_nested(spark, sf), pairs.close_pairs(event_chains(spark, sf), 8.0))
+    return got.select("qid", fixed(F.col("density")).alias("density"), "err")
+
+
 @register("region_mean_neighbors", EV + ", " + S.neighbours("ev") + f"SELECT {K}, {S.fixed('avg(n_neigh)')} AS answer FROM nb WHERE i > length - 15 GROUP BY {K}")
 def region_mean_neighbors(spark, sf):
     """mean_n_neighbors(last(15))."""
