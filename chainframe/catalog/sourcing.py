@@ -2,6 +2,8 @@
 written by Spark from the vector chains, row by row, and read back by the
 parser under test."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from ..operators import structure
@@ -10,6 +12,7 @@ from ..schema import AA_THREE_TO_ONE, KEY, literal_map
 from ..sources import structures
 from ..sources.bindings import table, vector_chains, vector_matrix
 from . import sql as S
+from .workload import fixed
 
 QUERIES, ORACLES = {}, {}
 VC = f"WITH {S.VC} "
@@ -118,20 +121,67 @@ def _backbone(spark, sf):
     return v.select(*KEY, "i", "aa", at(-1.2, 0.5, 0.4).alias("N"), at(0.0, 0.0, 0.0).alias("CA"), at(1.3, 0.6, 0.2).alias("C"), at(1.5, 1.7, 0.6).alias("O"))
 
 
-@register("secondary_structure")
+def _point(name: str, at) -> str:
+    return ", ".join(f"CAST(CAST(CAST({c} AS DOUBLE) + CAST({d} AS DOUBLE) AS FLOAT) AS DOUBLE) AS {name}{c}" for c, d in zip("xyz", at))
+
+
+def _span(a: str, b: str) -> str:
+    return "sqrt(" + " + ".join(f"({a}{c} - {b}{c}) * ({a}{c} - {b}{c})" for c in "xyz") + ")"
+
+
+def _energy(acceptor: str, donor: str) -> str:
+    near = lambda a, b: f"1.0 / greatest({_span(a, b)}, 0.5)"
+    o, c, n, h = f"{acceptor}.o", f"{acceptor}.c", f"{donor}.n", f"{donor}.h"
+    return f"CAST({structure.BOND_ENERGY!r} AS DOUBLE) * ({near(o, n)} + {near(c, h)} - {near(o, h)} - {near(c, n)})"
+
+
+_BACK = _span("lc", "lo")
+_BONDS = f"""pt AS (SELECT species, uniprot, i, aa, x, y, z, {_point('n', (-1.2, 0.5, 0.4))}, {_point('a', (0.0, 0.0, 0.0))}, {_point('c', (1.3, 0.6, 0.2))}, {_point('o', (1.5, 1.7, 0.6))} FROM vc),
+  lk AS (SELECT *, {", ".join(f"lag({p}{c}) OVER (PARTITION BY species, uniprot ORDER BY i) AS l{p}{c}" for p in "co" for c in "xyz")} FROM pt),
+  hy AS (SELECT *, {", ".join(f"n{c} + (lc{c} - lo{c}) / greatest({_BACK}, 1e-9) AS h{c}" for c in "xyz")} FROM lk),
+  bp AS (SELECT u.species, u.uniprot, u.i AS acc, v.i AS don, {_energy('u', 'v')} AS e FROM hy u JOIN hy v ON u.species = v.species AND u.uniprot = v.uniprot AND abs(u.i - v.i) >= 2
+    AND {_span('u.a', 'v.a')} <= 9.0 WHERE v.hx IS NOT NULL AND v.aa <> 'P'),
+  bd AS (SELECT species, uniprot, acc AS p, don AS q FROM bp WHERE e < -0.5)"""
+_BRIDGES = " UNION ALL ".join(
+    f"SELECT species, uniprot, unnest([r, s]) AS i FROM (SELECT species, uniprot, {a} AS r, {b} AS s FROM bd) JOIN (SELECT species, uniprot, {c} AS r, {d} AS s FROM bd) USING (species, uniprot, r, s) WHERE abs(r - s) >= 3"
+    for a, b, c, d in (("p + 1", "q", "q - 1", "p"), ("p", "q", "q", "p"), ("p + 1", "q - 1", "q - 1", "p + 1")))
+
+
+@register("secondary_structure", f"""WITH {S.VC}, {_BONDS}, tn AS (SELECT species, uniprot, p AS t FROM bd WHERE q = p + 4),
+  hx AS (SELECT DISTINCT species, uniprot, unnest(range(t, t + 4)) AS i FROM tn WHERE EXISTS (SELECT 1 FROM tn o WHERE o.species = tn.species AND o.uniprot = tn.uniprot AND o.t + 1 = tn.t)),
+  st AS (SELECT DISTINCT species, uniprot, i FROM ({_BRIDGES}))
+  SELECT vc.species, vc.uniprot, vc.i, CASE WHEN hx.i IS NOT NULL THEN 'H' WHEN st.i IS NOT NULL THEN 'E' ELSE 'C' END AS ss
+  FROM vc LEFT JOIN hx ON hx.species = vc.species AND hx.uniprot = vc.uniprot AND hx.i = vc.i LEFT JOIN st ON st.species = vc.species AND st.uniprot = vc.uniprot AND st.i = vc.i""")
 def secondary_structure(spark, sf):
     """Three-state labels from hydrogen bonds."""
     return structure.assign_labels(_backbone(spark, sf))
 
 
-@register("exposed_area")
+#: Atoms of a residue around its CA: name, place, radius.  SG is a side chain atom; of the two at one place each counts.
+_ATOMS = [("N", (-1.2, 0.5, 0.4), 1.64), ("CA", (0.0, 0.0, 0.0), 1.88), ("C", (1.3, 0.6, 0.2), 1.61), ("O", (1.5, 1.7, 0.6), 1.42),
+          ("SG", (-0.9, -1.6, 1.1), 1.77), ("CB", (-0.3, -1.1, 0.9), 1.88), ("CG", (-0.3, -1.1, 0.9), 1.88)]
+_PLACED = " UNION ALL ".join(
+    f"SELECT species, uniprot, i, {k} AS k, CAST({w} AS DOUBLE) + CAST(1.4 AS DOUBLE) AS w, " + ", ".join(
+        f"CAST(CAST(CAST({c} AS DOUBLE) + CAST({d} AS DOUBLE) AS FLOAT) AS DOUBLE) AS {c}" for c, d in zip("xyz", at)) + " FROM vc"
+    for k, (_, at, w) in enumerate(_ATOMS))
+
+
+@register("exposed_area", f"""WITH {S.VC}, a AS ({_PLACED}),
+  n AS (SELECT a.species, a.uniprot, a.i, a.k, a.w, a.x, a.y, a.z, b.w AS ow, b.x AS ox, b.y AS oy, b.z AS oz FROM a JOIN a b ON a.species = b.species AND a.uniprot = b.uniprot
+    AND NOT (a.w = b.w AND a.x = b.x AND a.y = b.y AND a.z = b.z) AND sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) < a.w + b.w),
+  s AS (SELECT p, sqrt(1 - z * z) * cos({math.pi * (3.0 - math.sqrt(5.0))!r}::DOUBLE * p) AS px, sqrt(1 - z * z) * sin({math.pi * (3.0 - math.sqrt(5.0))!r}::DOUBLE * p) AS py, z AS pz
+    FROM (SELECT p, CAST(1 AS DOUBLE) - (2 * p + 1) / CAST(100 AS DOUBLE) AS z FROM (SELECT unnest(range(0, 100)) AS p))),
+  h AS (SELECT n.species, n.uniprot, n.i, n.k, count(DISTINCT p) AS hidden FROM n, s
+    WHERE (x + w * px - ox) * (x + w * px - ox) + (y + w * py - oy) * (y + w * py - oy) + (z + w * pz - oz) * (z + w * pz - oz) < ow * ow GROUP BY ALL)
+  SELECT a.species, a.uniprot, a.i, {S.fixed(f"sum(4 * CAST({math.pi!r} AS DOUBLE) * w * w * (100 - coalesce(hidden, 0)) / 100)", 2)} AS sasa
+  FROM a LEFT JOIN h ON h.species = a.species AND h.uniprot = a.uniprot AND h.i = a.i AND h.k = a.k GROUP BY ALL""")
 def exposed_area(spark, sf):
-    """Accessible area per residue."""
-    bb = _backbone(spark, sf)
-    atoms = bb.select(*KEY, "i", F.explode(F.array(*[
-        F.struct(F.lit(a).alias("atom"), F.col(a).alias("p")) for a in ("N", "CA", "C", "O")
-    ])).alias("e")).select(*KEY, "i", "e.atom", "e.p.x", "e.p.y", "e.p.z")
-    return structure.exposed_area(atoms)
+    """Accessible area per residue, side chain atoms included."""
+    vc = vector_chains(spark, sf)
+    atoms = vc.select(*KEY, "i", F.explode(F.array(*[
+        F.struct(F.lit(name).alias("atom"), *[(F.col(c) + F.lit(d)).cast("float").alias(c) for c, d in zip("xyz", at)]) for name, at, _ in _ATOMS
+    ])).alias("e")).select(*KEY, "i", "e.atom", "e.x", "e.y", "e.z")
+    return structure.exposed_area(atoms).withColumn("sasa", fixed(F.col("sasa").cast("double"), 2))
 
 
 @register("files_without_partner", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

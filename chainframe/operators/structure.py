@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, literal_map
-from .pairs import close_pairs
+from .pairs import ALL_CELLS, close_pairs
 from .windows import neighbour_value
 
 # --- fixed values -------------------------------------------------------------
@@ -21,6 +21,9 @@ NEAR = 9.0
 TURN = 4
 PROBE = 1.4
 RADII = {"N": 1.64, "CA": 1.88, "C": 1.61, "O": 1.42}
+# Atoms of side chains by element.
+ELEMENT_RADII = {"C": 1.88, "N": 1.64, "O": 1.46, "S": 1.77}
+OTHER_RADIUS = 1.80
 SPHERE_POINTS = 100
 # ------------------------------------------------------------------------------
 
@@ -122,35 +125,48 @@ def _sphere() -> Column:
     return F.array(*points)
 
 
+def atom_radius(atom: Column) -> Column:
+    """The radius of an atom by its name in the file: backbone atoms have their own, others that of their element."""
+    element = F.regexp_extract(F.upper(F.trim(atom)), "([A-Z])", 1)
+    return F.coalesce(
+        F.try_element_at(literal_map(RADII), atom), F.try_element_at(literal_map(ELEMENT_RADII), element), F.lit(OTHER_RADIUS)
+    )
+
+
 def exposed_area(atoms: DataFrame) -> DataFrame:
     """KEY, i, sasa: area of the residue's atoms that a probe can touch.
 
-    ``atoms``: KEY, i, atom, x, y, z.  Each atom meets the atoms near it (their
-    number is bounded by how densely atoms pack) and counts the points of its
-    sphere that lie in none of theirs.
+    ``atoms``: KEY, i, atom, x, y, z; any atoms of a residue, side chains included.  Atoms of one radius at one point are
+    one site, worked out once and counted for each of them, so that points where many atoms were put do not meet one
+    another.  Each site meets the sites near it (their number is bounded by how densely atoms pack) and counts the points
+    of its sphere that lie in none of theirs.
     """
-    reach = F.coalesce(F.try_element_at(literal_map(RADII), F.col("atom")), F.lit(1.80)) + PROBE
-    # Atoms are numbered by residue and name so that a pair has an order.
-    code = F.coalesce(F.array_position(F.array(*[F.lit(n) for n in RADII]), F.col("atom")), F.lit(0))
-    solid = atoms.select(
-        *KEY, F.col("i").alias("res"), (F.col("i") * 8 + code).cast("long").alias("i"), reach.alias("w"), "x", "y", "z"
-    )
-    near = close_pairs(solid, 2 * (max(RADII.values()) + PROBE), keep=["w", "x", "y", "z"])
-    side = lambda me, other: F.struct(
-        F.col(me).alias("i"), *[F.col(f"{c}_{other}").cast("double").alias(c) for c in ("w", "x", "y", "z")]
-    )
-    around = near.select(*KEY, F.explode(F.array(side("i", "j"), side("j", "i"))).alias("n")).groupBy(
-        *KEY, F.col("n.i").alias("i")
-    ).agg(F.collect_list("n").alias("_near"))
+    reach = atom_radius(F.col("atom")) + PROBE
+    at = ["w", "x", "y", "z"]
+    solid = atoms.select(*KEY, "i", reach.alias("w"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    sites = solid.select(*KEY, *at).distinct()
+    widest = 2 * (max(*RADII.values(), *ELEMENT_RADII.values(), OTHER_RADIUS) + PROBE)
+    cells = [F.floor(F.col(c) / widest) for c in "xyz"]
+    steps = F.explode(F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("xyz", shift)]) for shift in ALL_CELLS])).alias("_d")
+    names = ["_cx", "_cy", "_cz"]
+    seeing = sites.select(*KEY, *at, steps).select(
+        *KEY, *at, *[(cell + F.col(f"_d.{c}")).alias(n) for cell, c, n in zip(cells, "xyz", names)])
+    seen = sites.select(*KEY, *[F.col(c).alias(f"o{c}") for c in at], *[cell.alias(n) for cell, n in zip(cells, names)])
+    same = F.lit(True)
+    for c in at:
+        same = same & (F.col(c) == F.col(f"o{c}"))
+    gap = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
+    touch = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) < F.col("w") + F.col("ow")
+    near = seeing.join(seen, [*KEY, *names]).where(touch & ~same)
+    around = near.groupBy(*KEY, *at).agg(F.collect_list(F.struct(*[F.col(f"o{c}").alias(c) for c in at])).alias("_near"))
 
     def free(p):
-        at = [F.col(c).cast("double") + F.col("w") * p[c] for c in "xyz"]
-        inside = lambda n: sum(((v - n[c]) * (v - n[c]) for v, c in zip(at, "xyz")), F.lit(0.0)) < n["w"] * n["w"]
+        spot = [F.col(c) + F.col("w") * p[c] for c in "xyz"]
+        inside = lambda n: sum(((v - n[c]) * (v - n[c]) for v, c in zip(spot, "xyz")), F.lit(0.0)) < n["w"] * n["w"]
         return ~F.exists("_near", inside)
 
-    sphere = _sphere()
-    opened = solid.join(around, [*KEY, "i"], "left").withColumn("_near", F.coalesce("_near", F.array()))
-    area = 4.0 * math.pi * F.col("w") * F.col("w") * F.size(F.filter(sphere, free)) / F.lit(float(SPHERE_POINTS))
-    return opened.select(*KEY, "res", area.alias("_area")).groupBy(*KEY, F.col("res").alias("i")).agg(
+    opened = sites.join(around, [*KEY, *at], "left").withColumn("_near", F.coalesce("_near", F.array()))
+    area = 4.0 * math.pi * F.col("w") * F.col("w") * F.size(F.filter(_sphere(), free)) / F.lit(float(SPHERE_POINTS))
+    return solid.join(opened.select(*KEY, *at, area.alias("_area")), [*KEY, *at]).groupBy(*KEY, "i").agg(
         F.sum("_area").cast("float").alias("sasa")
     )

@@ -44,9 +44,10 @@ def first_model(files: DataFrame) -> DataFrame:
     return files.select(*KEY, F.posexplode(F.split(before, r"\r?\n")).alias("line", "value"))
 
 
-def parse_atoms(lines: DataFrame) -> DataFrame:
-    """Backbone atoms from fixed columns: KEY, line, chain, i, atom, aa, x, y, z,
-    plddt.  Lines without numbers (column ``line``) have no order."""
+def parse_atoms(lines: DataFrame, names: list[str] | None = BACKBONE) -> DataFrame:
+    """Atoms from fixed columns: KEY, line, chain, i, atom, aa, x, y, z, plddt.
+    ``names`` are the atoms wanted (the backbone by default, all if None).
+    Lines without numbers (column ``line``) have no order."""
     if "line" not in lines.columns:
         lines = lines.withColumn("line", F.lit(0))
     def part(name):
@@ -58,7 +59,7 @@ def parse_atoms(lines: DataFrame) -> DataFrame:
         part("resnum").try_cast("long").alias("i"),
         *[part(c).try_cast("float").alias(c) for c in "xyz"],
         part("bfactor").try_cast("float").alias("plddt"),
-    ).where(F.col("atom").isin(BACKBONE) & F.col("i").isNotNull())
+    ).where(F.col("i").isNotNull() & (F.lit(True) if names is None else F.col("atom").isin(names)))
     return atoms.withColumn("aa", lookup(AA_THREE_TO_ONE, F.col("_res"), "X")).drop("_res")
 
 
