@@ -56,12 +56,8 @@ def is_unreliable(text: Column) -> Column:
 
 
 def parse_numeric(text: Column) -> Column:
-    """The first number in the text; true / false count as 1 / 0."""
-    found = F.regexp_extract(text, f"({NUMBER})", 1)
-    return (
-        F.when(text == "true", F.lit(1.0)).when(text == "false", F.lit(0.0))
-        .otherwise(found.try_cast("double"))
-    )
+    """The first number in the text."""
+    return F.regexp_extract(text, f"({NUMBER})", 1).try_cast("double")
 
 
 def parse_bool(text: Column) -> Column:
