@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import re
 import sys
 import tempfile
 import uuid
@@ -21,15 +22,18 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-#: Rows of an Arrow batch.  The default of 10,000 would put that many whole texts into one message to a Python worker.
-BATCH_ROWS = 1_000
+#: Rows and bytes of an Arrow batch, at most (a longer row is a batch of its own).  The defaults, 10,000 rows and 64 MB or
+#: more, would put that many whole texts into one message to a Python worker, and as much again beside the heap of the JVM.
+BATCH = {"maxRecordsPerBatch": 1_000, "maxBytesPerBatch": 1 << 21}
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lower the session's rows per Arrow batch to ``BATCH_ROWS``; a session that asks for fewer keeps its own number."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    """Lower the session's rows and bytes per Arrow batch to ``BATCH``; a session that asks for less keeps its own number."""
+    for name, most in BATCH.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        now = re.fullmatch(r"(\d+)b?", spark.conf.get(name).lower())
+        if not now or not 0 < int(now[1]) <= most:
+            spark.conf.set(name, str(most))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +66,16 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
+def trim() -> None:
+    """Give this process's free memory back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        give = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if give is not None:
+            give(0)
+
+
 def lean(run):
     """``run`` for ``mapInArrow``; when a partition ends, the worker gives its free memory back to the system.  Workers wait
     for tasks of later stages, and what they keep adds up beside those tasks."""
@@ -70,12 +84,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if sys.platform == "linux":
-                trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-                if trim is not None:
-                    trim(0)
+            trim()
 
     return whole
 
@@ -132,6 +141,30 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
     return (prefix[end] - prefix[start]) * powers(len(prefix))[1][start]
 
 
+#: A prime and a base of it (fixed values).  Modulo a power of two, some long words are equal under every odd base.
+PRIME, PRIME_BASE = (1 << 31) - 1, 1_103_515_245
+_RESIDUES: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def residues(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """PRIME_BASE**i and PRIME_BASE**-i modulo PRIME for i < n."""
+    for k, base in enumerate((PRIME_BASE, pow(PRIME_BASE, -1, PRIME))):
+        while len(_RESIDUES[k]) < n:
+            own = _RESIDUES[k]
+            _RESIDUES[k] = np.concatenate([own, own * np.uint64(pow(base, len(own), PRIME)) % np.uint64(PRIME)])
+    return _RESIDUES[0][:n], _RESIDUES[1][:n]
+
+
+def sound_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of spans from two polynomials, one modulo 2**64 and one modulo a prime, and the length."""
+    power, inverse = residues(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:-1] % np.uint64(PRIME), dtype=np.uint64, out=sums[1:])
+    second = (sums[ends] - sums[starts]) % np.uint64(PRIME) * inverse[starts] % np.uint64(PRIME)
+    first = span_hashes(prefix_hashes(data), starts, ends)
+    return mix(first ^ mix(second << np.uint64(32) ^ (ends - starts).astype(np.uint64)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit values (the splitmix64 finaliser)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

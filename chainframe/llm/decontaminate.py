@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans
+from .common import LOWER, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
 
 WINDOW = 13
 #: Text of the items that one automaton takes; about 100 bytes of memory per byte.
@@ -182,8 +182,9 @@ def built(items: list[tuple[str, str]], window: int) -> Block:
 FOUND = "text string, n_words long, spans array<struct<start:int,end:int>>, items array<string>"
 
 
-def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFrame:
-    """One block over all rows; ``spans`` (in words) and ``items`` of earlier blocks are extended."""
+def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int, cut: int | None) -> DataFrame:
+    """One block over all rows; ``spans`` (in words) and ``items`` of earlier blocks are extended.  With ``cut``, texts lose
+    their spans of so many or more words."""
     shared = docs.sparkSession.sparkContext.broadcast(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,20 +224,16 @@ def _pass(docs: DataFrame, items: list[tuple[str, str]], window: int) -> DataFra
             columns[at["n_words"]] = pa.array(n_words, pa.int64())
             columns[at["spans"]] = pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))
             columns[at["items"]] = pa.array(found, pa.list_(pa.string()))
+            if cut is not None:
+                columns[at["text"]] = _cut(text, spans, cut)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
     return docs.mapInArrow(lean(run), docs.schema)
 
 
-def contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
-) -> DataFrame:
-    """``docs`` with one more column ``_found``: n_words, spans of hit words (start, end exclusive, counted in words),
-    n_hit, and items (ids as sorted strings) with windows that occur.
-
-    Null and empty texts have no words; a null item has none and never occurs; a null item_id is called ``null``.
-    Items with the same id count once.  Other columns, of whatever name, pass unchanged.
-    """
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, cut: int | None = None) -> DataFrame:
+    """``_row`` (the columns beside text), text, n_words, spans, items, and n_hit.  Of several blocks each reads what the
+    one before has written, so that a worker holds one automaton."""
     items = benchmark.select(
         F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("id"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
@@ -252,14 +249,32 @@ def contamination(
     )
     for k in range(blocks):
         own = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == k)
-        rows = _pass(rows, sorted((r["id"], r["text"]) for r in own.collect()), window)
+        last = k == blocks - 1
+        rows = _pass(rows, sorted((r["id"], r["text"]) for r in own.collect()), window, cut if last else None)
+        rows = rows if last else written(rows)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    found = F.struct("n_words", n_hit.alias("n_hit"), "spans", "items").alias("_found")
-    return rows.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns], found)
+    return rows.withColumn("n_hit", n_hit)
+
+
+def _own(docs: DataFrame) -> list:
+    """The columns of ``docs`` from those of ``_scanned``."""
+    return [F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns]
 
 
-def is_contaminated(found: str = "_found", coverage: int = COVERAGE):
-    n_hit, n_words = F.col(found)["n_hit"], F.col(found)["n_words"]
+def contamination(
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """``docs`` with one more column ``_found``: n_words, spans of hit words (start, end exclusive, counted in words),
+    n_hit, and items (ids as sorted strings) with windows that occur.
+
+    Null and empty texts have no words; a null item has none and never occurs; a null item_id is called ``null``.
+    Items with the same id count once.  Other columns, of whatever name, pass unchanged.
+    """
+    rows = _scanned(docs, benchmark, window, block_bytes)
+    return rows.select(*_own(docs), F.struct("n_words", "n_hit", "spans", "items").alias("_found"))
+
+
+def is_contaminated(n_hit, n_words, coverage: int = COVERAGE):
     return (n_hit > 0) & (coverage * n_hit >= n_words)
 
 
@@ -274,23 +289,19 @@ def cleaned_text(text: str, spans: list) -> str:
     return b"".join([*out, raw[at:].tobytes()]).decode()
 
 
+def _cut(texts: pa.Array, spans: list[list[dict]], least: int) -> pa.Array:
+    """``texts`` without their spans of ``least`` or more words."""
+    long_ = [[(x["start"], x["end"]) for x in own if x["end"] - x["start"] >= least] for own in spans]
+    if not any(long_):
+        return texts
+    return pa.array([cleaned_text(t, own) if own else t for t, own in zip(texts.to_pylist(), long_)], texts.type)
+
+
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW, coverage: int = COVERAGE, **options
+    docs: DataFrame, benchmark: DataFrame, max_words: int = WINDOW, coverage: int = COVERAGE, window: int = WINDOW,
+    block_bytes: int = BLOCK_BYTES,
 ) -> DataFrame:
-    """Drop the contaminated documents; from others remove spans of ``max_words`` or more words.  Columns as given;
-    a text without such a span (null included) stays as it is."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [
-                t if t is None or not f else cleaned_text(t, [(x["start"], x["end"]) for x in f])
-                for t, f in zip(batch["text"].to_pylist(), batch["spans"].to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([batch["_row"], pa.array(texts, pa.string())], names=["_row", "text"])
-
-    kept = contamination(docs, benchmark, **options).where(~is_contaminated(coverage=coverage))
-    others = [c for c in docs.columns if c != "text"]
-    long_spans = F.filter(F.col("_found")["spans"], lambda s: s["end"] - s["start"] >= max_words)
-    rows = kept.select(F.struct(*others).alias("_row"), "text", long_spans.alias("spans"))
-    done = rows.mapInArrow(lean(run), rows.select("_row", "text").schema)
-    return done.select(*[F.col("text") if c == "text" else F.col("_row")[c].alias(c) for c in docs.columns])
+    """Drop the contaminated documents; from others remove spans of ``max_words`` or more words.  Columns as given, of
+    whatever name; a text without such a span (null included) stays as it is."""
+    rows = _scanned(docs, benchmark, window, block_bytes, max_words)
+    return rows.where(~is_contaminated(F.col("n_hit"), F.col("n_words"), coverage)).select(*_own(docs))

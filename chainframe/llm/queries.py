@@ -44,7 +44,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(docs, table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "_found.n_words", "_found.n_hit", F.size("_found.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", "_found.items"), 256).alias("items_sha256"), is_contaminated().alias("contaminated"),
+        F.sha2(F.concat_ws(",", "_found.items"), 256).alias("items_sha256"), is_contaminated(F.col("_found.n_hit"), F.col("_found.n_words")).alias("contaminated"),
     )
 
 

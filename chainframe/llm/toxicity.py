@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, held_out, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
+from .common import WORD, held_out, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, trim, word_spans, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -283,6 +283,7 @@ def fit(
     order = np.argsort(hashes)
     words = hashes[order]
     del hashes
+    trim()
 
     def places(own: np.ndarray) -> np.ndarray:
         """The places in ``parts`` of some words' hashes."""
@@ -304,7 +305,10 @@ def fit(
         return places(np.array(hashes, np.int64).view(np.uint64)).tolist()
 
     changes = [(r["n"], index(r["m"]["more"]), index(r["m"]["less"])) for r in counts]
+    trim()
     weights, bias = fit_logistic(rows, columns, y, parts, len(words), changes, balance=balance)
+    del rows, columns, parts, words, order
+    trim()
     return ToxicityModel(weights, bias)
 
 
