@@ -12,7 +12,7 @@ into pairs: its members are compared with its leader, the member that meets most
 of the verified links are known, members of different components are compared where what they share with the leader
 leaves the possibility of a link (see ``between``).
 
-Nodes are distinct word sequences (64 bits of an MD5), so exact copies take part once.
+Nodes are distinct word sequences (128 bits of a BLAKE2 over the words' bytes), so exact copies take part once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, word_spans, written
+from .common import LOWER, lean, mix, sound_hashes, steps, text_bytes, word_spans, written
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Signature components and bands.  A pair at similarity 0.8 shares a band but for 5e-8.
@@ -45,13 +45,13 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterato
     shingle of all their words in order; no words, none."""
     low = LOWER[data]
     starts, ends, first = word_spans(low, offsets)
-    words = mix(span_hashes(prefix_hashes(low), starts, ends))
+    words, spelled, bounds = sound_hashes(low, starts, ends), *_spelled(low, starts, ends, first, offsets)
     grams = words.copy()
     for i in range(1, k):
         grams[:-i or None] = grams[:-i or None] * STREAM[0] + words[i:]
     grams = mix(grams)
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
-        digest = hashlib.md5(words[a:b].tobytes()).digest()
+    for row, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist())):
+        digest = hashlib.blake2b(spelled[bounds[row] : bounds[row + 1]], digest_size=16).digest()
         if b - a >= k:
             yield digest, *np.unique(grams[a : b - k + 1], return_counts=True)
         elif b > a:
@@ -63,6 +63,21 @@ def shingles(data: np.ndarray, offsets: np.ndarray, k: int = SHINGLE) -> Iterato
             yield digest, np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
 
+def _spelled(low: np.ndarray, starts: np.ndarray, ends: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """The words of all rows, one byte between two words of a row, and where each row begins."""
+    change = np.zeros(len(low) + 1, np.int8)
+    change[starts] += 1
+    change[ends] -= 1
+    keep = np.cumsum(change[:-1], dtype=np.int8).astype(bool)
+    later = np.ones(len(starts), bool)
+    later[first[:-1][first[:-1] < first[1:]]] = False
+    gaps = starts[later] - 1
+    keep[gaps] = True
+    out = low.copy()
+    out[gaps] = 32
+    return out[keep], np.concatenate([[0], np.cumsum(keep)])[offsets].tolist()
+
+
 def bag_minhash(hashes: np.ndarray, counts: np.ndarray, rows: np.ndarray, n: int, components: int = COMPONENTS) -> np.ndarray:
     """Signatures (earliest times) of ``n`` multisets given as flat (hash, count, row)."""
     out = np.full(n * components, np.inf)
@@ -100,10 +115,6 @@ def band_hashes(signatures: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def node_of(digest: bytes) -> int:
-    return int.from_bytes(digest[:8], "little", signed=True)
-
-
 def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
     """doc_id, node, n (shingles), bands for each row; no bands without words."""
 
@@ -119,13 +130,13 @@ def signatures(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 )
                 bands = band_hashes(sig)
                 yield pa.RecordBatch.from_pydict({
-                    "doc_id": batch.column(0)[low:high], "node": pa.array([node_of(d) for d, _, _ in found], pa.int64()),
+                    "doc_id": batch.column(0)[low:high], "node": pa.array([d for d, _, _ in found], pa.binary()),
                     "n": pa.array([int(c.sum()) for _, _, c in found], pa.int64()),
                     "bands": pa.array([b if s else None for b, s in zip(bands, sizes)], pa.list_(pa.int64())),
                 })
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), "doc_id long, node long, n long, bands array<long>")
+    return rows.mapInArrow(lean(run), "doc_id long, node binary, n long, bands array<long>")
 
 
 def bags(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
@@ -138,11 +149,11 @@ def bags(docs: DataFrame, k: int = SHINGLE) -> DataFrame:
                 nodes, sets = [], []
                 for digest, h, c in shingles(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], k):
                     turn = np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c)
-                    nodes.append(node_of(digest))
+                    nodes.append(digest)
                     sets.append(mix(np.repeat(h, c) + turn.astype(np.uint64) * STREAM[0]).view(np.int64))
-                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "bag": pa.array(sets, pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.binary()), "bag": pa.array(sets, pa.list_(pa.int64()))})
 
-    return docs.select("text").mapInArrow(lean(run), "node long, bag array<long>")
+    return docs.select("text").mapInArrow(lean(run), "node binary, bag array<long>")
 
 
 def compared(pairs: DataFrame, bag: DataFrame) -> DataFrame:
