@@ -102,4 +102,4 @@ def counts_within(
     wanted = asked.select(rid, *by, F.col("t").cast("double").alias("t"), F.explode_outer(segments_between("lo", "hi", "top")).alias("_s"))
     wanted = wanted.select(rid, *by, "_s.level", "_s.seg", "t")
     counted = counts_upto(placed, wanted, keys, "b", "t", cell)
-    return wanted.join(counted, [*keys, "t"]).groupBy(rid).agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))
+    return wanted.join(counted.hint("merge"), [*keys, "t"]).groupBy(rid).agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))

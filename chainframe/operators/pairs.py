@@ -3,7 +3,9 @@
 A pair domain is never materialised.  A distance bound turns it into a grid
 join: space is cut into cubes as wide as the bound, one side looks into the
 surrounding cubes, and the equi-join on (chain, cube) spreads even one chain
-over as many tasks as it has cubes.  Bounds that split into one condition per
+over as many tasks as it has cubes.  It is a merge join by hint: the looking
+side has 14 or 27 rows per position, but Spark sizes it from the file and would
+send it through the driver.  Bounds that split into one condition per
 end are answered from counts, and the plain size of the domain is a formula.
 """
 
@@ -71,7 +73,7 @@ def close_pairs(residues: DataFrame, radius: float | str, min_sep: int = 1, keep
         ((F.col("_shift.d0") == 0) & (F.col("_shift.d1") == 0) & (F.col("_shift.d2") == 0)).alias("_same"),
     )
     seen = residues.select(*KEY, *columns, *_cells(radius))
-    near = seeing.alias("a").join(seen.alias("b"), [*KEY, *CELL])
+    near = seeing.alias("a").join(seen.hint("merge").alias("b"), [*KEY, *CELL])
     squared = squared_distance("a", "b")
     # Inside one cube the order of the positions tells the two copies apart;
     # across cubes only one of the two opposite directions is looked at.
@@ -102,7 +104,7 @@ def close_between(left: DataFrame, right: DataFrame, radius: float | str) -> Dat
         *KEY, *columns, *_cells(radius, shift=True)
     )
     seen = right.select(*KEY, *columns, *_cells(radius))
-    near = seeing.alias("a").join(seen.alias("b"), [*KEY, *CELL])
+    near = seeing.alias("a").join(seen.hint("merge").alias("b"), [*KEY, *CELL])
     d = distance("a", "b")
     return near.where(d <= reach).select(
         *[F.col(k) for k in KEY], F.col("a.i").alias("r"), F.col("b.i").alias("s"), d.alias("d")
@@ -123,7 +125,7 @@ def neighbor_counts(residues: DataFrame, radius: float = 8.0, name: str = "n_nei
     found = ends.groupBy(*KEY, "i").agg(F.count(F.lit(1)).alias("_found"))
     return (
         residues.drop(name)
-        .join(found, [*KEY, "i"], "left")
+        .join(found.hint("merge"), [*KEY, "i"], "left")
         .withColumn(name, F.coalesce(F.col("_found"), F.lit(0)).cast("long"))
         .drop("_found")
     )

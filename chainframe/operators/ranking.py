@@ -38,7 +38,8 @@ def number_rows(
         .withColumn("_total", F.sum("_n").over(whole))
         .select(*by_piece, "_before", "_total")
     )
-    out = numbered.join(shifts, by_piece).withColumn(
+    # Pieces can be as many as rows; a size guessed from the file must not send them through the driver.
+    out = numbered.join(shifts.hint("merge"), by_piece).withColumn(
         name, (F.col("_before") + F.col("_inside")).cast("long")
     )
     if total:

@@ -157,7 +157,7 @@ def exposed_area(atoms: DataFrame) -> DataFrame:
         same = same & (F.col(c) == F.col(f"o{c}"))
     gap = [F.col(c) - F.col(f"o{c}") for c in "xyz"]
     touch = F.sqrt(gap[0] * gap[0] + gap[1] * gap[1] + gap[2] * gap[2]) < F.col("w") + F.col("ow")
-    near = seeing.join(seen, [*KEY, *names]).where(touch & ~same)
+    near = seeing.join(seen.hint("merge"), [*KEY, *names]).where(touch & ~same)
     around = near.groupBy(*KEY, *at).agg(F.collect_list(F.struct(*[F.col(f"o{c}").alias(c) for c in at])).alias("_near"))
 
     def free(p):

@@ -184,7 +184,8 @@ def dense_windows(q: DataFrame, c: ChainSet) -> DataFrame:
     contacts = pairs.close_pairs(c.residues, 8.0)
     density = pairs.window_contacts(c.residues, contacts, widths)
     scored = scored_windows(q, c, windows.mean("plddt")).withColumnRenamed("v", "mean")
-    return scored.join(density.drop("end"), [*KEY, "w", "start"])
+    # One row per window on both sides, whatever Spark guesses from the file.
+    return scored.join(density.drop("end").hint("merge"), [*KEY, "w", "start"])
 
 
 def _dense_confident_window(level_name):
