@@ -35,13 +35,16 @@ def _points(values: DataFrame, asked: DataFrame, by: list[str], v: str, t: str,
 
 
 def counts_upto(
-    values: DataFrame, asked: DataFrame, by: list[str] = KEY, v: str = "v", t: str = "t", cell: Cell = unit_cell
+    values: DataFrame, asked: DataFrame, by: list[str] = KEY, v: str = "v", t: str = "t", cell: Cell = unit_cell,
+    times: Column | None = None,
 ) -> DataFrame:
     """by, ``t``, below (values < t), upto (values <= t), total; one row for each distinct literal of ``asked``.
 
-    NULL and NaN values are not counted, such literals have no row.  ``cell`` must not decrease along the values.
+    NULL and NaN values are not counted, such literals have no row.  ``cell`` must not decrease along the values.  A value
+    counts as often as ``times`` says, once by default.
     """
-    points = _points(values, asked, by, v, t, F.lit(1).cast("long"), cell).groupBy(*by, "_cell", "_v").agg(
+    kept = (F.lit(1) if times is None else times).cast("long")
+    points = _points(values, asked, by, v, t, kept, cell).groupBy(*by, "_cell", "_v").agg(
         F.coalesce(F.sum("_x"), F.lit(0)).alias("_x"), F.bool_or("_asked").alias("_asked"))
     group = Window.partitionBy(*by)
     before = group.orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
@@ -88,18 +91,21 @@ def segments_between(lo: str, hi: str, top: str) -> Column:
 
 
 def counts_within(
-    points: DataFrame, asked: DataFrame, rid: str = "qid", by: list[str] = KEY, cell: Cell = unit_cell
+    points: DataFrame, asked: DataFrame, rid: str = "qid", by: list[str] = KEY, cell: Cell = unit_cell,
+    times: Column | None = None,
 ) -> DataFrame:
     """Dominance counting.  ``points``: by, a, b, top; ``asked``: rid, by, lo, hi, t, top.  Returns rid, below and upto: how
     many points of the group have lo <= a <= hi and b < t (b <= t).  ``a`` is 0-based and at most ``top``, which is the
     same for all rows of a group.  Asked rows without points, or with a range outside 0 to ``top``, are missing.
 
-    Neither side meets the other: a point is counted in one segment per level of ``a``, a range reads its segments.
+    Neither side meets the other: a point is counted in one segment per level of ``a``, a range reads its segments.  It
+    counts as often as ``times`` says, once by default.
     """
     keys = [*by, "level", "seg"]
-    placed = points.select(*by, "b", F.explode(segments_of("a", "top")).alias("_s")).select(*by, "_s.level", "_s.seg", "b")
+    often = (F.lit(1) if times is None else times).alias("_times")
+    placed = points.select(*by, "b", often, F.explode(segments_of("a", "top")).alias("_s")).select(*by, "_s.level", "_s.seg", "b", "_times")
     # explode_outer keeps the validity test in this step; as a filter it would repeat how the range was derived.
     wanted = asked.select(rid, *by, F.col("t").cast("double").alias("t"), F.explode_outer(segments_between("lo", "hi", "top")).alias("_s"))
     wanted = wanted.select(rid, *by, "_s.level", "_s.seg", "t")
-    counted = counts_upto(placed, wanted, keys, "b", "t", cell)
+    counted = counts_upto(placed, wanted, keys, "b", "t", cell, F.col("_times"))
     return wanted.join(counted.hint("merge"), [*keys, "t"]).groupBy(rid).agg(F.sum("below").alias("below"), F.sum("upto").alias("upto"))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import BLOCK, KEY, block_of
+from ..session import cut_lineage
 from .offline import counts_within
 from .windows import block_size, per_block
 
@@ -22,6 +23,8 @@ CELL = ["_cx", "_cy", "_cz"]
 ALL_CELLS = list(itertools.product((-1, 0, 1), repeat=3))
 # One of each opposite pair of directions, and the own cube.
 HALF_CELLS = [c for c in ALL_CELLS if c >= (0, 0, 0)]
+# Questions of a chain up to which its pairs are told apart by those questions only.
+FEW = 64
 
 
 def squared_distance(a: str, b: str) -> Column:
@@ -186,20 +189,44 @@ def chain_spans(residues: DataFrame) -> DataFrame:
     return residues.groupBy(*KEY).agg(F.sqrt(sides[0] * sides[0] + sides[1] * sides[1] + sides[2] * sides[2]).alias("span"))
 
 
+def _asked_levels(asked: DataFrame) -> DataFrame:
+    """KEY, ``seps`` and ``ts``: the literals of the chains with at most FEW questions; NULL for those with more."""
+    lo, t = F.greatest("sep", F.lit(1)).cast("long"), F.col("t").cast("double")
+    few = asked.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") <= FEW).select(*KEY)
+    return asked.join(few, KEY, "left_semi").groupBy(*KEY).agg(F.collect_set(lo).alias("seps"), F.collect_set(t).alias("ts"))
+
+
+def _told_apart(close: DataFrame) -> DataFrame:
+    """KEY, a, b, top and ``n`` pairs.  Of a chain with few questions, pairs that no question of it tells apart are one
+    point: ``a`` is the largest separation asked for that they have, ``b`` the distance asked for that they are at, or
+    one between the two asked for that they lie between; pairs too near in sequence or too far apart for all are left
+    out.  So a task hands on as many points as there are questions, not pairs."""
+    a, d = F.col("j") - F.col("i"), F.col("d")
+    sep = F.array_max(F.filter("seps_i", lambda s: s <= F.col("a")))
+    under = F.array_max(F.filter("ts_i", lambda t: t <= F.col("d")))
+    over = F.array_min(F.filter("ts_i", lambda t: t >= F.col("d")))
+    few = F.col("ts_i").isNotNull()
+    points = close.select(*KEY, a.alias("a"), d.alias("d"), F.col("length_i").alias("top"), "seps_i", "ts_i").select(
+        *KEY, F.when(few, sep).otherwise(F.col("a")).alias("a"),
+        F.when(few, (F.coalesce(under, over - 1) + over) / 2).otherwise(F.col("d")).alias("b"), "top")
+    return points.where("a is not null and b is not null").groupBy(*KEY, "a", "b", "top").agg(F.count(F.lit(1)).alias("n"))
+
+
 def asked_contact_counts(residues: DataFrame, asked: DataFrame) -> DataFrame:
     """``asked``: qid, KEY, length, sep, t.  Returns qid, below and upto: pairs with j - i >= sep and d < t (d <= t).
 
     Every question brings its own separation and distance.  Pairs are made once per chain, up to the largest distance it
-    asks for, and counted by dominance (separation from ``sep`` on, distance up to ``t``).  A distance beyond any in the
+    asks for, made one where no question tells them apart, and counted by dominance (separation from ``sep`` on, distance up to ``t``).  A distance beyond any in the
     chain is a formula of its length.
     """
     spans = chain_spans(residues)
     known = asked.join(spans, KEY, "left").withColumn("_far", F.col("t") > F.col("span"))
     near = known.where(~F.col("_far"))
-    close = close_pairs(asked_reach(residues, near, "t"), "reach", keep=["length"])
-    points = close.select(*KEY, (F.col("j") - F.col("i")).alias("a"), F.col("d").alias("b"), F.col("length_i").alias("top"))
+    sites = asked_reach(residues, near, "t").join(_asked_levels(asked), KEY, "left")
+    # Read twice below; the pairs are made once.
+    points = cut_lineage(_told_apart(close_pairs(sites, "reach", keep=["length", "seps", "ts"])))
     wanted = near.select("qid", *KEY, F.greatest("sep", F.lit(1)).cast("long").alias("lo"), F.col("length").alias("hi"), "t", F.col("length").alias("top"))
-    found = counts_within(points, wanted, cell=lambda v: F.floor(v * 4))
+    found = counts_within(points, wanted, cell=lambda v: F.floor(v * 4), times=F.col("n"))
     all_pairs = pair_domain_size(F.col("length"), F.greatest("sep", F.lit(1)))
     return known.join(found, "qid", "left").select(
         "qid", *[F.when(F.col("_far"), all_pairs).otherwise(F.coalesce(F.col(n), F.lit(0))).cast("long").alias(n) for n in ("below", "upto")])
