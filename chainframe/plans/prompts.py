@@ -1,7 +1,7 @@
 """Texts built from chains and examples: summaries, examples, prompts, tool
 observations."""
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import fixed_text
@@ -122,19 +122,22 @@ def pick_across_families(train: DataFrame, targets: DataFrame, n: int = 4, seed=
     # A template can stand in several families; each has its own gap.
     own = gaps.groupBy("template").agg(F.map_from_entries(F.collect_list(F.struct("family", F.struct("_from", "_gap")))).alias("_gaps"))
     asked = targets.select(F.col("qid").alias("target"), "template", F.lit(1).alias("_all")).join(sizes, "_all").join(own, "template", "left")
-    gap = F.try_element_at(F.col("_gaps"), F.col("_s.family"))
-    open_ = asked.select("target", "_gaps", F.explode("_sizes").alias("_s")).select(
-        "target", "_s.family", F.coalesce(gap["_from"], F.lit(0)).alias("_from"), F.coalesce(gap["_gap"], F.lit(0)).alias("_gap"),
-        F.col("_s.size").alias("_size")).withColumn("_free", F.col("_size") - F.col("_gap"))
-    rounds = F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.col("_free"), F.lit(n)) - 1)).alias("_k")
+    def opened(s):
+        gap = F.try_element_at(F.col("_gaps"), s["family"])
+        size = F.coalesce(gap["_gap"], F.lit(0))
+        return F.struct(s["family"].alias("family"), F.coalesce(gap["_from"], F.lit(0)).alias("_from"), size.alias("_gap"), (s["size"] - size).alias("_free"))
+
+    def taken(k):
+        return F.transform(F.filter("_open", lambda o: o["_free"] > k), lambda o: F.struct(k.alias("_k"), o.alias("_o")))
+
+    # The turns of a target by round and family, the first n of them; nothing but those leaves its row.
+    turns = F.slice(F.flatten(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")), taken)), 1, n)
+    spots = asked.withColumn("_open", F.transform("_sizes", opened)).select("target", F.posexplode(turns).alias("_at", "_t")).select(
+        "target", (F.col("_at") + 1).cast("long").alias("place"), "_t._k", "_t._o.*")
     start = hash_below(F.col("_free"), F.lit(f"across/{seed}"), F.col("target"), F.col("family"))
-    turns = open_.where("_free > 0").select("*", start.alias("_start"), rounds)
-    place = F.pmod(F.col("_start") + F.col("_k"), F.col("_free"))
-    before = (F.col("_gap") == 0) | (place < F.col("_from") - 1)
-    spots = turns.withColumn("_rank", F.when(before, place + 1).otherwise(place + 1 + F.col("_gap")))
-    # At most n turns of each family meet in a target.
-    order = F.row_number().over(Window.partitionBy("target").orderBy("_k", "family"))
-    chosen = spots.withColumn("place", order.cast("long")).where(F.col("place") <= n)
+    at = F.pmod(start + F.col("_k"), F.col("_free"))
+    before = (F.col("_gap") == 0) | (at < F.col("_from") - 1)
+    chosen = spots.withColumn("_rank", F.when(before, at + 1).otherwise(at + 1 + F.col("_gap")))
     return chosen.join(ranked.select("family", "_rank", F.col("qid").alias("exemplar")), ["family", "_rank"]).select("target", "place", "exemplar")
 
 
