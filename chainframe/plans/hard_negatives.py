@@ -112,8 +112,10 @@ def first_differing(variants: DataFrame, chains: ChainSet, templates: list[str])
 def mine(positives: DataFrame, chains: ChainSet, templates: list[str], seed=0) -> DataFrame:
     """One hard negative per positive where one can be found.  HN3 is served
     by HN1, and so is HN2 when no threshold changes the answer."""
+    # Both are read several times below; their answers are worked out once.
+    positives = cut_lineage(positives)
     drawn = positives.withColumn("_class", class_choice(seed))
-    flipped = first_differing(threshold_flips(drawn.where("_class = 'HN2'"), seed), chains, templates)
+    flipped = cut_lineage(first_differing(threshold_flips(drawn.where("_class = 'HN2'"), seed), chains, templates))
     left = drawn.join(flipped.select("qid"), "qid", "left_anti")
     fresh = first_differing(resampled(left, templates, seed=seed), chains, templates)
     found = flipped.withColumn("hn_class", F.lit("HN2")).unionByName(

@@ -52,6 +52,13 @@ def test_hard_negatives_differ(sets, questions):
         assert r["params"] != old[r["hn_source_qid"]]["params"] and r["answer"] != old[r["hn_source_qid"]]["answer"]
 
 
+def test_hard_negatives_work_out_positives_once(sets, questions):
+    q = questions.where("template = 'A4' and qid <> 'marked'").drop("question", "program", "paraphrase_id")
+    answered = q.join(generate.answer_all(q, sets, ["A4"]).drop("err"), "qid").where("qid <> 'marked'")
+    mined = hard_negatives.mine(answered, sets, ["A4"])
+    assert "marked" not in mined._jdf.queryExecution().analyzed().toString()
+
+
 def test_allocation():
     rng = random.Random(1)
     for _ in range(200):
