@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import lean, mix, prefix_hashes, shared_folder, span_hashes, steps, text_bytes
+from .common import lean, mix, own_shuffles, prefix_hashes, shared_folder, span_hashes, steps, text_bytes
 
 MAGIC = b"S8B2"
 #: Fixed values of the format: ids per word by selector, and bits per id.
@@ -395,7 +395,8 @@ def blocks(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, block_ids
 def write_tokens(docs: DataFrame, tokenizer_path: str, folder: str | None = None, **options) -> str:
     """Encode all documents into files below ``folder`` (by default in the shared folder) and return it."""
     folder = folder or f"{shared_folder(docs.sparkSession)}/tokens-{uuid.uuid4().hex}"
-    blocks(docs, tokenizer_path, **options).write.parquet(folder)
+    with own_shuffles(docs.sparkSession):
+        blocks(docs, tokenizer_path, **options).write.parquet(folder)
     return folder
 
 

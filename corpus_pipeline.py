@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm.common import held_out, shared_folder, table
+from chainframe.llm.common import held_out, own_shuffles, shared_folder, table
 from chainframe.llm.decontaminate import decontaminate
 from chainframe.llm.mixing import taken_rows
 from chainframe.llm.near_dedup import deduplicate
@@ -73,6 +73,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written as Parquet in the shared folder and read again."""
     docs, folder = table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for name, stage in STAGES[:-1]:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        kept = stage(spark, docs, sf_dir)
+        with own_shuffles(spark):
+            kept.write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
