@@ -136,7 +136,12 @@ def extract_program(text: Column) -> Column:
     with a ``program:`` style prefix, and finally any line that reads like a
     program.
     """
-    body = strip_reasoning(text)
+    return program_in(strip_reasoning(text))
+
+
+def program_in(body: Column) -> Column:
+    """``extract_program`` of a text without reasoning blocks.  The text is
+    named in every step, so it should be a column and no long expression."""
 
     def fenced(c):
         s = F.btrim(strip(c), F.lit(";"))

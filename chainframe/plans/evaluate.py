@@ -28,14 +28,15 @@ def parsed_responses(responses: DataFrame) -> DataFrame:
     """qid, answer_type, text -> program / scalar / abstained columns.
 
     Abstention wins for abstaining types, then a program, then a scalar.  Each
-    step is its own projection, so the searched text and the program are
-    worked out once per row.
+    step is its own projection, so the searched text, its part without
+    reasoning and the program are worked out once per row.
     """
     body, kind = F.col("_body"), F.col("answer_type")
     staged = (
         responses.withColumn("_body", text.response_body(F.col("text")))
         .withColumn("abstained", text.declines(body, kind))
-        .withColumn("program", F.when(~F.col("abstained"), text.extract_program(body)))
+        .withColumn("_read", text.strip_reasoning(body))
+        .withColumn("program", F.when(~F.col("abstained"), text.program_in(F.col("_read"))))
     )
     scalar = F.when(F.col("abstained"), F.lit("Unreliable")).when(
         F.col("program").isNull(), text.typed_scalar(body, kind)

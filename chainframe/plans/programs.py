@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..schema import KEY, literal_map
+from ..session import cut_lineage
 from .generate import answer_all
 from .templates import SWAPPED_TERMINI, TEMPLATES, ChainSet
 
@@ -105,7 +106,8 @@ def run_programs(programs: DataFrame, chains: ChainSet, templates: list[str] | N
     shapes that are planned when it is known which can occur.
     """
     lengths = chains.chains()
-    matched = match_shapes(programs).join(lengths, KEY, "left")
+    # Every shape reads the matched programs; their texts are taken apart once, not once per shape.
+    matched = cut_lineage(match_shapes(programs).join(lengths, KEY, "left"))
     if templates is None:
         # At most one name per shape comes back.
         rows = matched.select("template").where("template is not null").distinct().collect()

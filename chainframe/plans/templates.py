@@ -61,9 +61,12 @@ def answers(df: DataFrame, err: Column | None = None, **values: Column) -> DataF
 
 
 def at_position(q: DataFrame, residues: DataFrame, i: Column, names: dict[str, str]) -> DataFrame:
-    """Left lookup of features at a position; absent columns stay NULL."""
+    """Left lookup of features at a position; absent columns stay NULL.
+
+    The right side has one row per position, so it is a merge join by hint: sized from the file, it would go through the driver.
+    """
     right = residues.select(*KEY, F.col("i").alias("_at"), *[F.col(c).alias(n) for n, c in names.items()])
-    return q.withColumn("_at", i).join(right, [*KEY, "_at"], "left").drop("_at")
+    return q.withColumn("_at", i).join(right.hint("merge"), [*KEY, "_at"], "left").drop("_at")
 
 
 def index_error(*indices: Column) -> Column:
