@@ -69,17 +69,17 @@ def evaluate_responses(spark, sf):
         F.lit("<answer>Not enough information</answer>"), F.concat(F.lit("Program: "), p["far"]), F.lit("strand"),
     ]
     types = ["Int", "Int", "Bool|Unreliable", "Float", "SecStruct"]
-    # The right answers of the first two come from the plain table.
-    c = event_chains(spark, sf)
+    # The right answers of the first two come from the plain table; both the parsing and the scoring read them.
+    chain_set = _chain_set(spark, sf)
     before = F.lag("ss").over(Window.partitionBy(*KEY).orderBy("i"))
-    facts = c.withColumn("_p", before).groupBy(*KEY).agg(
+    facts = cut_lineage(chain_set.residues.withColumn("_p", before).groupBy(*KEY).agg(
         F.count_if(F.col("plddt").cast("double") > F.col("length") % 90).alias("hi"),
-        F.count_if((F.col("ss") == "H") & ((F.col("_p") != "H") | F.col("_p").isNull())).alias("n"))
+        F.count_if((F.col("ss") == "H") & ((F.col("_p") != "H") | F.col("_p").isNull())).alias("n")))
     golds = [F.col("hi").cast("string"), (F.col("n") + 10).cast("string"), F.lit("Unreliable"), F.lit("1.0"), F.lit("E")]
     kind = F.element_at(F.array(*[F.lit(t) for t in types]), F.col("f") + 1)
     questions = _listed(facts, golds, "gold_answer").withColumn("answer_type", kind)
     responses = _listed(chains, texts, "text").select("qid", "text")
-    got = flows.evaluate_responses(questions, responses, _chain_set(spark, sf), _SHAPES)
+    got = flows.evaluate_responses(questions, responses, chain_set, _SHAPES)
     return got.select("qid", "pred_answer", "err", "correct")
 
 

@@ -7,6 +7,7 @@ import pytest
 from __spark_entry__ import SMALLEST, queries
 from chainframe.catalog import flows
 from chainframe.plans import evaluate, programs
+from chainframe.sources.bindings import event_chains
 
 
 def plan(df):
@@ -37,3 +38,15 @@ def test_programs_are_matched_once(spark):
     ran = programs.run_programs(texts, flows._chain_set(spark, SMALLEST), ["A4", "B1", "E6"])
     # The shapes are looked up in a map that names them all.
     assert "radius_of_gyration" not in plan(ran) and "n_helices" not in plan(ran)
+
+
+def test_positions_of_the_gold_answers_are_numbered_once(spark, monkeypatch):
+    numbered = []
+
+    def counted(*args):
+        numbered.append(args)
+        return event_chains(*args)
+
+    monkeypatch.setattr(flows, "event_chains", counted)
+    got = queries()["evaluate_responses"](spark, SMALLEST)
+    assert len(numbered) == 1 and "_piece#" not in plan(got)
