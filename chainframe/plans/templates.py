@@ -101,11 +101,14 @@ def per_level(rows: DataFrame, by: list[str], names: list[str], levels, measure)
 
 
 def with_level(q: DataFrame, values: DataFrame, names: list[str], by=KEY) -> DataFrame:
-    """Attach a per-level value to the questions that asked for that level."""
+    """Attach a per-level value to the questions that asked for that level.
+
+    The values have a row for each level of each group, which Spark counts as one, so the join is a merge by hint.
+    """
     keyed = q
     for n in names:
         keyed = keyed.withColumn(n, param(n, "double"))
-    return keyed.join(values, [*by, *names], "left")
+    return keyed.join(values.hint("merge"), [*by, *names], "left")
 
 
 def over_blocks(q: DataFrame) -> DataFrame:
@@ -207,7 +210,7 @@ def _dense_confident_window(level_name):
                 both, [*KEY, "w"], [name], levels,
                 lambda t: F.max(F.when(F.col("mean") > t, F.col("density"))),
             )
-        got = asked.join(tops, [*KEY, "w", name], "left")
+        got = asked.join(tops.hint("merge"), [*KEY, "w", name], "left")
         return answers(got, b=F.coalesce(F.col("value") > param("cd_thr", "double"), F.lit(False)))
     return plan
 
