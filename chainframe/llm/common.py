@@ -79,6 +79,7 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     with own_shuffles(df.sparkSession):
         df.write.parquet(path)
+    release(df.sparkSession)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -97,6 +98,14 @@ def trim() -> None:
             give(0)
 
 
+def release(spark: SparkSession) -> None:
+    """Collect the garbage of the driver, Python's and the JVM's.  What planning and watching the tasks of one table leaves
+    is dead when it is written, but the JVM would let its heap grow over it up to the limit, table after table; a whole
+    collection gives back what live objects do not need."""
+    trim()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lean(run):
     """``run`` for ``mapInArrow``; when a partition ends, the worker gives its free memory back to the system.  Workers wait
     for tasks of later stages, and what they keep adds up beside those tasks."""

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import WORD, held_out, lean, mix, prefix_hashes, span_hashes, steps, text_bytes, trim, word_spans, written
+from .common import WORD, held_out, lean, mix, prefix_hashes, release, span_hashes, steps, text_bytes, trim, word_spans, written
 
 #: Labelled rows that the model is fitted on, at most.
 SAMPLE = 20_000
@@ -291,13 +291,14 @@ def fit(
 
     # Rows come batch by batch in a fixed order; only their numbers stay.
     rows, columns, y = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], []
-    got = feats.select("words", "y").orderBy(F.xxhash64("words", "y"), "y").toArrow()
-    for batch in got.to_batches(max_chunksize=500):
+    got = feats.select("words", "y").orderBy(F.xxhash64("words", "y"), "y").toArrow().to_batches(max_chunksize=500)[::-1]
+    while got:
+        batch = got.pop()
         lists = batch.column(0)
         rows.append(np.repeat(np.arange(len(y), len(y) + len(lists), dtype=np.int32), pc.list_value_length(lists).to_numpy()))
         columns.append(places(lists.flatten().to_numpy().view(np.uint64)))
         y += batch.column(1).to_pylist()
-    del got
+    batch = lists = None
     rows, columns, y = np.concatenate(rows), np.concatenate(columns), np.array(y, float)
     counts = feats.select(F.explode("moved").alias("m")).groupBy("m").agg(F.count(F.lit(1)).alias("n")).orderBy("m").collect()
 
@@ -305,9 +306,12 @@ def fit(
         return places(np.array(hashes, np.int64).view(np.uint64)).tolist()
 
     changes = [(r["n"], index(r["m"]["more"]), index(r["m"]["less"])) for r in counts]
-    trim()
-    weights, bias = fit_logistic(rows, columns, y, parts, len(words), changes, balance=balance)
-    del rows, columns, parts, words, order
+    known = len(words)
+    del counts, words, order
+    # The rows have come through the JVM's heap, too.
+    release(docs.sparkSession)
+    weights, bias = fit_logistic(rows, columns, y, parts, known, changes, balance=balance)
+    del rows, columns, parts
     trim()
     return ToxicityModel(weights, bias)
 

@@ -15,7 +15,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chainframe.llm.common import held_out, own_shuffles, shared_folder, table
+from chainframe.llm.common import held_out, own_shuffles, release, shared_folder, table
 from chainframe.llm.decontaminate import decontaminate
 from chainframe.llm.mixing import taken_rows
 from chainframe.llm.near_dedup import deduplicate
@@ -76,5 +76,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         kept = stage(spark, docs, sf_dir)
         with own_shuffles(spark):
             kept.write.parquet(f"{folder}/{name}")
+        release(spark)
         docs = spark.read.parquet(f"{folder}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
